@@ -105,7 +105,10 @@ def with_split(
             F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("val_cut"),
         )
     )
-    placed = df.withColumn("class", label).join(F.broadcast(cuts), "class", "left")
+    cuts = cuts.withColumnRenamed("class", "split_class")
+    placed = df.withColumn("split_class", label).join(
+        F.broadcast(cuts), "split_class", "left"
+    )
     return placed.select(
         *df.columns,
         F.when(h <= F.col("test_cut"), "test")
