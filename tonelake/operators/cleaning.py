@@ -26,8 +26,12 @@ def clean_frame(
     """Clean one column, then drop the rows that came out empty."""
     clean = tx.cleaner(mode)
     require_columns(df, [text_col])
-    out = df.withColumn(output_col, clean(text_col))
-    return drop_empty_text(out, output_col, observation) if drop_empty else out
+    if not drop_empty:
+        return df.withColumn(output_col, clean(text_col))
+    # a plain projection would be pasted into the filter and run twice
+    kept = [c for c in df.columns if c != output_col]
+    out = df.select(*kept, F.explode(F.array(clean(text_col))).alias(output_col))
+    return drop_empty_text(out, output_col, observation)
 
 
 def lemmatize_with_lexicon(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Spark's default size of an input split
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +42,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, path: str, key: str, splittable: bool = True) -> DataFrame:
+    """Share out the rows of an input that has fewer pieces than there are cores.
+
+    Cleaning costs far more than moving a text once, and a file of one row
+    group, or a CSV file with multi-line records, is read by one task. An input
+    of enough files, or of enough splits, is left where it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files, size = (
+        spark.read.format("binaryFile").load(path)
+        .agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    )
+    if files >= cores or (splittable and size > cores * SPLIT_BYTES):
+        return df
+    return df.repartition(max(cores, math.ceil(size / SPLIT_BYTES)), key)

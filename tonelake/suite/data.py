@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts are about to be worked on, on all cores."""
+    return spread(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet", key)
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews; the two labels give a score of 1..5, or none."""
     labels = table(spark, sf_dir, "labels")
@@ -18,7 +25,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(good, 3).when(clean, 2).otherwise(1)
     )
     return (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents", "doc_id")
         .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("review_id"),

@@ -33,7 +33,7 @@ from ..sources import models as md
 from ..sources import registry as rg
 from ..sources.reviews import read_reviews
 from ..streaming.score import score_stream
-from .data import noisy, reviews, table
+from .data import noisy, reviews, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,15 +57,20 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+def read(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, for work on their texts."""
+    return texts(spark, sf, "documents", "doc_id")
+
+
+def talks(spark: SparkSession, sf: str) -> DataFrame:
+    return texts(spark, sf, "conversations", "conv_id")
 
 
 def text_query(name: str, source: str, key: str, text: Callable[[], Column]) -> None:
     """Register a query that shows one text expression for every row."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, source).select(key, text().alias("out"))
+        return texts(spark, sf, source, key).select(key, text().alias("out"))
 
     QUERIES[name] = run
 
@@ -135,7 +140,7 @@ def io4(spark, sf):
     path = scratch_path(spark, "model")
     md.save_model(model, spark, path)
     again = md.load_model(spark, path)
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     keys = ["conv_id", "turn"]
     a = sc.predict_ids(model, talk).select(*keys, "prediction")
     b = sc.predict_ids(again, talk).select(*keys, F.col("prediction").alias("reloaded"))
@@ -297,7 +302,7 @@ def v1(spark, sf):
 
 @query("v2_validate_batch")
 def v2(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     return vl.validate_batch(talk, "conv_id", "text", 6, 1200).select(
         "conv_id", "turn", "reason"
     )
@@ -306,7 +311,7 @@ def v2(spark, sf):
 @query("v2_validate_batch_array")
 def v2b(spark, sf):
     lines = F.split("text", "\n")
-    return docs(spark, sf).select(
+    return read(spark, sf).select(
         "doc_id", vl.batch_reason(lines, 20, 800).alias("reason")
     )
 
@@ -383,7 +388,7 @@ def t14b(spark, sf):
     ).distinct()
     lexicon = words.select("word", F.regexp_replace("word", "(ing|ed|s)$", "").alias("lemma"))
     tokens = tx.tokenize(tx.remove_non_alpha(F.lower("text")))
-    df = docs(spark, sf).select("doc_id", tokens.alias("tokens"))
+    df = read(spark, sf).select("doc_id", tokens.alias("tokens"))
     return cl.lemmatize_with_lexicon(df, "tokens", lexicon, "doc_id").select(
         "doc_id", tx.join_tokens("tokens").alias("out")
     )
@@ -410,7 +415,7 @@ text_query("t19_clean_regex", "pages", "page_id", lambda: tx.clean_regex("html")
 
 @query("t20_clean_frame")
 def t20(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     return cl.clean_frame(talk, "classical", "text").select(
         "conv_id", "turn", "cleaned_text"
     )
@@ -511,7 +516,7 @@ def s4(spark, sf):
 
 @query("x1_analyze")
 def x1(spark, sf):
-    return docs(spark, sf).select(
+    return read(spark, sf).select(
         "doc_id", tx.join_tokens(tx.analyze("text")).alias("terms")
     )
 
@@ -526,24 +531,24 @@ def x2(spark, sf):
 
 @query("x3_term_freq")
 def x3(spark, sf):
-    return ft.term_table(docs(spark, sf), "doc_id", "text")
+    return ft.term_table(read(spark, sf), "doc_id", "text")
 
 
 @query("x4_doc_freq")
 def x4(spark, sf):
-    return ft.doc_freq(ft.term_table(docs(spark, sf), "doc_id", "text"))
+    return ft.doc_freq(ft.term_table(read(spark, sf), "doc_id", "text"))
 
 
 @query("x5_vocabulary")
 def x5(spark, sf):
     return ft.vocabulary(
-        ft.term_table(docs(spark, sf), "doc_id", "text", (1, 2)), TERMS
+        ft.term_table(read(spark, sf), "doc_id", "text", (1, 2)), TERMS
     )
 
 
 @query("x6_idf")
 def x6(spark, sf):
-    d = docs(spark, sf)
+    d = read(spark, sf)
     vocab = ft.vocabulary(ft.term_table(d, "doc_id", "text"), TERMS)
     return ft.with_idf(vocab, d).select("term", "term_index", six("idf").alias("idf"))
 
@@ -554,13 +559,13 @@ def _weights(df: DataFrame) -> DataFrame:
 
 @query("x7_tfidf")
 def x7(spark, sf):
-    return _weights(ft.tfidf(docs(spark, sf), "doc_id", "text", TERMS))
+    return _weights(ft.tfidf(read(spark, sf), "doc_id", "text", TERMS))
 
 
 @query("x8_transform_tfidf")
 def x8(spark, sf):
     """Vocabulary of the documents, weights for the benchmark items."""
-    d = docs(spark, sf)
+    d = read(spark, sf)
     vocab = ft.with_idf(
         ft.vocabulary(ft.term_table(d, "doc_id", "text"), TERMS), d
     )
@@ -573,7 +578,7 @@ def x8b(spark, sf):
     """The same through the fitted vector stages, read back as rows."""
     from pyspark.ml.functions import vector_to_array
 
-    model = ft.fit_tfidf(docs(spark, sf), "text", "features", TERMS)
+    model = ft.fit_tfidf(read(spark, sf), "text", "features", TERMS)
     out = ft.transform_tfidf(model, table(spark, sf, "benchmark"))
     rows = out.select(
         "item_id",
@@ -587,7 +592,7 @@ def x8b(spark, sf):
 
 @query("x9_feature_names")
 def x9(spark, sf):
-    model = ft.fit_tfidf(docs(spark, sf), "text", "features", TERMS)
+    model = ft.fit_tfidf(read(spark, sf), "text", "features", TERMS)
     return ft.feature_names(spark, model)
 
 
@@ -627,7 +632,7 @@ def m3(spark, sf):
 @query("m4_predict")
 def m4(spark, sf):
     model = _model(spark, sf)
-    clean = cl.clean_frame(docs(spark, sf), "classical", "text")
+    clean = cl.clean_frame(read(spark, sf), "classical", "text")
     return tr.predict(model, clean.select("doc_id", "cleaned_text")).select(
         "doc_id", "prediction"
     )
@@ -636,7 +641,7 @@ def m4(spark, sf):
 @query("m5_predict_proba")
 def m5(spark, sf):
     model = _model(spark, sf, "3-class")
-    clean = cl.clean_frame(docs(spark, sf), "classical", "text")
+    clean = cl.clean_frame(read(spark, sf), "classical", "text")
     out = tr.predict_proba(model, clean.select("doc_id", "cleaned_text"))
     return out.select(
         "doc_id", F.posexplode("probabilities").alias("label", "probability")
@@ -659,13 +664,13 @@ def m6(spark, sf):
 
 @query("p1_predict_ids")
 def p1(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     return sc.predict_ids(_model(spark, sf), talk).select("conv_id", "turn", "prediction")
 
 
 @query("p2_predict_with_labels")
 def p2(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     return sc.predict_with_labels(_model(spark, sf), talk).select(
         "conv_id", "turn", "text", "label", "score"
     )
@@ -673,7 +678,7 @@ def p2(spark, sf):
 
 @query("p3_predict_with_probabilities")
 def p3(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     out = sc.predict_with_probabilities(_model(spark, sf, "3-class"), talk)
     return out.select(
         "conv_id", "turn", F.posexplode("predictions").alias("place", "p")
@@ -693,7 +698,7 @@ def length_scorer():
 
 @query("p4_score_external")
 def p4(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     out = sc.score_external(talk, length_scorer, "text", 3, mode=None)
     return out.select(
         "conv_id", "turn", "prediction", "label", six("score").alias("score")
@@ -702,14 +707,14 @@ def p4(spark, sf):
 
 @query("p5_score_requests")
 def p5(spark, sf):
-    talk = table(spark, sf, "conversations")
+    talk = talks(spark, sf)
     scored = sc.score_requests(_model(spark, sf), talk, "conv_id", "text")
     return scored.predictions.select("conv_id", "turn", "label", "score")
 
 
 @query("p5_request_report")
 def p5b(spark, sf):
-    talk = table(spark, sf, "conversations").withColumn(
+    talk = talks(spark, sf).withColumn(
         "text", F.when(F.length("text") % 50 != 0, F.col("text"))
     )
     return sc.score_requests(_model(spark, sf), talk, "conv_id", "text").report
