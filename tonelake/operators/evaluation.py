@@ -20,9 +20,14 @@ METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_mac
 def confusion_cells(
     df: DataFrame, y: str, p: str, by: str | None = None
 ) -> DataFrame:
-    """``(model, true_label, pred_label, n)`` for the pairs that occur."""
+    """``(model, true_label, pred_label, n)`` for the pairs that occur.
+
+    Rows without a true or predicted label have nothing to compare. Dropping
+    them here, not in later joins, lets every use share one aggregation.
+    """
     model = F.col(by) if by else F.lit("model")
-    return df.groupBy(
+    paired = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & model.isNotNull())
+    return paired.groupBy(
         model.alias("model"),
         F.col(y).cast("int").alias("true_label"),
         F.col(p).cast("int").alias("pred_label"),

@@ -18,13 +18,17 @@ def score_stream(
     text_col: str = "text",
     once: bool = True,
     interval: str = "10 seconds",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Write scored rows and rejects of a request stream.
 
     Stateless. Each micro-batch overwrites its own folder, so a batch that is
     run again after a failure leaves the same output. ``once`` stops when the
-    rows present at the start are done.
+    rows present at the start are done. ``partitions`` spreads the rows of a
+    source that arrives in few files.
     """
+    if partitions:
+        requests = requests.repartition(partitions)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = validate_text(batch, text_col).persist()

@@ -577,6 +577,50 @@ SELECT review_id, label, round(CAST((SELECT count(*) FROM labelled) AS DOUBLE)
   / ((SELECT count(DISTINCT label) FROM labelled)
   * count(*) OVER (PARTITION BY label)), 6) AS weight FROM labelled""",
 )
+TRAINING = with_(
+    REVIEWS,
+    'kept AS (SELECT * FROM reviews WHERE "Score" IS NOT NULL AND "Score" <> 3)',
+    chain("kept", 'review_id, "Score"', '"Text"', CLASSICAL),
+    """
+cleaned AS (
+  SELECT review_id, CAST(CASE WHEN "Score" > 3 THEN 1 ELSE 0 END AS INTEGER) AS label,
+    t FROM done WHERE trim(t) <> ''
+)""",
+    then="",
+)
+ORACLES["m2_optimality"] = f"""{TRAINING.rstrip()}, words AS (
+  SELECT unnest(regexp_extract_all(lower(t), '[a-z_]{{2,}}')) AS term FROM cleaned
+), top AS (
+  SELECT term FROM words GROUP BY term ORDER BY count(*) DESC, term LIMIT 500
+)
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
+  true AS at_optimum FROM top"""
+ORACLES["m5_probability_check"] = with_(
+    chain("documents", "doc_id", "text", CLASSICAL),
+    then="SELECT doc_id, CAST(3 AS INTEGER) AS classes, CAST(1 AS DOUBLE) AS total, "
+    "true AS predicts_highest FROM done WHERE trim(t) <> ''",
+)
+ORACLES["m6_train_split"] = (
+    TRAINING.rstrip() + ","
+    + split_ctes("cleaned", "review_id", "label", "0.2", None)
+    + "\nSELECT review_id, label, split FROM parts"
+)
+ORACLES["p2_label_check"] = (
+    "SELECT conv_id, turn, text, true AS named, true AS in_range FROM conversations"
+)
+ORACLES["p3_order_check"] = (
+    "SELECT conv_id, turn, 'NEGATIVE,NEUTRAL,POSITIVE' AS labels, true AS descending "
+    "FROM conversations"
+)
+ORACLES["p5_accepted"] = f"""
+WITH v AS (
+  SELECT conv_id FROM conversations GROUP BY conv_id
+  HAVING count(*) <= 100 AND NOT bool_or({reason("text", 1200)} IS NOT NULL)
+)
+SELECT conv_id, turn, true AS named FROM conversations JOIN v USING (conv_id)"""
+ORACLES["p6_stream_accepted"] = (
+    f"SELECT doc_id, true AS named FROM documents WHERE {reason('text', 5000)} IS NULL"
+)
 ORACLES["p4_score_external"] = """
 WITH x AS (
   SELECT conv_id, turn, length(text) % 5 - 2.0::DOUBLE AS a,

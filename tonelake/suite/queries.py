@@ -616,6 +616,33 @@ def m2(spark, sf):
     return names.join(coefs, "term_index")
 
 
+@query("m2_optimality")
+def m2b(spark, sf):
+    """Per term, whether the gradient of the objective vanishes at the fit."""
+    from pyspark.ml.functions import vector_to_array
+
+    data = prepare_reviews(
+        reviews(spark, sf), spark, 1.0, "binary", seed=SEED, key="review_id"
+    )
+    data = materialize(data.select("cleaned_text", "label"), "training")
+    model = tr.fit_sentiment(data, max_features=TERMS, tol=1e-12)
+    weights = tr.weight_column("label", tr.balanced(tr.class_sizes(data, "label")))
+    out = model.transform(data).select(
+        (weights * (vector_to_array("probability")[1] - F.col("label"))).alias("pull"),
+        F.posexplode(vector_to_array("features")).alias("term_index", "x"),
+    )
+    pulls = out.filter("x != 0").groupBy("term_index").agg(
+        F.sum(F.col("pull") * F.col("x")).alias("pull")
+    )
+    fitted = [(i, float(v)) for i, v in enumerate(model.stages.stages[-1].coefficients)]
+    coefs = spark.createDataFrame(fitted, "term_index int, coefficient double")
+    names = ft.feature_names(spark, model.stages)
+    return names.join(coefs, "term_index").join(pulls, "term_index").select(
+        "term", "term_index",
+        (F.abs(F.col("coefficient") + F.col("pull")) < 1e-3).alias("at_optimum"),
+    )
+
+
 @query("m3_fit_vectors")
 def m3(spark, sf):
     """Fit and predict on the given embeddings instead of text."""
@@ -648,6 +675,33 @@ def m5(spark, sf):
     )
 
 
+@query("m5_probability_check")
+def m5b(spark, sf):
+    """Per document: number of probabilities, their sum, and whether the
+    predicted class is the most probable."""
+    model = _model(spark, sf, "3-class")
+    clean = cl.clean_frame(read(spark, sf), "classical", "text")
+    out = tr.predict(model, tr.predict_proba(model, clean.select("doc_id", "cleaned_text")))
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    return out.select(
+        "doc_id",
+        F.size(p).alias("classes"),
+        six(total).alias("total"),
+        (F.get(p, F.col("prediction")) == F.array_max(p)).alias("predicts_highest"),
+    )
+
+
+@query("m6_train_split")
+def m6b(spark, sf):
+    """Which rows a training run fits on and which it holds out."""
+    trained = plans.train_model(
+        reviews(spark, sf), spark, sample_frac=1.0, max_features=TERMS,
+        key="review_id", max_iter=5,
+    )
+    return trained.data.select("review_id", "label", "split")
+
+
 @query("m6_train")
 def m6(spark, sf):
     trained = plans.train_model(
@@ -676,6 +730,27 @@ def p2(spark, sf):
     )
 
 
+@query("p2_label_check")
+def p2b(spark, sf):
+    out = sc.predict_with_labels(_model(spark, sf), talks(spark, sf))
+    return out.select(
+        "conv_id", "turn", "text",
+        F.col("label").isin("NEGATIVE", "POSITIVE").alias("named"),
+        F.col("score").between(0.5, 1.0).alias("in_range"),
+    )
+
+
+@query("p3_order_check")
+def p3b(spark, sf):
+    out = sc.predict_with_probabilities(_model(spark, sf, "3-class"), talks(spark, sf))
+    scores = F.col("predictions.score")
+    return out.select(
+        "conv_id", "turn",
+        F.array_join(F.array_sort("predictions.label"), ",").alias("labels"),
+        (F.sort_array(scores, asc=False) == scores).alias("descending"),
+    )
+
+
 @query("p3_predict_with_probabilities")
 def p3(spark, sf):
     talk = talks(spark, sf)
@@ -712,6 +787,18 @@ def p5(spark, sf):
     return scored.predictions.select("conv_id", "turn", "label", "score")
 
 
+@query("p5_accepted")
+def p5c(spark, sf):
+    """Rows scored when batches of more than 1200 characters in a text fail."""
+    talk = talks(spark, sf).withColumn(
+        "text", F.when(F.length("text") <= 1200, F.col("text"))
+    )
+    scored = sc.score_requests(_model(spark, sf), talk, "conv_id", "text")
+    return scored.predictions.select(
+        "conv_id", "turn", F.col("label").isNotNull().alias("named")
+    )
+
+
 @query("p5_request_report")
 def p5b(spark, sf):
     talk = talks(spark, sf).withColumn(
@@ -729,7 +816,10 @@ def _streamed(spark: SparkSession, sf: str) -> str:
         .select("doc_id", "text")
     )
     out = scratch_path(spark, "stream")
-    run = score_stream(stream, _model(spark, sf), out, f"{out}/checkpoint")
+    run = score_stream(
+        stream, _model(spark, sf), out, f"{out}/checkpoint",
+        partitions=spark.sparkContext.defaultParallelism,
+    )
     run.awaitTermination()
     return out
 
@@ -740,6 +830,14 @@ def p6(spark, sf):
     return spark.read.parquet(f"{out}/scored").select("doc_id", "label", "score")
 
 
+@query("p6_stream_accepted")
+def p6c(spark, sf):
+    out = _streamed(spark, sf)
+    return spark.read.parquet(f"{out}/scored").select(
+        "doc_id", F.col("label").isin("NEGATIVE", "POSITIVE").alias("named")
+    )
+
+
 @query("p6_stream_rejects")
 def p6b(spark, sf):
     out = _streamed(spark, sf)
