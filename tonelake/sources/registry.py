@@ -45,7 +45,7 @@ def read_registry(
     """
     try:
         # a registry is one small file; its list order is the order of entries
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException:
         found = [(n, p, t) for n, p, t in known if _exists(spark, p)]
         entries = [(i, *entry, None) for i, entry in enumerate(found)]
