@@ -92,7 +92,6 @@ def test_guards(spark, docs):
 
 def test_salted_lookup_gives_the_same(spark, docs, monkeypatch):
     want = ft.tfidf(docs, "id", "text", 50).orderBy("id", "term").collect()
-    monkeypatch.setattr(ft, "BROADCAST_ROWS", 1)
     monkeypatch.setattr("tonelake.operators.skew.BROADCAST_ROWS", 1)
     got = ft.tfidf(docs, "id", "text", 50).orderBy("id", "term").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]

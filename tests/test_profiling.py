@@ -7,10 +7,10 @@ import pytest
 from tonelake.operators import profiling as pr
 
 
-def percentiles(spark, values, size=pr.SKETCH_SIZE):
+def percentiles(spark, values, size=pr.SKETCH_SIZE, max_inside=pr.MAX_INSIDE):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     probs = (0.25, 0.5, 0.75, 0.9)
-    got = pr.exact_percentiles(df, ["x"], probs, size).collect()
+    got = pr.exact_percentiles(df, ["x"], probs, size, max_inside).collect()
     return {r["prob"]: r["value"] for r in got}, probs
 
 
@@ -24,6 +24,20 @@ def test_percentiles(spark, n, size):
     assert got == pytest.approx(dict(want))
 
 
+@pytest.mark.parametrize("repeat", [1, 30])
+def test_brackets_are_narrowed(spark, repeat):
+    rng = random.Random(5)
+    values = [float(rng.randint(0, 3000 // repeat)) for _ in range(5000)]
+    got, probs = percentiles(spark, values, 100, 20)
+    assert got == pytest.approx(dict(pd.Series(values).quantile(list(probs))))
+
+
+def test_percentile_between_two_heavy_values(spark):
+    values = [1.0] * 500 + [2.0] * 500
+    got, probs = percentiles(spark, values, 20, 5)
+    assert got == pytest.approx(dict(pd.Series(values).quantile(list(probs))))
+
+
 def test_one_value_holds_most_rows(spark):
     values = [5.0] * 900 + [float(i) for i in range(100)]
     got, probs = percentiles(spark, values, 50)

@@ -65,6 +65,16 @@ def test_sample_size_and_order(spark, n, frac):
     assert got == {r["k"] for r in ranked}
 
 
+def test_copies_of_a_key_stay_together(spark):
+    """A third of all rows under one key."""
+    key = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+    df = spark.range(3000).select(key.alias("k"), F.col("id"))
+    out = sample_fraction(df, 0.5, 42, "k").groupBy("k").count().collect()
+    sizes = {r["k"]: r["count"] for r in out}
+    assert sizes.get(-1, 1000) == 1000
+    assert 1500 <= sum(sizes.values()) < 2500
+
+
 def test_sample_guards(spark):
     df = spark.range(10)
     assert sample_fraction(df, 1.0, 1, "id") is df
@@ -136,7 +146,7 @@ def test_split_guards(spark):
     with pytest.raises(ValueError, match="Insufficient"):
         sp.split_train_test(labelled(spark, 15, 0.5), 0.1)
     with pytest.raises(ValueError, match="at least 2 rows"):
-        sp.split_train_test(labelled(spark, 50, 0.99))
+        sp.split_train_test(labelled(spark, 50, 0.97))
 
 
 def test_check_split_finds_shared_keys(spark):

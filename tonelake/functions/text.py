@@ -159,21 +159,39 @@ def demojize(col: Column | str, lexicon: Mapping[str, str] | None = None) -> Col
 def expand_contractions(col: Column | str) -> Column:
     """``don't`` to ``do not``, ``can't`` to ``cannot`` and so on, by rule."""
 
-    def with_apostrophe(text: Column) -> Column:
+    def rule(text: Column, low: Column, needs: str, pattern: str, full: str) -> Column:
+        """One rule, tried only on rows that hold its fixed part."""
+        return bind(
+            text,
+            lambda t: F.when(
+                low.contains(needs), F.regexp_replace(t, "(?i)" + pattern, full)
+            ).otherwise(t),
+        )
+
+    def with_apostrophe(text: Column, low: Column) -> Column:
         for pattern, full in lx.APOSTROPHE_RULES:
-            text = F.regexp_replace(text, "(?i)" + pattern, full)
-        subjects = "|".join(lx.IS_AFTER)
-        return F.regexp_replace(text, rf"(?i)\b({subjects})'s\b", "$1 is")
+            text = rule(text, low, pattern.replace(r"\b", ""), pattern, full)
+        return rule(text, low, "'s", rf"\b({'|'.join(lx.IS_AFTER)})'s\b", "$1 is")
 
-    plain = F.regexp_replace(_as_col(col), r"(?<=[A-Za-z])[\u2019`](?=[A-Za-z])", "'")
-    text = bind(
-        plain, lambda t: F.when(t.contains("'"), with_apostrophe(t)).otherwise(t)
+    def all_rules(text: Column, low: Column) -> Column:
+        text = bind(
+            text,
+            lambda t: F.when(t.contains("'"), with_apostrophe(t, low)).otherwise(t),
+        )
+        stems = "|".join(lx.BARE_NOT_STEMS)
+        text = rule(text, low, "nt", rf"\b(?=[dhaiwcsm])({stems})nt\b", "$1 not")
+        for pattern, full in lx.BARE_RULES:
+            text = rule(text, low, pattern.replace(r"\b", ""), pattern, full)
+        return text
+
+    plain = bind(
+        _as_col(col),
+        lambda t: F.when(
+            t.contains("\u2019") | t.contains("`"),
+            F.regexp_replace(t, r"(?<=[A-Za-z])[\u2019`](?=[A-Za-z])", "'"),
+        ).otherwise(t),
     )
-    stems = "|".join(lx.BARE_NOT_STEMS)
-    text = F.regexp_replace(text, rf"(?i)\b({stems})nt\b", "$1 not")
-    for pattern, full in lx.BARE_RULES:
-        text = F.regexp_replace(text, "(?i)" + pattern, full)
-    return text
+    return bind(plain, lambda t: bind(F.lower(t), lambda low: all_rules(t, low)))
 
 
 def lower_text(col: Column | str) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .rows import drop_empty_text, require_columns
-from .skew import BROADCAST_ROWS, lookup_join
+from ..session import materialize
+from .skew import lookup_join
 
 
 def clean_frame(
@@ -39,7 +40,7 @@ def lemmatize_with_lexicon(
     tokens_col: str,
     lexicon: DataFrame,
     key: str,
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Replace tokens by the lemma a ``(word, lemma)`` table gives.
 
@@ -47,7 +48,9 @@ def lemmatize_with_lexicon(
     ``key``, so a task holds one document at a time.
     """
     words = df.select(key, F.posexplode(tokens_col).alias("pos", "word"))
-    entries = lexicon.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    entries = materialize(
+        lexicon.groupBy("word").agg(F.min("lemma").alias("lemma")), "lexicon"
+    )
     found = lookup_join(
         words, entries, "word", [key, "pos"], "left", max_broadcast_rows
     )

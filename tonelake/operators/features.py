@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .skew import BROADCAST_ROWS, lookup_join
+from ..session import materialize
+from .skew import lookup_join
 
 DEFAULT_MAX_FEATURES = 5000
 
@@ -64,22 +65,15 @@ def with_idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((n + 1) / (F.col("doc_freq") + 1)) + 1)
 
 
-def weigh(
-    terms: DataFrame,
-    vocab: DataFrame,
-    key: str,
-    max_features: int = DEFAULT_MAX_FEATURES,
-) -> DataFrame:
+def weigh(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """``(key, term, term_index, tf, idf, tfidf)`` with unit length per document.
 
-    ``vocab`` holds at most ``max_features`` rows. The window is by document,
-    which has no more rows than the vocabulary.
+    Pass a stored vocabulary: its size is looked at before it is joined. The
+    window is by document, which has no more rows than the vocabulary.
     """
-    lookup = vocab.select("term", "term_index", "idf")
-    if max_features <= BROADCAST_ROWS:
-        known = terms.join(F.broadcast(lookup), "term")
-    else:
-        known = lookup_join(terms, lookup, "term", [key], "inner")
+    known = lookup_join(
+        terms, vocab.select("term", "term_index", "idf"), "term", [key], "inner"
+    )
     weight = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(key)))
     return known.select(
@@ -87,6 +81,18 @@ def weigh(
     )
 
 
+def fit_vocabulary(
+    df: DataFrame,
+    text_col: str,
+    max_features: int = DEFAULT_MAX_FEATURES,
+    ngram_range: tuple[int, int] = (1, 1),
+) -> DataFrame:
+    """The stored vocabulary of a corpus with its idf."""
+    counted = df.select(F.lit(0).alias("key"), text_col)
+    terms = term_table(counted, "key", text_col, ngram_range)
+    return materialize(with_idf(vocabulary(terms, max_features), df), "vocabulary")
+
+
 def tfidf(
     df: DataFrame,
     key: str,
@@ -95,9 +101,8 @@ def tfidf(
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """Fit and weigh the same documents."""
-    terms = term_table(df, key, text_col, ngram_range)
-    vocab = with_idf(vocabulary(terms, max_features), df)
-    return weigh(terms, vocab, key, max_features)
+    vocab = fit_vocabulary(df, text_col, max_features, ngram_range)
+    return weigh(term_table(df, key, text_col, ngram_range), vocab, key)
 
 
 class TermAnalyzer(

@@ -6,6 +6,7 @@ whole columns in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 QUARTILES = (0.25, 0.5, 0.75)
 # percentile_approx is off by at most n / SKETCH_SIZE ranks
 SKETCH_SIZE = 10_000
+# a bracket with more rows than this is narrowed before its values are ranked
+MAX_INSIDE = 5_000_000
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -94,36 +97,74 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _brackets(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], size: int
-) -> DataFrame:
-    """``(column_name, prob, low, high, rank, part)`` around each percentile.
+def _around(share: float, size: int) -> list[float]:
+    """Sketch percentages on both sides of a share, its error covered."""
+    return [min(max(share + d, 0.0), 1.0) for d in (-2.0 / size, 2.0 / size)]
 
-    The true value lies within the bracket, or is the nearest one outside it.
+
+def _brackets(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], size: int,
+    max_inside: int,
+) -> list[dict]:
+    """Per column and percentile its rank and two values around it.
+
+    The value sought lies between them, or is the nearest one outside. The
+    expected rows between are ``4 n / size``; while that is more than
+    ``max_inside``, those rows are sketched again. One row per bracket reaches
+    the driver.
     """
-    slack = 2.0 / size
-    points = [min(max(q, 0.0), 1.0) for p in probs for q in (p - slack, p + slack)]
     aggs = []
     for i, c in enumerate(columns):
-        v = _number(c)
+        points = [q for p in probs for q in _around(p, size)]
         aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.percentile_approx(v, points, size).alias(f"b{i}"),
+            F.count(_number(c)).alias(f"n{i}"),
+            F.percentile_approx(_number(c), points, size).alias(f"b{i}"),
         ]
-    rows = []
+    first = df.agg(*aggs).first()
+    found = []
     for i, c in enumerate(columns):
         for j, p in enumerate(probs):
-            place = (F.col(f"n{i}") - 1) * F.lit(float(p))
-            rows.append(
-                (
-                    F.lit(c).alias("column_name"), F.lit(float(p)).alias("prob"),
-                    F.get(f"b{i}", F.lit(2 * j)).alias("low"),
-                    F.get(f"b{i}", F.lit(2 * j + 1)).alias("high"),
-                    F.floor(place).alias("rank"),
-                    (place - F.floor(place)).alias("part"),
-                )
+            if not first[f"n{i}"]:
+                continue
+            place = (first[f"n{i}"] - 1) * p
+            found.append(
+                {
+                    "column_name": c, "prob": float(p),
+                    "low": first[f"b{i}"][2 * j], "high": first[f"b{i}"][2 * j + 1],
+                    "rank": math.floor(place), "part": place - math.floor(place),
+                    "inside": 4 * first[f"n{i}"] / size,
+                }
             )
-    return _tall(df.agg(*aggs), rows).filter(F.col("low").isNotNull())
+    # each round divides the distinct values inside by size / 4; what is wide
+    # after three is a few values with many copies, which merge when counted
+    for _ in range(3):
+        wide = [b for b in found if b["inside"] > max_inside and b["low"] < b["high"]]
+        if not wide:
+            break
+        _narrow(df, wide, size)
+    return found
+
+
+def _narrow(df: DataFrame, brackets: list[dict], size: int) -> None:
+    """Sketch again between the ends of each bracket; two passes."""
+    counts = []
+    for i, b in enumerate(brackets):
+        v = _number(b["column_name"])
+        counts += [
+            F.count_if(v < b["low"]).alias(f"below{i}"),
+            F.count_if(v.between(b["low"], b["high"])).alias(f"inside{i}"),
+        ]
+    seen = df.agg(*counts).first()
+    aggs = []
+    for i, b in enumerate(brackets):
+        v = _number(b["column_name"])
+        share = (b["rank"] + 0.5 - seen[f"below{i}"]) / seen[f"inside{i}"]
+        kept = F.when(v.between(b["low"], b["high"]), v)
+        aggs.append(F.percentile_approx(kept, _around(share, size), size).alias(f"b{i}"))
+    ends = df.agg(*aggs).first()
+    for i, b in enumerate(brackets):
+        b["low"], b["high"] = ends[f"b{i}"]
+        b["inside"] = 4 * seen[f"inside{i}"] / size
 
 
 def exact_percentiles(
@@ -131,13 +172,18 @@ def exact_percentiles(
     columns: Sequence[str],
     probs: Sequence[float] = QUARTILES,
     size: int = SKETCH_SIZE,
+    max_inside: int = MAX_INSIDE,
 ) -> DataFrame:
     """``(column_name, prob, value)``, linearly interpolated.
 
-    A sketch brackets each percentile; a second pass counts what lies below
-    and above and shuffles only the values inside, equal ones already merged.
+    A sketch brackets each percentile; another pass counts what lies below and
+    above and shuffles only the values inside, equal ones already merged.
     """
-    brackets = _brackets(df, columns, probs, size)
+    brackets = df.sparkSession.createDataFrame(
+        _brackets(df, columns, probs, size, max_inside),
+        "column_name string, prob double, low double, high double, rank bigint, "
+        "part double, inside double",
+    ).drop("inside")
     values = df.select(
         F.inline(
             F.array(

@@ -3,7 +3,7 @@
 Rows are ordered by a hash of their key and a seed. "The first k rows" is then
 a plain comparison with the hash of the k-th row, and finding that hash never
 sorts more than one of 4096 hash buckets per class in a task.
-Keys must be unique for sizes to be exact.
+With unique keys sizes are exact; copies of a key always stay together.
 """
 
 from __future__ import annotations
@@ -45,10 +45,14 @@ def cut_points(
     inside = hashed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)).join(
         F.broadcast(hit), ["class", "bucket"]
     )
-    place = F.row_number().over(Window.partitionBy("class", "cut").orderBy("h"))
+    # copies of a key share a hash and are one row from here on
+    merged = inside.groupBy("class", "cut", "within", "h").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy("class", "cut").orderBy("h"))
     return (
-        inside.withColumn("place", place)
-        .filter(F.col("place") == F.col("within"))
+        merged.withColumn("upto", upto)
+        .filter((F.col("within") <= F.col("upto")) & (F.col("within") > F.col("upto") - F.col("n")))
         .select("class", "cut", "h")
     )
 
@@ -63,8 +67,8 @@ def sample_fraction(
 ) -> DataFrame:
     """Reproducible sample without replacement.
 
-    Exact: ``round(frac * n)`` rows. Otherwise each row stands on its own: one
-    pass and no subquery, a size that is right on average.
+    Exact: ``round(frac * n)`` rows, found by two passes over the key. Otherwise
+    each row stands on its own: no pass, a size that is right on average.
     """
     check_fraction(frac)
     if frac == 1:
@@ -79,5 +83,6 @@ def sample_fraction(
         F.lit("sample").alias("cut"),
         F.bround(F.sum("n") * F.lit(float(frac)), 0).cast("bigint").alias("rank"),
     )
-    last = cut_points(hashed, counts, target).agg(F.max("h")).scalar()
-    return df.filter(h <= last)
+    # one hash, found once: later passes over the sample only compare with it
+    last = cut_points(hashed, counts, target).agg(F.max("h")).first()[0]
+    return df.filter(h <= last) if last else df.limit(0)

@@ -6,18 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with more rows than this is hot. There can be at most
 # total_rows / HOT_ROWS of them, which keeps their broadcast small.
 HOT_ROWS = 1_000_000
 # Lookup tables up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a table is small in rows and in bytes of its strings.
+
+    Reads no more than ``max_rows`` rows; pass a stored table.
+    """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    rows, used = (
+        df.limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)))
+        .first()
+    )
+    return rows <= max_rows and used <= BROADCAST_BYTES
 
 
 def attach_group_facts(
@@ -58,7 +71,7 @@ def lookup_join(
     key: str,
     spread_by: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Join rows to a lookup table that is unique by ``key``.
 

@@ -97,7 +97,7 @@ def with_split(
         ],
         f"class {class_type}, cut string, rank bigint",
     )
-    cuts = (
+    found = (
         cut_points(hashed, counts, targets)
         .groupBy("class")
         .agg(
@@ -105,7 +105,10 @@ def with_split(
             F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("val_cut"),
         )
     )
-    cuts = cuts.withColumnRenamed("class", "split_class")
+    # a row per class, found once: later passes over the split only look it up
+    cuts = spark.createDataFrame(
+        found.collect(), f"split_class {class_type}, test_cut string, val_cut string"
+    )
     placed = df.withColumn("split_class", label).join(
         F.broadcast(cuts), "split_class", "left"
     )

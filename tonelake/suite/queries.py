@@ -565,12 +565,9 @@ def x7(spark, sf):
 @query("x8_transform_tfidf")
 def x8(spark, sf):
     """Vocabulary of the documents, weights for the benchmark items."""
-    d = read(spark, sf)
-    vocab = ft.with_idf(
-        ft.vocabulary(ft.term_table(d, "doc_id", "text"), TERMS), d
-    )
+    vocab = ft.fit_vocabulary(read(spark, sf), "text", TERMS)
     terms = ft.term_table(table(spark, sf, "benchmark"), "item_id", "text")
-    return _weights(ft.weigh(terms, vocab, "item_id", TERMS))
+    return _weights(ft.weigh(terms, vocab, "item_id"))
 
 
 @query("x8_transform_vectors")
