@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -18,6 +19,8 @@ from .features import DEFAULT_MAX_FEATURES, fit_tfidf
 from .rows import require_columns
 from .splits import MAX_CLASSES
 
+ROWS_PER_TASK = 20_000
+
 
 def class_sizes(df: DataFrame, label_col: str) -> dict[Any, int]:
     """Rows per class; more than ``MAX_CLASSES`` classes is an error."""
@@ -80,14 +83,17 @@ def fit_logistic(
         "maxIter": max_iter,
         "tol": tol,
         "family": "binomial" if len(sizes) == 2 else "multinomial",
-        "aggregationDepth": 3,
+        # partial sums meet in two steps, so few reach the driver at once
+        "aggregationDepth": 2 if sum(sizes.values()) < 10**8 else 3,
     } | kwargs
     weighted = df.select(
         features_col,
         F.col(label_col).cast("double").alias(label_col),
         weight_column(label_col, weights).alias("weight"),
     )
-    return LogisticRegression(**params).fit(weighted)
+    # every iteration aggregates over all partitions: none smaller than a block
+    tasks = max(1, math.ceil(sum(sizes.values()) / ROWS_PER_TASK))
+    return LogisticRegression(**params).fit(weighted.coalesce(tasks))
 
 
 def detached(

@@ -595,6 +595,10 @@ ORACLES["m2_optimality"] = f"""{TRAINING.rstrip()}, words AS (
 )
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
   true AS at_optimum FROM top"""
+ORACLES["m4_long_form_check"] = with_(
+    chain("documents", "doc_id", "text", CLASSICAL),
+    then="SELECT doc_id, true AS same_class FROM done WHERE trim(t) <> ''",
+)
 ORACLES["m5_probability_check"] = with_(
     chain("documents", "doc_id", "text", CLASSICAL),
     then="SELECT doc_id, CAST(3 AS INTEGER) AS classes, CAST(1 AS DOUBLE) AS total, "

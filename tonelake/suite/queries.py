@@ -662,6 +662,36 @@ def m4(spark, sf):
     )
 
 
+@query("m4_long_form_check")
+def m4b(spark, sf):
+    """Per document, whether the class from its vector is the sign of the sum
+    of long-form weights times coefficients."""
+    model = _model(spark, sf)
+    fitted = model.stages.stages[-1]
+    clean = materialize(
+        cl.clean_frame(read(spark, sf), "classical", "text").select("doc_id", "cleaned_text"),
+        "cleaned",
+    )
+    by_vector = tr.predict(model, clean).select("doc_id", "prediction")
+    idf = model.stages.stages[2].getScalingVec()
+    values = [
+        (i, float(c), float(w))
+        for i, (c, w) in enumerate(zip(fitted.coefficients, idf))
+    ]
+    vocab = ft.feature_names(spark, model.stages).join(
+        spark.createDataFrame(values, "term_index int, coefficient double, idf double"),
+        "term_index",
+    )
+    weights = ft.weigh(ft.term_table(clean, "doc_id", "cleaned_text"), vocab, "doc_id")
+    sums = weights.join(F.broadcast(vocab.select("term", "coefficient")), "term").groupBy(
+        "doc_id"
+    ).agg(F.sum(F.col("tfidf") * F.col("coefficient")).alias("margin"))
+    margin = F.coalesce("margin", F.lit(0.0)) + float(fitted.intercept)
+    return by_vector.join(sums, "doc_id", "left").select(
+        "doc_id", ((margin > 0).cast("int") == F.col("prediction")).alias("same_class")
+    )
+
+
 @query("m5_predict_proba")
 def m5(spark, sf):
     model = _model(spark, sf, "3-class")
