@@ -341,13 +341,11 @@ def clean_classical(
 
     def negated(tokens: Column, place: Column) -> Column:
         size = F.size(tokens)
-        tail = F.transform(
-            F.slice(tokens, place + 1, F.greatest(size - place, F.lit(0))),
-            lambda w: F.concat(w, F.lit("_NEG")),
-        )
-        return F.when(place == 0, head(tokens)).otherwise(
-            F.concat(head(F.slice(tokens, F.lit(1), place)), tail)
-        )
+        none = place == 0
+        before = F.slice(tokens, F.lit(1), F.when(none, size).otherwise(place))
+        after = F.slice(tokens, place + 1, F.when(none, 0).otherwise(size - place))
+        tail = F.transform(after, lambda w: F.concat(w, F.lit("_NEG")))
+        return F.concat(head(before), tail)
 
     words = words_of(col)
     if use_negation:
