@@ -172,14 +172,14 @@ def test_batch_arrays(spark):
     assert got == [None, "empty_batch", "empty_batch", "too_many_items", None, "bad_item"]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, 10_000])
-def test_batches_with_one_huge_batch(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows, few", [(1, 0), (50, 0), (10_000, 0), (50, None)])
+def test_batches_with_one_huge_batch(spark, hot_rows, few):
     """A third of all rows in one batch, with and without the hot path."""
     rows = [("huge", f"text {i}") for i in range(300)]
     rows += [(f"b{i % 60}", "" if i == 7 else f"t {i}") for i in range(600)]
     rows += [(None, "lost")]
     df = spark.createDataFrame(rows, "batch string, text string")
-    out = vl.validate_batch(df, "batch", "text", hot_rows=hot_rows).collect()
+    out = vl.validate_batch(df, "batch", "text", hot_rows=hot_rows, max_broadcast_rows=few).collect()
     assert len(out) == len(rows)
     for r in out:
         want = {"huge": "too_many_items", "b7": "bad_item", None: "missing_batch"}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions.labels import valid_score
 from ..functions.text import is_blank
-from .skew import HOT_ROWS, attach_group_facts
+from ..session import materialize
+from .skew import HOT_ROWS, attach_group_facts, fits_broadcast
 
 
 def text_reason(col: Column | str, max_chars: int = lx.MAX_TEXT_CHARS) -> Column:
@@ -83,22 +84,28 @@ def validate_batch(
     max_items: int = lx.MAX_BATCH_ITEMS,
     max_chars: int = lx.MAX_TEXT_CHARS,
     hot_rows: int = HOT_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Add ``reason`` to every row of a batch that is refused as a whole.
 
-    The texts cross no shuffle for the verdict itself; a batch of any size is
-    one partially aggregated row there.
+    Only refused batches need a verdict. They are stored and, where they are
+    few, broadcast, so the texts cross no shuffle. Many of them are joined by
+    shuffle, the rows of huge batches apart.
     """
     verdicts = batch_verdicts(df, batch_col, text_col, max_items, max_chars)
-    marked = attach_group_facts(
-        df, verdicts, batch_col, "items", F.col(text_col), hot_rows
+    refused = materialize(
+        verdicts.filter(F.col("batch_reason").isNotNull()).drop("bad_items"), "refused"
     )
-    return marked.withColumn(
-        "reason",
-        F.when(F.col(batch_col).isNull(), "missing_batch").otherwise(
-            F.col("batch_reason")
-        ),
-    ).drop("items", "bad_items", "batch_reason")
+    if fits_broadcast(refused, max_broadcast_rows):
+        marked = df.join(F.broadcast(refused), batch_col, "left")
+    else:
+        marked = attach_group_facts(
+            df, refused, batch_col, "items", F.col(text_col), hot_rows
+        )
+    reason = F.when(F.col(batch_col).isNull(), "missing_batch").otherwise(
+        F.col("batch_reason")
+    )
+    return marked.select(*df.columns, reason.alias("reason"))
 
 
 def validate_score(df: DataFrame, col: str = "Score") -> DataFrame:

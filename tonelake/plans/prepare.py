@@ -15,7 +15,7 @@ from ..operators.rows import (
     require_min_rows,
 )
 from ..operators.sampling import check_fraction, sample_fraction
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.reviews import read_reviews
 
 MIN_ROWS = 10
@@ -51,10 +51,14 @@ def prepare_reviews(
     else:
         df = project_review(source, score_col, text_col, keep)
     df = drop_null_rows(df, [score_col, text_col])
-    if key is None:
+    stored = key is None
+    if stored:
         key = "review_id"
-        numbered = df.select(F.monotonically_increasing_id().alias(key), "*")
-        df = materialize(numbered, "reviews")
+        df = df.select(F.monotonically_increasing_id().alias(key), "*")
+    if isinstance(source, str):
+        df = spread(df, source, key, splittable=False)
+    if stored:
+        df = materialize(df, "reviews")
     df = sample_fraction(df, sample_frac, seed, key)
     if problem_type == "binary":
         df = drop_neutral(df, score_col)

@@ -114,7 +114,7 @@ def holdout(
     cleaned = [cleaner(mode)("Text").alias(f"clean_{mode}") for mode in modes]
     # cleaned once per mode, however many models share it
     test = materialize(test.select(key, "Text", "label", *cleaned), "holdout")
-    predictions = ev.long_predictions(
+    by_model = ev.long_predictions(
         {
             name: predict(
                 m,
@@ -126,6 +126,8 @@ def holdout(
         },
         key,
     )
+    # scored once for the report and the comparison
+    predictions = materialize(by_model, "predictions")
     truth = test.select(key, "label")
     if output_path:
         joined = predictions.join(truth, key)

@@ -53,10 +53,11 @@ def spread(df: DataFrame, path: str, key: str, splittable: bool = True) -> DataF
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files, size = (
-        spark.read.format("binaryFile").load(path)
-        .agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    )
-    if files >= cores or (splittable and size > cores * SPLIT_BYTES):
+    if len(df.inputFiles()) >= cores:
+        return df
+    # file sizes only, the contents are not read
+    sizes = spark.read.format("binaryFile").load(path)
+    size = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if splittable and size > cores * SPLIT_BYTES:
         return df
     return df.repartition(max(cores, math.ceil(size / SPLIT_BYTES)), key)
