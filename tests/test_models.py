@@ -164,6 +164,10 @@ def test_csv(spark, folder):
         ("1", 5.0, 'Great "stuff",\ntwo lines'), ("2", 1.0, None), ("3", 4.0, None),
         ("4", None, "fine"), ("5", 2.0, None), ("6", 3.0, "plain"),
     ]
+    with open(f"{folder}/bad.csv", "w") as f:
+        f.write("Score,Text\nfive,a\n")
+    with pytest.raises(Exception, match="Invalid score, no number: five"):
+        read_reviews(spark, f"{folder}/bad.csv").collect()
     with pytest.raises(FileNotFoundError):
         read_reviews(spark, f"{folder}/none.csv")
     with pytest.raises(ValueError, match="Available: Id, Score, Text, Other"):

@@ -215,10 +215,12 @@ def test_sql_functions_equal_columns(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("html").alias("x"))
     both = docs.union(pages)
     for name in ("strip_html", "strip_tags_regex", "strip_urls", "normalize_whitespace",
-                 "expand_contractions", "replace_numbers", "remove_non_alpha",
+                 "demojize", "expand_contractions", "replace_numbers", "remove_non_alpha",
                  "tokenize", "clean_minimal", "clean_regex", "analyze"):
         same = F.call_function(name, F.col("x")).eqNullSafe(getattr(tx, name)("x"))
         assert both.filter(~same).count() == 0, name
+    whole = F.call_function("clean_classical", F.col("x"))
+    assert docs.filter(~whole.eqNullSafe(tx.clean_classical("x"))).count() == 0
     words = both.select(tx.tokenize(tx.remove_non_alpha(F.lower("x"))).alias("t"))
     for name in ("mark_negation", "remove_stopwords", "lemmatize", "filter_short"):
         same = F.call_function(name, F.col("t")).eqNullSafe(getattr(tx, name)("t"))

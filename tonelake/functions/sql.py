@@ -43,6 +43,16 @@ def _contractions(x: str) -> str:
     return x
 
 
+def _emoji(x: str) -> str:
+    chars = sorted(lx.EMOJI_NAMES)
+    names = ", ".join(f"'{c}', ':{lx.EMOJI_NAMES[c]}:'" for c in chars)
+    return (
+        f"CASE WHEN rlike({x}, '[{chars[0]}-{chars[-1]}]') THEN array_join(transform("
+        f"split(replace({x}, '\uFE0F', ''), ''), c -> CASE WHEN c < '{chars[0]}' THEN c "
+        f"ELSE coalesce(element_at(map({names}), c), c) END), '') ELSE {x} END"
+    )
+
+
 def _split_words(x: str) -> str:
     halves = "|".join(rf"{a}(?={b}\b)" for a, b in lx.SPLIT_WORDS)
     return _sub(x, rf"\b({halves})", "$1 ")
@@ -103,6 +113,13 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
             many, "ARRAY<STRING>",
             "filter(tokens, w -> length(w) > 2 OR endswith(w, '_NEG'))",
         ),
+        "demojize": (one, "STRING", _emoji("x")),
+        "clean_classical": (
+            one, "STRING",
+            "array_join(filter_short(lemmatize(remove_stopwords(mark_negation(tokenize("
+            "remove_non_alpha(replace_numbers(lower(expand_contractions(demojize("
+            "strip_urls(strip_html(x)))))))))))), ' ')",
+        ),
         "clean_minimal": (
             one, "STRING", "normalize_whitespace(strip_urls(strip_html(x)))"
         ),

@@ -57,9 +57,12 @@ def read_reviews(
     def present(name: str):
         return F.when(~F.col(name).isin(*lx.MISSING_STRINGS), F.col(name))
 
+    score = present(score_col)
+    number = score.try_cast("double")
+    unreadable = F.raise_error(F.concat(F.lit("Invalid score, no number: "), score))
     return df.select(
         *keep,
-        # text that is no number fails here; numbers are cut when labelled
-        present(score_col).cast("double").alias(score_col),
+        F.when(score.isNotNull() & number.isNull(), unreadable.cast("double"))
+        .otherwise(number).alias(score_col),
         present(text_col).alias(text_col),
     )
