@@ -144,6 +144,23 @@ def test_stream(spark, model, folder):
     assert rejects == {2: "empty", 4: "too_long"}
 
 
+def test_request_arrays(spark, model, folder):
+    rows = [(1, ["great", "awful"]), (2, []), (3, ["a", " "]), (4, ["x"] * 101), (5, None)]
+    df = spark.createDataFrame(rows, "batch_id int, texts array<string>")
+    out = sc.score_request_arrays(model, df)
+    got = {(r["batch_id"], r["item"]): r["label"] for r in out.predictions.collect()}
+    assert got == {(1, 0): "POSITIVE", (1, 1): "NEGATIVE"}
+    reasons = {r["batch_id"]: r["reason"] for r in out.rejects.collect()}
+    assert reasons == {2: "empty_batch", 3: "bad_item", 4: "too_many_items", 5: "empty_batch"}
+    df.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    score_stream(
+        stream, model, f"{folder}/out", f"{folder}/cp", texts_col="texts"
+    ).awaitTermination()
+    assert spark.read.parquet(f"{folder}/out/scored").count() == 2
+    assert spark.read.parquet(f"{folder}/out/rejects").count() == 4
+
+
 CSV = '''Id,Score,Text,Other
 1,5,"Great ""stuff"",
 two lines",x

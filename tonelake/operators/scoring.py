@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.labels import label_name
 from ..functions.text import bind, cleaner
 from .training import SentimentModel
-from .validation import validate_batch
+from .validation import batch_reason, validate_batch
 
 
 def _scored(model: SentimentModel, df: DataFrame, text_col: str) -> DataFrame:
@@ -150,3 +150,32 @@ def score_requests(
         F.max("reason").alias("reason"),
     )
     return ScoredRequests(predict_with_labels(model, good, text_col), bad, report)
+
+
+def score_request_arrays(
+    model: SentimentModel,
+    df: DataFrame,
+    batch_col: str = "batch_id",
+    texts_col: str = "texts",
+) -> ScoredRequests:
+    """The same for requests that hold their texts in one array column.
+
+    A request is judged within its row, so this needs no shuffle and no state;
+    predictions carry the place of each text as ``item``.
+    """
+    checked = df.withColumn("reason", batch_reason(texts_col))
+    passed = F.col("reason").isNull()
+    good = checked.filter(passed).select(
+        batch_col, F.posexplode(texts_col).alias("item", "text")
+    )
+    size = F.coalesce(F.size(texts_col), F.lit(0)).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    report = checked.select(
+        batch_col,
+        F.when(passed, size).otherwise(none).alias("total_processed"),
+        F.when(passed, none).otherwise(size).alias("total_rejected"),
+        "reason",
+    )
+    return ScoredRequests(
+        predict_with_labels(model, good, "text"), checked.filter(~passed), report
+    )

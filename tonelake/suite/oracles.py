@@ -622,6 +622,14 @@ WITH v AS (
   HAVING count(*) <= 100 AND NOT bool_or({reason("text", 1200)} IS NOT NULL)
 )
 SELECT conv_id, turn, true AS named FROM conversations JOIN v USING (conv_id)"""
+ORACLES["p5_request_arrays"] = f"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+good AS (
+  SELECT * FROM s WHERE len(lines) <= 100
+    AND len(list_filter(lines, lambda x: {reason('x', 5000)} IS NOT NULL)) = 0
+)
+SELECT doc_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS item,
+  unnest(lines) AS text, true AS named FROM good"""
 ORACLES["p6_stream_accepted"] = (
     f"SELECT doc_id, true AS named FROM documents WHERE {reason('text', 5000)} IS NULL"
 )

@@ -826,6 +826,16 @@ def p5c(spark, sf):
     )
 
 
+@query("p5_request_arrays")
+def p5d(spark, sf):
+    """A request per document, its lines the texts."""
+    requests = read(spark, sf).select("doc_id", F.split("text", "\n").alias("texts"))
+    scored = sc.score_request_arrays(_model(spark, sf), requests, "doc_id")
+    return scored.predictions.select(
+        "doc_id", "item", "text", F.col("label").isNotNull().alias("named")
+    )
+
+
 @query("p5_request_report")
 def p5b(spark, sf):
     talk = talks(spark, sf).withColumn(
