@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .tokenfile import token_file_round_trip
 from .tokens import public_path
 
 
@@ -14,12 +15,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path())
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_file_round_trip(spark, docs, public_path(), with_ids=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_token_files": op2_token_files,
     "op8_sharding": op8_sharding,
 }
 ORACLES: dict[str, str] = {}
