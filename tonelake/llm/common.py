@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import SALTS, fits_broadcast
+
 BATCH_BYTES = 4 * 1024 * 1024
 
 
@@ -43,6 +45,22 @@ def text_batches(
         yield ids, texts
 
 
+def hot_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join rows to a stored lookup table, unique by ``keys``, that may have hot keys.
+
+    Broadcast if its size, which is looked up, is small. Otherwise the lookup is
+    repeated once per salt, and a frequent key is shared out over ``SALTS`` tasks.
+    """
+    if fits_broadcast(lookup):
+        return rows.join(F.broadcast(lookup), keys, how)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = lookup.withColumn("__salt", salts)
+    return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 # --- word hashes ------------------------------------------------------------
 # A word is a run of ASCII letters, digits and bytes of 128 and more (so any
 # character that is not ASCII); A-Z count as a-z.

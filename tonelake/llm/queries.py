@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .linededup import drop_boilerplate
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .tokenfile import token_file_round_trip
@@ -20,6 +22,37 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, docs, public_path(), with_ids=False)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return docs.select(
+        "doc_id",
+        F.col("lines_removed").cast("long").alias("lines_removed"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+OP3_SQL = """
+WITH lines AS (
+    SELECT DISTINCT doc_id, text, source, trim(rtrim(unnest(string_split(text, chr(10))), chr(13)), ' ') AS line
+    FROM documents
+), spread AS (
+    SELECT line, min(doc_id) AS keeper FROM lines
+    WHERE len(regexp_split_to_array(line, '\\s+')) >= 3
+    GROUP BY line HAVING count(DISTINCT source) >= 10
+), split AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+        generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM documents
+), marked AS (
+    SELECT s.doc_id, s.raw, s.pos, p.line IS NOT NULL AND p.keeper <> s.doc_id AS gone
+    FROM split s LEFT JOIN spread p ON p.line = trim(rtrim(s.raw, chr(13)), ' ')
+)
+SELECT doc_id, count(*) FILTER (gone) AS lines_removed,
+    md5(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5
+FROM marked GROUP BY doc_id
+"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -27,6 +60,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
+    "op3_line_dedup": op3_line_dedup,
     "op8_sharding": op8_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_line_dedup": OP3_SQL,
+}
