@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licences import licence_sql, scan_licences
 from .linededup import drop_boilerplate
 from .packing import pack_documents
+from .secretscan import find_secrets
 from .sharding import shard_by_bytes
 from .tokenfile import token_file_round_trip
 from .tokens import public_path
@@ -53,6 +55,15 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -61,8 +72,11 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
+    "op4_secrets": op4_secrets,
+    "op6_licences": op6_licences,
     "op8_sharding": op8_sharding,
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
+    "op6_licences": licence_sql(),
 }
