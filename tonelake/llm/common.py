@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store that a folder's URI names; a plain path is a mounted share."""
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
 def text_batches(
     batches: Iterable[pa.RecordBatch], max_bytes: int = BATCH_BYTES
 ) -> Iterator[tuple[list, list]]:
@@ -45,6 +51,28 @@ def text_batches(
         yield ids, texts
 
 
+def filter_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` whose texts ``keep`` says yes to, with all their columns.
+
+    ``keep`` gets lists of texts, about ``BATCH_BYTES`` at a time.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            sizes = np.cumsum([len(t) if t else 0 for t in texts])
+            done = 0
+            while done < len(texts):
+                most = (sizes[done - 1] if done else 0) + BATCH_BYTES
+                stop = max(done + 1, int(np.searchsorted(sizes, most, "right")))
+                part = batch.slice(done, stop - done)
+                yield part.filter(pa.array(keep(texts[done:stop]), pa.bool_()))
+                done = stop
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def hot_join(
     rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import find_contamination
 from .licences import licence_sql, scan_licences
 from .linededup import drop_boilerplate
 from .packing import pack_documents
@@ -68,6 +69,47 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+# Words as the operator takes them, and every run of as many as some item's window has.
+_WORDS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n,
+        array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)
+), places AS (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), found AS (
+    SELECT p.r, p.p, p.n, x.item_id FROM places p
+    JOIN windows x ON x.n = p.n AND x.gram = array_to_string(list_slice(p.w, p.p, p.p + p.n - 1), ' ')
+), hit AS (
+    SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+    FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS i FROM found) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -75,8 +117,10 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_licences": op6_licences,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op6_licences": licence_sql(),
+    "op9_decontamination": OP9_SQL,
 }

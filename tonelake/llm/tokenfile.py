@@ -8,12 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import id_and_text, text_batches
+from .common import id_and_text, open_folder, text_batches
 from .eliasfano import EliasFano
 from .tokens import END_ID, encoder
 
@@ -38,11 +37,6 @@ READ = pa.schema(
 )
 
 
-def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    """The store that a folder's URI names; a plain path is a mounted share."""
-    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-
-
 def file_bytes(doc_ids: list, lengths: np.ndarray, ids: bytes, width: int) -> bytes:
     """One file: header, boundaries, document ids, then the ids end to end.
 
