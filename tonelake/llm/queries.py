@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_contamination
+from .langid import detect_language, held_out, train_language_model
 from .licences import licence_sql, scan_licences
 from .linededup import drop_boilerplate
 from .packing import pack_documents
@@ -65,6 +66,12 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("dice", F.round("dice", 6))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = detect_language(docs, train_language_model(docs))
+    return found.withColumn("held_out", held_out())
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -116,6 +123,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_secrets": op4_secrets,
     "op6_licences": op6_licences,
+    "op7_language": op7_language,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
 }
