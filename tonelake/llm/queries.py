@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_contamination
+from .jaccard import near_copies
 from .langid import detect_language, held_out, train_language_model
 from .licences import licence_sql, scan_licences
 from .linededup import drop_boilerplate
@@ -61,6 +62,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(table(spark, sf_dir, "documents"))
     return found.withColumn("dice", F.round("dice", 6))
@@ -94,6 +100,24 @@ _WORDS_SQL = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
     " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+        lambda p: array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' '))) AS s
+    FROM d WHERE len(w) > 0
+), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT r.a AS doc_id, min(r.b) AS class_id, any_value(coalesce(k.n, 0)) AS n_links
+FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = r.a
+GROUP BY r.a
+"""
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
@@ -122,6 +146,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_secrets": op4_secrets,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_licences": op6_licences,
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
@@ -129,6 +154,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op6_licences": licence_sql(),
     "op9_decontamination": OP9_SQL,
 }
