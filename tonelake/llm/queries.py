@@ -16,6 +16,7 @@ from .secretscan import find_secrets
 from .sharding import shard_by_bytes
 from .tokenfile import token_file_round_trip
 from .tokens import public_path
+from .vectors import near_vectors
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 # Words as the operator takes them, and every run of as many as some item's window has.
 _WORDS_SQL = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
@@ -151,6 +156,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_vectors": op10_vectors,
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
