@@ -160,7 +160,7 @@ def scan_licences(
             scores = F.transform(fits, lambda t: F.struct(dice(grams, t).alias("dice"), t["name"].alias("name")))
             return F.array_max(scores)
 
-        sets = F.filter(_gram_sets(_units(F.col(text_col)), int(least)), lambda g: g.isNotNull())
+        sets = F.filter(_gram_sets(_units(F.col(text_col)), max(1, int(least))), lambda g: g.isNotNull())
         stated = F.filter(F.transform(sets, best), lambda b: b["dice"] >= threshold)
     else:
         stated = F.lit(None).cast(found)
