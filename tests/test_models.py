@@ -52,7 +52,9 @@ def test_gradient_vanishes(spark, data, C, weighting):
     rows = data.union(data.filter("label = 1"))
     model = tr.fit_sentiment(rows, C=C, class_weight=weighting, tol=1e-12)
     fitted = model.stages.stages[-1]
-    weights = tr.balanced(tr.class_sizes(rows, "label")) if weighting == "balanced" else weighting or {}
+    weights = weighting or {}
+    if weighting == "balanced":
+        weights = {r["label"]: r["weight"] for r in tr.balanced(tr.class_sizes(rows, "label")).collect()}
     out = model.transform(rows).select(
         (tr.weight_column("label", weights)
          * (vector_to_array("probability")[1] - F.col("label"))).alias("pull"),

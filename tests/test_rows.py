@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import labels as lb
 from tonelake.operators import rows as rw
+from tonelake.operators import sampling
 from tonelake.operators import splits as sp
+from tonelake.operators import training as tr
 from tonelake.operators import validation as vl
 from tonelake.operators.sampling import order_hash, sample_fraction
 from tonelake.operators.skew import attach_group_facts
@@ -61,7 +63,7 @@ def test_row_filters(spark):
 def test_sample_size_and_order(spark, n, frac):
     df = spark.range(n).withColumnRenamed("id", "k")
     got = {r["k"] for r in sample_fraction(df, frac, 42, "k").collect()}
-    ranked = df.orderBy(order_hash("k", 42)).limit(round(n * frac)).collect()
+    ranked = df.orderBy(order_hash("k", "42|sample")).limit(round(n * frac)).collect()
     assert got == {r["k"] for r in ranked}
 
 
@@ -122,17 +124,40 @@ def test_split_does_not_shuffle_rows(spark, sf):
     assert "Exchange" not in top.replace("BroadcastExchange", "")
 
 
-def test_quotas():
+def test_quotas(spark):
     rng = random.Random(1)
-    for _ in range(200):
+    for _ in range(6):
         sizes = {i: rng.randint(1, 50) for i in range(rng.randint(1, 6))}
         n = sum(sizes.values())
         total = rng.randint(0, n)
-        got = sp.quotas(sizes, total)
+        df = spark.createDataFrame(list(sizes.items()), "class int, n long")
+        got = {r["class"]: r["quota"] for r in sp.quotas(df, total).collect()}
         assert sum(got.values()) == total
         assert all(abs(got[c] - sizes[c] * total / n) < 1 for c in sizes)
 
 
+def test_very_many_classes(spark):
+    df = spark.range(100_000).select(
+        F.col("id").alias("review_id"), (F.col("id") % 50_000).alias("label")
+    )
+    out = sp.with_split(df, 0.5).groupBy("label").agg(
+        F.count_if(F.col("split") == "test").alias("test"), F.count("*").alias("n")
+    )
+    assert out.filter("test <> 1 or n <> 2").count() == 0
+    weighted = tr.balanced_weights(df)
+    assert weighted.count() == 100_000 and weighted.filter("weight <> 1.0").count() == 0
+
+
+def test_cut_points_need_more_digits(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 1)
+    df = spark.range(30_000).withColumnRenamed("id", "k")
+    want = {
+        r["k"] for r in df.orderBy(order_hash("k", "42|sample")).limit(10_000).collect()
+    }
+    got = sample_fraction(df, 1 / 3, 42, "k").collect()
+    assert {r["k"] for r in got} == want
+
+
 def test_split_guards(spark):
     with pytest.raises(ValueError, match="required 10, got 1"):
         sp.split_train_test(labelled(spark, 1))

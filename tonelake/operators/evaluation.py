@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import label_name
 
+CELLS = ("model", "true_label", "pred_label", "n")
 METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
 
 
@@ -22,9 +23,12 @@ def confusion_cells(
 ) -> DataFrame:
     """``(model, true_label, pred_label, n)`` for the pairs that occur.
 
-    Rows without a true or predicted label have nothing to compare. Dropping
-    them here, not in later joins, lets every use share one aggregation.
+    Rows without a true or predicted label have nothing to compare; ``match_counts``
+    tells how many there are. A table that already has these columns comes
+    back as it is, so several metrics can share one that is stored.
     """
+    if set(CELLS) == set(df.columns):
+        return df
     model = F.col(by) if by else F.lit("model")
     paired = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & model.isNotNull())
     return paired.groupBy(
@@ -222,19 +226,54 @@ def long_predictions(predictions: Mapping[str, DataFrame], key: str) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+def match_counts(predictions: DataFrame, truth: DataFrame, y: str, key: str) -> DataFrame:
+    """What a comparison leaves out, one row per model.
+
+    ``(model, rows, matched, unmatched, unlabelled, repeated)``: predictions, those with a
+    predicted and a true label, those whose key has no truth, those without a label on
+    either side, and those whose key occurs more than once in ``truth``.
+    """
+    known = truth.groupBy(key).agg(F.count(F.lit(1)).alias("times"), F.first(y).alias("true"))
+    joined = predictions.join(known, key, "left")
+    missing = F.col("times").isNull()
+    no_label = F.col("true").isNull() | F.col("prediction").isNull()
+    return joined.groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~missing & ~no_label).alias("matched"),
+        F.count_if(missing).alias("unmatched"),
+        F.count_if(~missing & no_label).alias("unlabelled"),
+        F.count_if(F.col("times") > 1).alias("repeated"),
+    )
+
+
 def compare_models(
     predictions: DataFrame, truth: DataFrame, y: str, key: str
 ) -> DataFrame:
     """Metrics per model, 4 decimals, over rows matched by key.
 
-    Keys are unique in ``truth``; each model's rows meet it once and all models
-    share one aggregation.
+    A key that ``truth`` has more than once is an error; rows that find no
+    truth are counted by ``match_counts``. All models share one aggregation.
     """
-    joined = predictions.join(truth.select(key, y), key)
+    times = F.count(F.lit(1)).alias("times")
+    once = truth.groupBy(key).agg(times, F.first(y).alias(y)).select(
+        key,
+        F.when(F.col("times") > 1, F.raise_error(F.concat(F.lit("truth has a key twice: "), F.col(key).cast("string"))))
+        .otherwise(F.col(y))
+        .alias(y),
+    )
+    joined = predictions.join(once, key)
     rounded = [F.round(m, 4).alias(m) for m in METRICS]
     return summarize(joined, y, "prediction", "model").select("model", *rounded)
 
 
-def infer_num_labels(df: DataFrame, y: str) -> DataFrame:
-    """Number of distinct labels in the data."""
-    return df.groupBy(y).count().agg(F.count(y).alias("num_labels"))
+def infer_num_labels(df: DataFrame, y: str, description: DataFrame | None = None) -> DataFrame:
+    """Number of classes: as a stored model description says, else distinct labels.
+
+    ``description`` is what ``model_info`` reads; one without a class count, or
+    none at all, leaves it to the data.
+    """
+    found = df.groupBy(y).count().agg(F.count(y).alias("num_labels"))
+    if description is None or "num_labels" not in description.columns:
+        return found
+    stored = description.agg(F.max(F.col("num_labels").cast("bigint"))).scalar()
+    return found.select(F.coalesce(stored, F.col("num_labels")).alias("num_labels"))

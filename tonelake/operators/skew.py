@@ -68,7 +68,7 @@ def attach_group_facts(
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     spread_by: Sequence[str],
     how: str = "left",
     max_rows: int | None = None,
@@ -78,12 +78,13 @@ def lookup_join(
     A lookup of checked size is broadcast. A larger one is repeated once per
     salt, so that a frequent key is shared out over ``SALTS`` tasks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if fits_broadcast(lookup, max_rows):
-        return rows.join(F.broadcast(lookup), key, how)
+        return rows.join(F.broadcast(lookup), keys, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         rows.withColumn("salt", salt)
-        .join(lookup.withColumn("salt", salts), [key, "salt"], how)
+        .join(lookup.withColumn("salt", salts), [*keys, "salt"], how)
         .drop("salt")
     )

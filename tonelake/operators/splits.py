@@ -4,27 +4,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .sampling import bucket_counts, cut_points, order_hash
+from .skew import lookup_join
 
-# More classes than this is taken for a mistake in the stratify column.
-MAX_CLASSES = 10_000
 
+def quotas(sizes: DataFrame, total: int, of: str = "n", out: str = "quota") -> DataFrame:
+    """Add each class's share of ``total``, in proportion to ``of``, by largest remainder.
 
-def quotas(sizes: dict, total: int) -> dict:
-    """``total`` shared out in proportion to ``sizes`` by largest remainder.
-
-    Whole-number arithmetic; equal remainders go to the smaller class first.
+    Whole-number arithmetic; equal remainders go to the smaller class first. One
+    window over the classes, a row each.
     """
-    n = sum(sizes.values())
-    share = {c: size * total // n for c, size in sizes.items()}
-    by_rest = sorted(sizes, key=lambda c: (-(sizes[c] * total % n), c))
-    for c in by_rest[: total - sum(share.values())]:
-        share[c] += 1
-    return share
+    n = F.sum(of).over(Window.partitionBy())
+    wide = f"cast(cast({of} as decimal(38,0)) * {total} as decimal(38,0))"
+    parts = sizes.withColumn("all_rows", n.cast("decimal(38,0)")).withColumns(
+        {
+            "base": F.expr(f"coalesce({wide} div all_rows, 0)"),
+            "rest": F.expr(f"coalesce({wide} % all_rows, 0)"),
+        }
+    )
+    turn = F.row_number().over(Window.orderBy(F.desc("rest"), "class"))
+    left = F.lit(total) - F.sum("base").over(Window.partitionBy())
+    return parts.withColumns({"turn": turn, "left_over": left}).select(
+        *sizes.columns,
+        (F.col("base") + (F.col("turn") <= F.col("left_over")).cast("int")).cast("bigint").alias(out),
+    )
 
 
 def _check_sizes(n: int, test_size: float, val_size: float | None) -> None:
@@ -44,13 +51,13 @@ def _check_sizes(n: int, test_size: float, val_size: float | None) -> None:
         )
 
 
-def _check_classes(sizes: dict, parts: list[int]) -> None:
-    if None in sizes:
+def _check_classes(classes: int, nulls: int, least: int, parts: list[int]) -> None:
+    if nulls:
         raise ValueError("the stratify column holds nulls")
-    if min(sizes.values()) < 2:
+    if least < 2:
         raise ValueError("every class needs at least 2 rows")
-    if min(parts) < len(sizes):
-        raise ValueError(f"each split needs at least {len(sizes)} rows, one per class")
+    if min(parts) < classes:
+        raise ValueError(f"each split needs at least {classes} rows, one per class")
 
 
 def with_split(
@@ -69,49 +76,37 @@ def with_split(
     """
     grouped = bool(stratify) and stratify in df.columns
     label: Column = F.col(stratify) if grouped else F.lit(0)
-    h = order_hash(key, seed)
+    h = order_hash(key, f"{seed}|split")
     hashed = df.select(label.alias("class"), h.alias("h"))
     counts = materialize(bucket_counts(hashed), "split-counts")
-    rows = counts.groupBy("class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1)
-    sizes = {r["class"]: r["n"] for r in rows.collect()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {stratify!r}")
-
-    n = sum(sizes.values())
+    sizes = materialize(counts.groupBy("class").agg(F.sum("n").alias("n")), "class-sizes")
+    n, classes, nulls, least = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.isnull("class")), F.min("n")
+    ).first()
     _check_sizes(n, test_size, val_size)
     n_test = math.ceil(n * test_size)
     n_val = math.ceil((n - n_test) * val_size) if val_size else 0
     parts = [n_test, n - n_test - n_val] + ([n_val] if val_size else [])
     if grouped:
-        _check_classes(sizes, parts)
-    test = quotas(sizes, n_test)
-    val = quotas({c: sizes[c] - test[c] for c in sizes}, n_val)
-
-    spark = df.sparkSession
-    class_type = counts.schema["class"].dataType.simpleString()
-    targets = spark.createDataFrame(
-        [
-            row
-            for c in sizes
-            for row in ((c, "test", test[c]), (c, "val", test[c] + val[c]))
-        ],
-        f"class {class_type}, cut string, rank bigint",
+        _check_classes(classes, nulls, least, parts)
+    shares = quotas(sizes, n_test, "n", "test").withColumn("left", F.col("n") - F.col("test"))
+    shares = quotas(shares, n_val, "left", "val")
+    cuts = F.array(
+        F.struct(F.lit("test").alias("cut"), F.col("test").alias("rank")),
+        F.struct(F.lit("val").alias("cut"), (F.col("test") + F.col("val")).alias("rank")),
     )
-    found = (
+    targets = materialize(shares.select("class", F.inline(cuts)), "split-targets")
+    # a row per class, stored: later passes over the split only look it up
+    found = materialize(
         cut_points(hashed, counts, targets)
-        .groupBy("class")
+        .groupBy(F.col("class").alias("split_class"))
         .agg(
             F.max(F.when(F.col("cut") == "test", F.col("h"))).alias("test_cut"),
             F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("val_cut"),
-        )
-    )
-    # a row per class, found once: later passes over the split only look it up
-    cuts = spark.createDataFrame(
-        found.collect(), f"split_class {class_type}, test_cut string, val_cut string"
-    )
-    placed = df.withColumn("split_class", label).join(
-        F.broadcast(cuts), "split_class", "left"
+        ),
+        "split-cuts",
     )
+    placed = lookup_join(df.withColumn("split_class", label), found, "split_class", [key])
     return placed.select(
         *df.columns,
         F.when(h <= F.col("test_cut"), "test")

@@ -14,42 +14,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import names_for
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .features import DEFAULT_MAX_FEATURES, fit_tfidf
 from .rows import require_columns
-from .splits import MAX_CLASSES
+from .skew import lookup_join
 
 ROWS_PER_TASK = 20_000
 
 
-def class_sizes(df: DataFrame, label_col: str) -> dict[Any, int]:
-    """Rows per class; more than ``MAX_CLASSES`` classes is an error."""
-    rows = df.groupBy(label_col).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label_col!r}")
-    return {r[0]: r[1] for r in rows}
+def class_sizes(df: DataFrame, label_col: str) -> DataFrame:
+    """``(label, n)``, rows per class, stored."""
+    return materialize(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")), "class-sizes")
 
 
-def balanced(sizes: dict[Any, int]) -> dict[Any, float]:
+def balanced(sizes: DataFrame, output_col: str = "weight") -> DataFrame:
     """Class weights under which every class weighs the same in total."""
-    n = sum(sizes.values())
-    return {c: n / (len(sizes) * size) for c, size in sizes.items()}
+    n, classes = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    weight = F.lit(float(n or 0)) / (F.lit(float(classes)) * F.col("n"))
+    return sizes.withColumn(output_col, weight).drop("n")
 
 
 def weight_column(label_col: str, weights: dict[Any, float]) -> Column:
-    """Weight of a row's class; 1 for a class that has none."""
-    out = F.lit(1.0)
-    for label, weight in weights.items():
-        out = F.when(F.col(label_col) == label, float(weight)).otherwise(out)
-    return out
+    """Weight of a row's class from given weights; 1 for a class that has none."""
+    if not weights:
+        return F.lit(1.0)
+    pairs = [F.lit(x) for c, w in weights.items() for x in (c, float(w))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(label_col)), F.lit(1.0))
 
 
 def balanced_weights(
     df: DataFrame, label_col: str = "label", output_col: str = "weight"
 ) -> DataFrame:
-    """Add the balanced class weight to each row; a projection, no join."""
-    weights = balanced(class_sizes(df, label_col))
-    return df.withColumn(output_col, weight_column(label_col, weights))
+    """Add the balanced class weight to each row, looked up by class."""
+    weights = materialize(balanced(class_sizes(df, label_col), "__weight"), "class-weights")
+    spread_by = [c for c in df.columns if c != label_col] or [label_col]
+    joined = lookup_join(df, weights, label_col, spread_by)
+    kept = [c for c in df.columns if c != output_col]
+    return joined.select(*kept, F.coalesce("__weight", F.lit(1.0)).alias(output_col))
 
 
 def fit_logistic(
@@ -69,10 +70,16 @@ def fit_logistic(
     """
     require_columns(df, [features_col, label_col])
     sizes = class_sizes(df, label_col)
-    if len(sizes) < 2:
-        raise ValueError(f"training needs at least 2 classes, got {len(sizes)}")
-    weights = balanced(sizes) if class_weight == "balanced" else (class_weight or {})
-    total = sum(n * weights.get(c, 1.0) for c, n in sizes.items())
+    rows, classes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if classes < 2:
+        raise ValueError(f"training needs at least 2 classes, got {classes}")
+    if class_weight == "balanced":
+        total = float(rows)
+        weighted = balanced_weights(df.select(features_col, label_col), label_col)
+    else:
+        weight = weight_column(label_col, class_weight or {})
+        total = sizes.agg(F.sum(F.col("n") * weight)).first()[0]
+        weighted = df.select(features_col, label_col, weight.alias("weight"))
     params = {
         "featuresCol": features_col,
         "labelCol": label_col,
@@ -82,17 +89,13 @@ def fit_logistic(
         "standardization": False,
         "maxIter": max_iter,
         "tol": tol,
-        "family": "binomial" if len(sizes) == 2 else "multinomial",
+        "family": "binomial" if classes == 2 else "multinomial",
         # partial sums meet in two steps, so few reach the driver at once
-        "aggregationDepth": 2 if sum(sizes.values()) < 10**8 else 3,
+        "aggregationDepth": 2 if rows < 10**8 else 3,
     } | kwargs
-    weighted = df.select(
-        features_col,
-        F.col(label_col).cast("double").alias(label_col),
-        weight_column(label_col, weights).alias("weight"),
-    )
+    weighted = weighted.withColumn(label_col, F.col(label_col).cast("double"))
     # every iteration aggregates over all partitions: none smaller than a block
-    tasks = max(1, math.ceil(sum(sizes.values()) / ROWS_PER_TASK))
+    tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
     return LogisticRegression(**params).fit(weighted.coalesce(tasks))
 
 

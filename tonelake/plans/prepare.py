@@ -24,7 +24,7 @@ MIN_ROWS = 10
 def prepare_reviews(
     source: DataFrame | str,
     spark: SparkSession | None = None,
-    sample_frac: float = 0.1,
+    sample_frac: float = 1.0,
     problem_type: str = "binary",
     mode: str = "classical",
     seed: int = 42,

@@ -21,6 +21,7 @@ from ..sources.models import save_model
 from ..sources.registry import register_model
 from .prepare import prepare_reviews
 
+# Fixed value: the name under which the model is listed
 MODEL_NAME = "Logistic Regression + TF-IDF"
 
 
@@ -47,7 +48,7 @@ def train_model(
     max_features: int = DEFAULT_MAX_FEATURES,
     ngram_range: tuple[int, int] = (1, 1),
     seed: int = 42,
-    sample_frac: float = 0.1,
+    sample_frac: float = 1.0,
     problem_type: str = "binary",
     mode: str = "classical",
     key: str | None = None,
@@ -58,6 +59,8 @@ def train_model(
     Texts are cleaned once and stored; split, vectorizer, classifier and
     evaluation read the stored table.
     """
+    if registry and not output_dir:
+        raise ValueError("a model to be registered needs an output_dir")
     spark = spark or SparkSession.active()
     prepared = prepare_reviews(
         source, spark, sample_frac, problem_type, mode, seed, key=key
@@ -71,7 +74,8 @@ def train_model(
         mode, names, **logistic,
     )
     model.parameters.update(test_size=test_size, random_state=seed)
-    predictions = predict(model, part(data, "test"))
+    # scored once; the metrics and the caller read the stored rows
+    predictions = materialize(predict(model, part(data, "test")), "predictions")
     metrics = nested_metrics(
         predictions.withColumn("model", F.lit(MODEL_NAME)),
         "label", "prediction", "model", names=names,
@@ -86,48 +90,73 @@ def train_model(
 def evaluate_model(
     model: SentimentModel, df: DataFrame, text_col: str, label_col: str = "label"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(predictions, metrics)`` of one model on raw text."""
-    predictions = predict_ids(model, df, text_col)
+    """``(predictions, metrics)`` of one model on the labelled rows of raw text.
+
+    Labelled rows are scored once and stored, without their texts.
+    """
+    rows = predict_ids(model, df.filter(F.col(label_col).isNotNull()), text_col)
+    kept = [c for c in rows.columns if c != text_col]
+    predictions = materialize(rows.select(*kept), "predictions")
     return predictions, ev.evaluate_classification(predictions, label_col, "prediction")
 
 
+def holdout_rows(
+    reviews: DataFrame,
+    key: str = "review_id",
+    split: DataFrame | None = None,
+    test_size: float = 0.1,
+    problem_type: str = "binary",
+    seed: int = 42,
+) -> DataFrame:
+    """Key, text and label of the rows to evaluate on.
+
+    With ``split``, the table that training stored (``Trained.data``), its test rows and
+    their labels. Without, the reviews are split anew by key and seed: that suits models
+    that were trained elsewhere, as rows one of these has seen can't be told.
+    """
+    texts = drop_null_rows(project_review(reviews, keep=(key,)), ["Score", "Text"])
+    if split is not None:
+        test = part(split, "test").select(key, "label")
+        return texts.select(key, "Text").join(test, key)
+    if problem_type == "binary":
+        texts = drop_neutral(texts)
+    texts = texts.withColumn("label", score_to_label("Score", problem_type))
+    return part(with_split(texts, test_size, None, "label", seed, key), "test").select(key, "Text", "label")
+
+
 def holdout(
     reviews: DataFrame,
-    models: dict[str, SentimentModel],
+    models: dict[str, SentimentModel | DataFrame],
     key: str = "review_id",
     test_size: float = 0.1,
     problem_type: str = "binary",
     seed: int = 42,
     output_path: str | None = None,
+    split: DataFrame | None = None,
 ) -> DataFrame:
-    """Compare models on the held-out part of raw reviews.
+    """Compare models on rows that they haven't seen, see ``holdout_rows``.
 
-    The split is by key and seed alone, so a model trained on the same table
-    with the same seed and size has not seen these rows.
+    A model is a fitted one, or a table of ``key`` and ``prediction`` made by any other
+    scorer. Predictions for other rows than the held-out ones are left out.
     """
-    df = drop_null_rows(project_review(reviews, keep=(key,)), ["Score", "Text"])
-    if problem_type == "binary":
-        df = drop_neutral(df)
-    df = df.withColumn("label", score_to_label("Score", problem_type))
-    test = part(with_split(df, test_size, None, "label", seed, key), "test")
-    modes = {m.mode for m in models.values() if m.mode}
+    rows = holdout_rows(reviews, key, split, test_size, problem_type, seed)
+    fitted = {n: m for n, m in models.items() if isinstance(m, SentimentModel)}
+    modes = {m.mode for m in fitted.values() if m.mode}
     cleaned = [cleaner(mode)("Text").alias(f"clean_{mode}") for mode in modes]
     # cleaned once per mode, however many models share it
-    test = materialize(test.select(key, "Text", "label", *cleaned), "holdout")
-    by_model = ev.long_predictions(
-        {
-            name: predict(
-                m,
-                test.select(
-                    key, F.col(f"clean_{m.mode}" if m.mode else "Text").alias(m.text_col)
-                ),
-            )
-            for name, m in models.items()
-        },
-        key,
-    )
+    test = materialize(rows.select(key, "Text", "label", *cleaned), "holdout")
+    scored = {
+        name: predict(
+            m,
+            test.select(key, F.col(f"clean_{m.mode}" if m.mode else "Text").alias(m.text_col)),
+        )
+        for name, m in fitted.items()
+    }
+    for name, table in models.items():
+        if name not in fitted:
+            scored[name] = table.select(key, "prediction").join(test.select(key), key, "left_semi")
     # scored once for the report and the comparison
-    predictions = materialize(by_model, "predictions")
+    predictions = materialize(ev.long_predictions(scored, key), "predictions")
     truth = test.select(key, "label")
     if output_path:
         joined = predictions.join(truth, key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..session import materialize
 
 
 def nested_metrics(
@@ -18,9 +19,10 @@ def nested_metrics(
 ) -> DataFrame:
     """``(model, metrics)``: scalars, report by class, confusion as rows.
 
-    Everything is made of the confusion counts, so the lists here are as long
-    as there are classes.
+    Everything is made of the confusion counts, which are stored once, so the rows
+    are read once and the lists here are as long as there are classes.
     """
+    df = materialize(ev.confusion_cells(df, y, p, by), "confusion")
     lines = ev.classification_report(df, y, p, by, num_labels, names)
     line = F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")
     report = lines.groupBy("model").agg(

@@ -228,7 +228,7 @@ ORACLES["f2_sample_fraction"] = with_(
     """
 h AS (
   SELECT review_id, "Score", row_number() OVER (
-    ORDER BY md5(CAST(review_id AS VARCHAR) || '|42')) AS place, count(*) OVER () AS n
+    ORDER BY md5(CAST(review_id AS VARCHAR) || '|42|sample')) AS place, count(*) OVER () AS n
   FROM reviews WHERE "Score" IS NOT NULL
 )""",
     then='SELECT review_id, "Score" FROM h '
@@ -236,7 +236,7 @@ h AS (
 )
 ORACLES["f2_sample_approx"] = (
     "SELECT doc_id, lang FROM documents "
-    "WHERE substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) < '40000000'"
+    "WHERE substr(md5(CAST(doc_id AS VARCHAR) || '|42|sample'), 1, 8) < '40000000'"
 )
 ORACLES["f3_drop_neutral"] = with_(
     REVIEWS, then='SELECT review_id, "Score" FROM reviews WHERE "Score" <> 3'
@@ -260,7 +260,7 @@ ORACLES["f6_stage_counts"] = with_(
     """
 f1 AS (SELECT * FROM reviews WHERE "Score" IS NOT NULL AND "Text" IS NOT NULL),
 f2 AS (SELECT * FROM f1
-       WHERE substr(md5(CAST(review_id AS VARCHAR) || '|42'), 1, 1) < '8'),
+       WHERE substr(md5(CAST(review_id AS VARCHAR) || '|42|sample'), 1, 1) < '8'),
 f3 AS (SELECT * FROM f2 WHERE "Score" <> 3),
 f4 AS (SELECT * FROM f3 WHERE regexp_matches("Text", '[a-zA-Z<>]'))""",
     then="""
@@ -409,7 +409,7 @@ ORACLES["l7_prepare_reviews"] = with_(
     """
 h AS (
   SELECT *, row_number() OVER (
-    ORDER BY md5(CAST(review_id AS VARCHAR) || '|42')) AS place, count(*) OVER () AS n
+    ORDER BY md5(CAST(review_id AS VARCHAR) || '|42|sample')) AS place, count(*) OVER () AS n
   FROM reviews WHERE "Score" IS NOT NULL AND "Text" IS NOT NULL
 ), kept AS (
   SELECT * FROM h
@@ -453,7 +453,7 @@ sizes AS (
   FROM val_share
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY {label}
-    ORDER BY md5(CAST({key} AS VARCHAR) || '|42')) AS place FROM {source}
+    ORDER BY md5(CAST({key} AS VARCHAR) || '|42|split')) AS place FROM {source}
 ), parts AS (
   SELECT p.* EXCLUDE (place), CASE WHEN place <= q_test THEN 'test'
     WHEN place <= q_test + q_val THEN 'val' ELSE 'train' END AS split
@@ -498,7 +498,7 @@ corpus AS (
   FROM tf GROUP BY term
 )"""
 VOCAB = """
-top AS (SELECT * FROM corpus ORDER BY total_tf DESC, term LIMIT 500),
+top AS (SELECT * FROM corpus ORDER BY total_tf DESC, term LIMIT 5000),
 vocab AS (
   SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
     total_tf, doc_freq,
@@ -545,7 +545,7 @@ words AS (
     lambda i: t[i] || ' ' || t[i + 1])) FROM w
 ), corpus AS (
   SELECT term, count(*) AS total_tf, count(DISTINCT doc_id) AS doc_freq
-  FROM words GROUP BY term ORDER BY total_tf DESC, term LIMIT 500
+  FROM words GROUP BY term ORDER BY total_tf DESC, term LIMIT 5000
 )
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
   total_tf, doc_freq FROM corpus"""
@@ -591,7 +591,7 @@ cleaned AS (
 ORACLES["m2_optimality"] = f"""{TRAINING.rstrip()}, words AS (
   SELECT unnest(regexp_extract_all(lower(t), '[a-z_]{{2,}}')) AS term FROM cleaned
 ), top AS (
-  SELECT term FROM words GROUP BY term ORDER BY count(*) DESC, term LIMIT 500
+  SELECT term FROM words GROUP BY term ORDER BY count(*) DESC, term LIMIT 5000
 )
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
   true AS at_optimum FROM top"""
@@ -604,11 +604,23 @@ ORACLES["m5_probability_check"] = with_(
     then="SELECT doc_id, CAST(3 AS INTEGER) AS classes, CAST(1 AS DOUBLE) AS total, "
     "true AS predicts_highest FROM done WHERE trim(t) <> ''",
 )
-ORACLES["m6_train_split"] = (
-    TRAINING.rstrip() + ","
-    + split_ctes("cleaned", "review_id", "label", "0.2", None)
-    + "\nSELECT review_id, label, split FROM parts"
+TRAINED = TRAINING.rstrip() + "," + split_ctes("cleaned", "review_id", "label", "0.2", None)
+ORACLES["m6_train_split"] = TRAINED + "\nSELECT review_id, label, split FROM parts"
+ORACLES["m3_optimality"] = """
+WITH c AS (SELECT CAST(unnest(range(max(label) + 1)) AS INTEGER) AS class FROM embeddings),
+d AS (SELECT CAST(unnest(range(max(len(embedding)))) AS INTEGER) AS dim FROM embeddings)
+SELECT class, dim, true AS at_optimum FROM c, d"""
+ORACLES["p1_class_check"] = (
+    "SELECT concat(conv_id, '-', turn) AS turn_key, true AS same_class FROM conversations"
 )
+HELD = "SELECT review_id, label FROM parts WHERE split = 'test'"
+ORACLES["e8_evaluated_rows"] = (
+    TRAINED + f"\nSELECT label, count(*) AS support FROM ({HELD}) GROUP BY label"
+)
+ORACLES["e8_metrics_check"] = (
+    "SELECT metric, true AS same FROM (VALUES ('accuracy'), ('f1_macro')) t(metric)"
+)
+ORACLES["e11_rows"] = TRAINED + f"\nSELECT *, false AS in_training FROM ({HELD})"
 ORACLES["p2_label_check"] = (
     "SELECT conv_id, turn, text, true AS named, true AS in_range FROM conversations"
 )
@@ -662,12 +674,13 @@ ORACLES["p6_stream_rejects"] = (
 
 # --- evaluation -------------------------------------------------------------------
 
-PRED = """
+PRED_ROWS = """
 pred AS (
   SELECT doc_id, 'not_toxic' AS model, quality AS y, 1 - toxic AS p FROM labels
   UNION ALL SELECT doc_id, 'always_good', quality, 1 FROM labels
   UNION ALL SELECT doc_id, 'by_id', quality, CAST(doc_id % 3 AS INTEGER) FROM labels
-), seen AS (
+)"""
+METRICS = """seen AS (
   SELECT model, y AS label FROM pred UNION SELECT model, p FROM pred
 ), counts AS (
   SELECT s.model, s.label,
@@ -691,6 +704,7 @@ pred AS (
     CAST(sum(support) AS BIGINT) AS support
   FROM classes GROUP BY model
 )"""
+PRED = f"{PRED_ROWS},\n{METRICS}"
 GRID = """
 SELECT a.model, a.label AS true_label, b.label AS pred_label,
   (SELECT count(*) FROM pred p
@@ -741,6 +755,23 @@ ORACLES["e9_compare_models"] = with_(
     then="SELECT model, " + ", ".join(f"round({m}, 4) AS {m}" for m in FIVE)
     + " FROM scores",
 )
+ORACLES["e11_external_metrics"] = TRAINED + f""", pred AS (
+  SELECT review_id, 'not toxic' AS model, h.label AS y, CAST(1 - toxic AS INTEGER) AS p
+  FROM ({HELD}) h JOIN labels l ON l.doc_id = h.review_id
+), {METRICS}
+SELECT model, {", ".join(f"round({m}, 4) AS {m}" for m in FIVE)} FROM scores"""
+ORACLES["e9_match_counts"] = """
+WITH truth AS (SELECT doc_id, CASE WHEN toxic = 0 THEN quality END AS q FROM labels),
+p AS (SELECT 'a' AS model, doc_id FROM documents
+  UNION ALL SELECT 'b', doc_id FROM documents WHERE doc_id % 3 = 0),
+k AS (SELECT doc_id, count(*) AS times, any_value(q) AS q FROM truth GROUP BY doc_id)
+SELECT model, count(*) AS rows,
+  count(*) FILTER (times IS NOT NULL AND q IS NOT NULL) AS matched,
+  count(*) FILTER (times IS NULL) AS unmatched,
+  count(*) FILTER (times IS NOT NULL AND q IS NULL) AS unlabelled,
+  count(*) FILTER (times > 1) AS repeated
+FROM p LEFT JOIN k USING (doc_id) GROUP BY model"""
+ORACLES["e10_stored_num_labels"] = "SELECT CAST(3 AS BIGINT) AS num_labels"
 ORACLES["e10_infer_num_labels"] = with_(
     REVIEWS, LABELLED3,
     then="SELECT count(DISTINCT label) AS num_labels FROM labelled3",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels as lb
 from ..functions import text as tx
+from ..functions.text import cleaner
 from ..operators import cleaning as cl
 from ..operators import evaluation as ev
 from ..operators import features as ft
@@ -38,7 +39,7 @@ from .data import noisy, reviews, table, texts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SEED = 42
-TERMS = 500
+TERMS = ft.DEFAULT_MAX_FEATURES
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -124,7 +125,7 @@ def _model(spark: SparkSession, sf: str, problem: str = "binary") -> tr.Sentimen
         )
         data = materialize(data.select("cleaned_text", "label"), "training")
         _MODELS[key] = tr.fit_sentiment(
-            data, max_features=TERMS, max_iter=50,
+            data, max_features=TERMS,
             label_names=lb.names_for(lb.num_classes(problem)),
         )
     return _MODELS[key]
@@ -623,9 +624,8 @@ def m2b(spark, sf):
     )
     data = materialize(data.select("cleaned_text", "label"), "training")
     model = tr.fit_sentiment(data, max_features=TERMS, tol=1e-12)
-    weights = tr.weight_column("label", tr.balanced(tr.class_sizes(data, "label")))
-    out = model.transform(data).select(
-        (weights * (vector_to_array("probability")[1] - F.col("label"))).alias("pull"),
+    out = tr.balanced_weights(model.transform(data)).select(
+        (F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))).alias("pull"),
         F.posexplode(vector_to_array("features")).alias("term_index", "x"),
     )
     pulls = out.filter("x != 0").groupBy("term_index").agg(
@@ -649,10 +649,34 @@ def m3(spark, sf):
     data = table(spark, sf, "embeddings").select(
         "vec_id", vector.alias("vector"), "label"
     )
-    model = tr.fit_sentiment(data, "vector", "label", max_iter=50)
+    model = tr.fit_sentiment(data, "vector", "label")
     return tr.predict(model, data).select("vec_id", "label", "prediction")
 
 
+@query("m3_optimality")
+def m3b(spark, sf):
+    """Per class and dimension, whether the gradient vanishes at the fit on vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    data = table(spark, sf, "embeddings").select(vector.alias("vector"), "label")
+    model = tr.fit_sentiment(data, "vector", "label", tol=1e-12)
+    fitted = model.stages.stages[-1].coefficientMatrix.toArray()
+    out = tr.balanced_weights(model.transform(data)).select(
+        "weight", "label", vector_to_array("vector").alias("x"),
+        F.posexplode(vector_to_array("probability")).alias("class", "p"),
+    )
+    pull = F.col("weight") * (F.col("p") - (F.col("class") == F.col("label")).cast("double"))
+    sums = out.select("class", pull.alias("pull"), F.posexplode("x").alias("dim", "x")).groupBy(
+        "class", "dim"
+    ).agg(F.sum(F.col("pull") * F.col("x")).alias("pull"))
+    rows = [(c, d, float(w)) for c, row in enumerate(fitted) for d, w in enumerate(row)]
+    coefs = spark.createDataFrame(rows, "class int, dim int, coefficient double")
+    return coefs.join(sums, ["class", "dim"]).select(
+        "class", "dim", (F.abs(F.col("coefficient") + F.col("pull")) < 1e-2).alias("at_optimum")
+    )
+
+
 @query("m4_predict")
 def m4(spark, sf):
     model = _model(spark, sf)
@@ -662,17 +686,9 @@ def m4(spark, sf):
     )
 
 
-@query("m4_long_form_check")
-def m4b(spark, sf):
-    """Per document, whether the class from its vector is the sign of the sum
-    of long-form weights times coefficients."""
-    model = _model(spark, sf)
+def _margins(spark, model, clean: DataFrame, key: str) -> DataFrame:
+    """Per key, the sum of long-form weights times coefficients, and the intercept."""
     fitted = model.stages.stages[-1]
-    clean = materialize(
-        cl.clean_frame(read(spark, sf), "classical", "text").select("doc_id", "cleaned_text"),
-        "cleaned",
-    )
-    by_vector = tr.predict(model, clean).select("doc_id", "prediction")
     idf = model.stages.stages[2].getScalingVec()
     values = [
         (i, float(c), float(w))
@@ -682,13 +698,26 @@ def m4b(spark, sf):
         spark.createDataFrame(values, "term_index int, coefficient double, idf double"),
         "term_index",
     )
-    weights = ft.weigh(ft.term_table(clean, "doc_id", "cleaned_text"), vocab, "doc_id")
+    weights = ft.weigh(ft.term_table(clean, key, "cleaned_text"), vocab, key)
     sums = weights.join(F.broadcast(vocab.select("term", "coefficient")), "term").groupBy(
-        "doc_id"
+        key
     ).agg(F.sum(F.col("tfidf") * F.col("coefficient")).alias("margin"))
     margin = F.coalesce("margin", F.lit(0.0)) + float(fitted.intercept)
-    return by_vector.join(sums, "doc_id", "left").select(
-        "doc_id", ((margin > 0).cast("int") == F.col("prediction")).alias("same_class")
+    return clean.select(key).join(sums, key, "left").select(key, margin.alias("margin"))
+
+
+@query("m4_long_form_check")
+def m4b(spark, sf):
+    """Per document, whether the class from its vector is the sign of the sum
+    of long-form weights times coefficients."""
+    model = _model(spark, sf)
+    clean = materialize(
+        cl.clean_frame(read(spark, sf), "classical", "text").select("doc_id", "cleaned_text"),
+        "cleaned",
+    )
+    by_vector = tr.predict(model, clean).select("doc_id", "prediction")
+    return by_vector.join(_margins(spark, model, clean, "doc_id"), "doc_id").select(
+        "doc_id", ((F.col("margin") > 0).cast("int") == F.col("prediction")).alias("same_class")
     )
 
 
@@ -719,22 +748,31 @@ def m5b(spark, sf):
     )
 
 
+_TRAINED: dict[tuple, plans.Trained] = {}
+
+
+def _trained(spark: SparkSession, sf: str) -> plans.Trained:
+    """One training run per table folder, with its split."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = plans.train_model(
+            reviews(spark, sf), spark, max_features=TERMS, key="review_id"
+        )
+    return _TRAINED[key]
+
+
 @query("m6_train_split")
 def m6b(spark, sf):
     """Which rows a training run fits on and which it holds out."""
-    trained = plans.train_model(
-        reviews(spark, sf), spark, sample_frac=1.0, max_features=TERMS,
-        key="review_id", max_iter=5,
-    )
-    return trained.data.select("review_id", "label", "split")
+    return _trained(spark, sf).data.select("review_id", "label", "split")
 
 
 @query("m6_train")
 def m6(spark, sf):
     trained = plans.train_model(
         reviews(spark, sf), spark, scratch_path(spark, "model"),
-        scratch_path(spark, "registry"), sample_frac=1.0, max_features=TERMS,
-        key="review_id", max_iter=50,
+        scratch_path(spark, "registry"), max_features=TERMS,
+        key="review_id",
     )
     scores = F.col("metrics")
     return trained.metrics.select("model", *[scores[m].alias(m) for m in ev.METRICS])
@@ -749,6 +787,20 @@ def p1(spark, sf):
     return sc.predict_ids(_model(spark, sf), talk).select("conv_id", "turn", "prediction")
 
 
+@query("p1_class_check")
+def p1b(spark, sf):
+    """Per turn, whether the id predicted from raw text is the sign of the long-form margin."""
+    model = _model(spark, sf)
+    turn = F.concat_ws("-", "conv_id", "turn").alias("turn_key")
+    talk = materialize(talks(spark, sf).select(turn, "text"), "turns")
+    ids = sc.predict_ids(model, talk, "text").select("turn_key", "prediction")
+    clean = talk.select("turn_key", cleaner("classical")("text").alias("cleaned_text"))
+    margins = _margins(spark, model, materialize(clean, "cleaned"), "turn_key")
+    return ids.join(margins, "turn_key").select(
+        "turn_key", ((F.col("margin") > 0).cast("int") == F.col("prediction")).alias("same_class")
+    )
+
+
 @query("p2_predict_with_labels")
 def p2(spark, sf):
     talk = talks(spark, sf)
@@ -925,12 +977,38 @@ eval_query(
 eval_query("e7_evaluate_classification", ev.evaluate_classification)
 
 
+def _unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw texts and labels of the rows that the training run held out."""
+    return plans.holdout_rows(reviews(spark, sf), split=_trained(spark, sf).data)
+
+
 @query("e8_evaluate_model")
 def e8(spark, sf):
-    df = labelled(spark, sf).join(
-        docs(spark, sf).select(F.col("doc_id").alias("review_id"), "text"), "review_id"
+    return plans.evaluate_model(_trained(spark, sf).model, _unseen(spark, sf), "Text")[1]
+
+
+@query("e8_evaluated_rows")
+def e8b(spark, sf):
+    """Rows of each class that the metrics stand on."""
+    done = plans.evaluate_model(_trained(spark, sf).model, _unseen(spark, sf), "Text")[0]
+    return ev.precision_recall_f1(done, "label", "prediction").select("label", "support")
+
+
+@query("e8_metrics_check")
+def e8c(spark, sf):
+    """Accuracy and macro F1 of a run beside those counted from its stored predictions."""
+    rows, metrics = plans.evaluate_model(_trained(spark, sf).model, _unseen(spark, sf), "Text")
+    hit = F.col("label") == F.col("prediction")
+    f1 = [
+        2 * F.count_if(hit & (F.col("label") == c))
+        / (F.count_if(F.col("label") == c) + F.count_if(F.col("prediction") == c))
+        for c in (0, 1)
+    ]
+    plain = rows.agg(F.avg(hit.cast("int")).alias("accuracy"), ((f1[0] + f1[1]) / 2).alias("f1_macro"))
+    plain = plain.unpivot([], ["accuracy", "f1_macro"], "metric", "plain")
+    return metrics.join(plain, "metric").select(
+        "metric", (F.abs(F.col("value") - F.col("plain")) < 1e-9).alias("same")
     )
-    return plans.evaluate_model(_model(spark, sf), df, "text")[1]
 
 
 @query("e9_compare_models")
@@ -940,20 +1018,62 @@ def e9(spark, sf):
     return ev.compare_models(predictions, truth, "quality", "doc_id")
 
 
+@query("e9_match_counts")
+def e9b(spark, sf):
+    """What a comparison of two models with a truth for some rows leaves out."""
+    truth = table(spark, sf, "labels").withColumn(
+        "quality", F.when(F.col("toxic") == 0, F.col("quality"))
+    )
+    rows = docs(spark, sf).select("doc_id", (F.col("n_chars") % 2).cast("int").alias("prediction"))
+    both = ev.long_predictions({"a": rows, "b": rows.filter("doc_id % 3 = 0")}, "doc_id")
+    return ev.match_counts(both, truth, "quality", "doc_id")
+
+
 @query("e10_infer_num_labels")
 def e10(spark, sf):
     return ev.infer_num_labels(labelled(spark, sf, "3-class"), "label")
 
 
+@query("e10_stored_num_labels")
+def e10b(spark, sf):
+    """The class count of a stored model, where the data at hand has fewer classes."""
+    path = scratch_path(spark, "model")
+    md.save_model(_model(spark, sf, "3-class"), spark, path)
+    rows = labelled(spark, sf, "3-class").filter("label < 2")
+    return ev.infer_num_labels(rows, "label", md.model_info(spark, path))
+
+
 @query("e11_holdout")
 def e11(spark, sf):
+    """A fitted model and a table from elsewhere, on rows that training held out."""
+    trained = _trained(spark, sf)
+    other = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("review_id"), (1 - F.col("toxic")).cast("int").alias("prediction")
+    )
     return plans.holdout(
         reviews(spark, sf),
-        {"terms": _model(spark, sf)},
+        {"terms": trained.model, "not toxic": other},
         output_path=scratch_path(spark, "comparison"),
+        split=trained.data,
     )
 
 
+@query("e11_rows")
+def e11b(spark, sf):
+    """Rows of a hold-out run, and whether training had them."""
+    data = _trained(spark, sf).data
+    seen = data.filter("split = 'train'").select("review_id", F.lit(True).alias("in_training"))
+    return _unseen(spark, sf).join(seen, "review_id", "left").select(
+        "review_id", "label", F.coalesce("in_training", F.lit(False)).alias("in_training")
+    )
+
+
+@query("e11_external_metrics")
+def e11c(spark, sf):
+    """The row of the scorer from elsewhere, which SQL can follow."""
+    return e11(spark, sf).filter("model = 'not toxic'")
+
+
 # --- profiles -----------------------------------------------------------------
 
 
