@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tonelake.operators import scoring as sc
 from tonelake.operators import training as tr
+from tonelake.operators.sampling import sample_fraction
+from tonelake.operators.splits import with_split
 from tonelake.plans import train as plans
 from tonelake.plans.prepare import prepare_reviews
 from tonelake.sources import models as md
@@ -14,8 +16,8 @@ from tonelake.sources import registry as rg
 from tonelake.sources.reviews import read_reviews
 from tonelake.streaming.score import score_stream
 
-GOOD = ["great product", "excellent quality", "love it", "amazing value", "very good"]
-BAD = ["terrible product", "bad quality", "hate it", "awful value", "very poor"]
+GOOD = ["great kettle", "splendid finish", "adore this", "superb bargain", "truly good"]
+BAD = ["dreadful kettle", "shoddy finish", "loathe this", "rotten bargain", "truly poor"]
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +121,7 @@ def test_external_scorer(spark):
 
 
 def test_requests(spark, model):
-    rows = [(1, "great"), (1, "awful"), (2, "great"), (2, " "), (3, "a" * 6000)]
+    rows = [(1, "great"), (1, "dreadful"), (2, "great"), (2, " "), (3, "a" * 6000)]
     rows += [(4, "x")] * 101
     df = spark.createDataFrame(rows, "batch_id int, text string")
     out = sc.score_requests(model, df)
@@ -131,7 +133,7 @@ def test_requests(spark, model):
 
 
 def test_stream(spark, model, folder):
-    rows = [(1, "great"), (2, ""), (3, "awful product"), (4, "a" * 5001)]
+    rows = [(1, "great"), (2, ""), (3, "dreadful kettle"), (4, "a" * 5001)]
     spark.createDataFrame(rows, "id int, text string").write.parquet(f"{folder}/in")
     for more in (0, 1):
         stream = spark.readStream.schema("id int, text string").parquet(f"{folder}/in")
@@ -147,7 +149,7 @@ def test_stream(spark, model, folder):
 
 
 def test_request_arrays(spark, model, folder):
-    rows = [(1, ["great", "awful"]), (2, []), (3, ["a", " "]), (4, ["x"] * 101), (5, None)]
+    rows = [(1, ["great", "dreadful"]), (2, []), (3, ["a", " "]), (4, ["x"] * 101), (5, None)]
     df = spark.createDataFrame(rows, "batch_id int, texts array<string>")
     out = sc.score_request_arrays(model, df)
     got = {(r["batch_id"], r["item"]): r["label"] for r in out.predictions.collect()}
@@ -189,7 +191,7 @@ def test_csv(spark, folder):
         read_reviews(spark, f"{folder}/bad.csv").collect()
     with pytest.raises(FileNotFoundError):
         read_reviews(spark, f"{folder}/none.csv")
-    with pytest.raises(ValueError, match="Available: Id, Score, Text, Other"):
+    with pytest.raises(ValueError, match="the table has Id, Score, Text, Other"):
         read_reviews(spark, f"{folder}/r.csv", text_col="Body")
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
@@ -212,7 +214,7 @@ def test_prepare(spark, folder):
         skip_preprocessing=True,
     )
     assert raw.count() == 20 and "cleaned_text" not in raw.columns
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="too few rows"):
         prepare_reviews(f"{folder}/r.csv", spark, sample_frac=0.1)
     with pytest.raises(ValueError, match="sample fraction"):
         prepare_reviews(f"{folder}/r.csv", spark, sample_frac=0)
@@ -266,3 +268,26 @@ def test_training_job(spark, folder):
     assert spark.read.json(f"{folder}/cmp").count() == 2
     test_ids = {r["id"] for r in done.data.filter("split = 'test'").select("id").collect()}
     assert len(test_ids) == 20
+
+
+def test_long_csv_records_are_an_error(spark, folder):
+    path = f"{folder}/long.csv"
+    with open(path, "w") as out:
+        out.write("Score,Text\n5,fine\n4,bad,extra,columns\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_reviews(spark, path).collect()
+    kept = read_reviews(spark, path, csv_options={"mode": "DROPMALFORMED"}).collect()
+    assert [r["Text"] for r in kept] == ["fine"]
+
+
+def test_holdout_shares_no_row_with_training(spark):
+    rows = [(i, 1.0 + i % 5, f"word{i % 7} kettle {'good' if i % 5 > 2 else 'bad'}") for i in range(400)]
+    reviews = spark.createDataFrame(rows, "review_id long, Score double, Text string")
+    trained = plans.train_model(reviews, spark, key="review_id")
+    held = {r["review_id"] for r in plans.holdout_rows(reviews, split=trained.data).collect()}
+    seen = {r["review_id"] for r in trained.data.filter("split = 'train'").collect()}
+    assert held and seen and not held & seen
+    # a sample and a split of the same seed are independent
+    sample = {r["review_id"] for r in sample_fraction(reviews, 0.2, 42, "review_id").collect()}
+    test = {r["review_id"] for r in with_split(reviews, 0.2, stratify=None).filter("split = 'test'").collect()}
+    assert len(sample & test) < 40

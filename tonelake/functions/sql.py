@@ -13,11 +13,20 @@ from . import text as tx
 
 
 def _raw(text: str) -> str:
-    """A string literal without escapes."""
+    """A string literal, without escapes where its quotes allow it."""
+    if '"' in text and "'" in text:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
     quote = '"' if '"' not in text else "'"
     return f"r{quote}{text}{quote}"
 
 
+# As the column functions do: a score out of range is an error, a missing one is not
+_REFUSED = (
+    "WHEN score IS NOT NULL THEN CAST(raise_error(concat('Invalid score: ', "
+    "CAST(score AS STRING))) AS INT) END"
+)
+
+
 def _words(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -26,10 +35,27 @@ def _sub(x: str, pattern: str, new: str) -> str:
     return f"regexp_replace({x}, {_raw(pattern)}, {_raw(new)})"
 
 
-def _named_entities(x: str) -> str:
-    for name, char in (*lx.NAMED_ENTITIES, ("&#39;", "'"), ("&amp;", "&")):
-        x = f"replace({x}, {_raw(name)}, {_raw(char)})"
-    return x
+def _entities(x: str) -> str:
+    value = (
+        "CASE WHEN lower(substring(c, 3, 1)) = 'x' "
+        "THEN conv(regexp_extract(c, '^&#[xX]0*([0-9a-fA-F]*);', 1), 16, 10) "
+        r"ELSE regexp_extract(c, r'^&#0*(\d*);', 1) END"
+    )
+    numeric = (
+        f"transform(array(try_cast({value} AS BIGINT)), n -> CASE WHEN n BETWEEN 1 AND 1114111 "
+        "AND NOT n BETWEEN 55296 AND 57343 "
+        "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END)[0]"
+    )
+    named = (
+        f"try_element_at(str_to_map({_raw(tx.NAMED_REFERENCES)}, {_raw(tx._NEXT)}, {_raw(tx._PAIR)}), c)"
+    )
+    decoded = f"coalesce(CASE WHEN startswith(c, '&#') THEN {numeric} ELSE {named} END, c)"
+    codes = f"array_distinct(regexp_extract_all(t, {_raw(tx._REFERENCE)}, 0))"
+    done = f"aggregate({codes}, t, (acc, c) -> replace(acc, c, {decoded}))"
+    return (
+        f"transform(array({x}), t -> CASE WHEN contains(t, '&') THEN "
+        f"replace(replace({done}, '&AMP;', '&'), '&amp;', '&') ELSE t END)[0]"
+    )
 
 
 def _contractions(x: str) -> str:
@@ -80,7 +106,7 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
         "strip_tags_regex": (one, "STRING", _sub("x", "<[^>]+>", "")),
         "strip_html": (
             one, "STRING",
-            f"CASE WHEN contains(x, '<') THEN {_named_entities(_sub('x', tx._NOT_TEXT, ''))} "
+            f"CASE WHEN contains(x, '<') THEN {_entities(_sub('x', tx._NOT_TEXT, ''))} "
             "ELSE x END",
         ),
         "strip_urls": (one, "STRING", _sub("x", rf"(?:http|www)[^{lx.SPACE}]+", "")),
@@ -133,13 +159,13 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
         "binary_label": (
             "score DOUBLE", "INT",
             "CASE WHEN CAST(score AS INT) BETWEEN 1 AND 3 THEN 0 "
-            "WHEN CAST(score AS INT) BETWEEN 4 AND 5 THEN 1 END",
+            f"WHEN CAST(score AS INT) BETWEEN 4 AND 5 THEN 1 {_REFUSED}",
         ),
         "three_class_label": (
             "score DOUBLE", "INT",
             "CASE WHEN CAST(score AS INT) BETWEEN 1 AND 2 THEN 0 "
             "WHEN CAST(score AS INT) = 3 THEN 1 "
-            "WHEN CAST(score AS INT) BETWEEN 4 AND 5 THEN 2 END",
+            f"WHEN CAST(score AS INT) BETWEEN 4 AND 5 THEN 2 {_REFUSED}",
         ),
         "label_id": (
             one, "INT", r"try_cast(regexp_extract(x, r'^LABEL_(\d+)$', 1) AS INT)"

@@ -10,6 +10,7 @@ into each use.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,47 +51,55 @@ _DELETED = _ranges_without(
 )
 
 # One left-to-right pass: element bodies that are not text, comments,
-# declarations, then plain tags. A tag starts with a letter, so "<3" survives.
+# declarations, processing instructions, then tags. A tag starts with a letter, so "<3"
+# survives, and a ">" in a quoted attribute value does not end it.
 _NOT_TEXT = (
-    r"(?is)<(?:script\b[^>]*>.*?</script\s*"
-    r"|style\b[^>]*>.*?</style\s*"
-    r"|template\b[^>]*>.*?</template\s*"
-    r"|!--.*?--"
-    r"|![a-z][^>]*"
-    r"|/?[a-z][^>]*)>"
+    r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|template\b[^>]*>.*?</template\s*>"
+    r"|!--.*?-->"
+    r"|![a-z][^>]*>"
+    r"|\?[^>]*>"
+    r"|/?[a-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
+    r"|/?[a-z][^>]*>)"
 )
 
-
-def _numeric_entities(text: Column) -> Column:
-    """Decode ``&#NNN;`` and ``&#xHH;`` with one replace per distinct code."""
-
-    def decoded(code: Column) -> Column:
-        digits = F.substring(code, 3, 12)
-        value = F.when(
-            F.lower(F.substring(digits, 1, 1)) == "x",
-            F.conv(F.regexp_extract(digits, r"(?i)^x([0-9a-f]+)", 1), 16, 10),
-        ).otherwise(F.regexp_extract(digits, r"^(\d+)", 1))
-        point = F.try_to_number(value, F.lit("9999999999")).cast("bigint")
-        return F.when(
-            point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF),
-            F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"),
-        ).otherwise(code)
-
-    codes = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"), 0)
-    )
-    return F.aggregate(
-        codes, text, lambda acc, code: F.replace(acc, code, decoded(code))
+# Every named reference of HTML with its characters; "&" itself comes last in decoding.
+_PAIR, _NEXT = "\x1e", "\x1f"
+NAMED_REFERENCES = _NEXT.join(
+    f"&{name}{_PAIR}{chars}"
+    for name, chars in sorted(html5.items())
+    if name.endswith(";") and chars != "&"
+)
+_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]*|#0*\d{1,7}|#[xX]0*[0-9a-fA-F]{1,6});"
+
+
+def _numeric(code: Column) -> Column:
+    """The character of ``&#NNN;`` or ``&#xHH;``; null where there is none."""
+    value = F.when(
+        F.lower(F.substring(code, 3, 1)) == "x",
+        F.conv(F.regexp_extract(code, "^&#[xX]0*([0-9a-fA-F]*);", 1), 16, 10),
+    ).otherwise(F.regexp_extract(code, r"^&#0*(\d*);", 1))
+    point = value.try_cast("bigint")
+    return F.when(
+        point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF),
+        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"),
     )
 
 
 def _entities(text: Column) -> Column:
-    for name, char in lx.NAMED_ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = bind(
-        text, lambda t: F.when(t.contains("&#"), _numeric_entities(t)).otherwise(t)
-    )
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Decode references, with one replace per distinct one; unknown ones stay."""
+    named = F.str_to_map(F.lit(NAMED_REFERENCES), F.lit(_NEXT), F.lit(_PAIR))
+
+    def decoded(code: Column) -> Column:
+        char = F.when(code.startswith("&#"), _numeric(code)).otherwise(
+            F.try_element_at(named, code)
+        )
+        return F.coalesce(char, code)
+
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), 0))
+    done = F.aggregate(codes, text, lambda acc, code: F.replace(acc, code, decoded(code)))
+    return F.replace(F.replace(done, F.lit("&AMP;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
 
 
 def strip_html(col: Column | str) -> Column:
@@ -400,7 +409,7 @@ def ngrams(tokens: Column | str, ngram_range: tuple[int, int] = (1, 1)) -> Colum
 def check_ngram_range(ngram_range: object) -> tuple[int, int]:
     if not isinstance(ngram_range, tuple) or len(ngram_range) != 2:
         raise ValueError(
-            f"ngram_range must be a tuple of 2 integers, got {ngram_range}"
+            f"ngram_range is a pair of least and most words, not {ngram_range}"
         )
     low, high = ngram_range
     if not 1 <= low <= high:

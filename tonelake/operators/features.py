@@ -27,7 +27,7 @@ DEFAULT_MAX_FEATURES = 5000
 
 def check_max_features(max_features: int) -> None:
     if max_features < 1:
-        raise ValueError(f"max_features must be positive, got {max_features}")
+        raise ValueError(f"a vocabulary of {max_features} terms is empty")
 
 
 def term_table(
@@ -148,7 +148,7 @@ def fit_tfidf(
     rows = top.collect()
     n_docs = df.count()
     if not n_docs:
-        raise ValueError("texts cannot be empty")
+        raise ValueError("no texts to learn terms from")
     if not rows:
         raise ValueError("empty vocabulary; the texts hold no terms")
     rows.sort(key=lambda r: r["term"])

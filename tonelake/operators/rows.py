@@ -15,8 +15,8 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(
-            f"Column {', '.join(map(repr, missing))} not found. "
-            f"Available: {', '.join(df.columns)}"
+            f"no column {', '.join(map(repr, missing))}; "
+            f"the table has {', '.join(df.columns)}"
         )
     return df
 
@@ -55,7 +55,7 @@ def require_min_rows(df: DataFrame, n: int) -> DataFrame:
     """Fail on fewer than ``n`` rows; counts no further than ``n``."""
     actual = df.limit(n).count()
     if actual < n:
-        raise ValueError(f"Insufficient data: required {n}, got {actual}")
+        raise ValueError(f"too few rows: at least {n} needed, {actual} given")
     return df
 
 

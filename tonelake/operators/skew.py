@@ -43,9 +43,14 @@ def attach_group_facts(
 ) -> DataFrame:
     """Left-join one fact row per ``key`` to rows, hot keys included.
 
-    Facts of hot keys are broadcast. The rows of such keys then take a salt no
-    cold fact carries, so the shuffle join spreads them evenly.
+    Facts of hot keys are broadcast, if they are as few as they should be. The rows of
+    such keys then take a salt no cold fact carries, so the shuffle join spreads them
+    evenly; ``spread_by`` should differ from row to row. Pass stored facts.
     """
+    if not fits_broadcast(facts.filter(F.col(size_col) > hot_rows)):
+        return lookup_join(rows.withColumn("__row", spread_by), facts, key, ["__row"]).select(
+            *rows.columns, *[c for c in facts.columns if c != key]
+        )
     names = [c for c in facts.columns if c != key]
     hot = facts.filter(F.col(size_col) > hot_rows).select(
         key, *[F.col(c).alias(f"hot_{c}") for c in names]

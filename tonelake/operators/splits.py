@@ -37,17 +37,17 @@ def quotas(sizes: DataFrame, total: int, of: str = "n", out: str = "quota") -> D
 def _check_sizes(n: int, test_size: float, val_size: float | None) -> None:
     for name, size in (("test_size", test_size), ("val_size", val_size)):
         if size is not None and not 0 < size < 1:
-            raise ValueError(f"{name} must be between 0 and 1, got {size}")
+            raise ValueError(f"{name} is a share over 0 and under 1, not {size}")
     if val_size is not None and test_size + val_size >= 1:
         raise ValueError(
-            f"test_size ({test_size}) + val_size ({val_size}) must be less than 1"
+            f"shares of {test_size} and {val_size} leave nothing to train on"
         )
     needed = 10 if val_size is None else 20
     if n < needed:
-        raise ValueError(f"Insufficient data: required {needed}, got {n}")
+        raise ValueError(f"too few rows: at least {needed} needed, {n} given")
     if val_size is None and n * test_size < 2:
         raise ValueError(
-            f"Insufficient data: required {int(2 / test_size)}, got {n}"
+            f"too few rows: at least {int(2 / test_size)} needed, {n} given"
         )
 
 

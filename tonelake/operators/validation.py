@@ -100,7 +100,7 @@ def validate_batch(
         marked = df.join(F.broadcast(refused), batch_col, "left")
     else:
         marked = attach_group_facts(
-            df, refused, batch_col, "items", F.col(text_col), hot_rows
+            df, refused, batch_col, "items", F.monotonically_increasing_id(), hot_rows
         )
     reason = F.when(F.col(batch_col).isNull(), "missing_batch").otherwise(
         F.col("batch_reason")

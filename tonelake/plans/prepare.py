@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ def prepare_reviews(
     text_col: str = "Text",
     score_col: str = "Score",
     min_rows: int = MIN_ROWS,
+    fmt: str = "csv",
+    multi_line: bool = True,
+    csv_options: Mapping[str, str | bool] | None = None,
 ) -> DataFrame:
     """Key, score, text, ``cleaned_text`` and ``label``.
 
@@ -47,7 +52,9 @@ def prepare_reviews(
     keep = (key,) if key else ()
     if isinstance(source, str):
         spark = spark or SparkSession.active()
-        df = read_reviews(spark, source, text_col, score_col, keep=keep)
+        df = read_reviews(
+            spark, source, text_col, score_col, fmt, multi_line, keep, csv_options
+        )
     else:
         df = project_review(source, score_col, text_col, keep)
     df = drop_null_rows(df, [score_col, text_col])
@@ -56,7 +63,7 @@ def prepare_reviews(
         key = "review_id"
         df = df.select(F.monotonically_increasing_id().alias(key), "*")
     if isinstance(source, str):
-        df = spread(df, source, key, splittable=False)
+        df = spread(df, source, splittable=fmt != "csv" or not multi_line)
     if stored:
         df = materialize(df, "reviews")
     df = sample_fraction(df, sample_frac, seed, key)

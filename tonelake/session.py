@@ -44,20 +44,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, path: str, key: str, splittable: bool = True) -> DataFrame:
+def spread(df: DataFrame, path: str, splittable: bool = True) -> DataFrame:
     """Share out the rows of an input that has fewer pieces than there are cores.
 
     Cleaning costs far more than moving a text once, and a file of one row
     group, or a CSV file with multi-line records, is read by one task. An input
-    of enough files, or of enough splits, is left where it is.
+    of enough files, or of enough splits, is left where it is. Rows are dealt in turn, so
+    no key, however frequent, decides where they go.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
     # file sizes only, the contents are not read
-    sizes = spark.read.format("binaryFile").load(path)
-    size = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if splittable and size > cores * SPLIT_BYTES:
+    files, size = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)))
+        .first()
+    )
+    if files >= cores or (splittable and size > cores * SPLIT_BYTES):
         return df
-    return df.repartition(max(cores, math.ceil(size / SPLIT_BYTES)), key)
+    return df.repartition(max(cores, math.ceil(size / SPLIT_BYTES)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,16 @@ def read_reviews(
     fmt: str = "csv",
     multi_line: bool = True,
     keep: tuple[str, ...] = (),
+    csv_options: Mapping[str, str | bool] | None = None,
 ) -> DataFrame:
     """Score and text of a review table, and the extra columns in ``keep``.
 
     CSV follows the usual reader: header line, doubled quotes, and the usual
     strings for a missing value. Quoted texts may span lines, which makes Spark
     read each file in one task: for large single files whose records keep to one
-    line set ``multi_line=False``, so that files are split.
+    line set ``multi_line=False``, so that files are split. A record with more
+    fields than the header fails the query; ``csv_options`` (any of Spark's, such as
+    ``{"mode": "DROPMALFORMED"}`` or another ``sep``) override what is set here.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}, got {fmt!r}")
@@ -45,13 +49,16 @@ def read_reviews(
             .option("multiLine", multi_line)
             .option("quote", '"')
             .option("escape", '"')
-            .option("mode", "PERMISSIVE")
+            .option("mode", "FAILFAST")
+            # else only the fields that are asked for would be looked at
+            .option("columnPruning", False)
+            .options(**(csv_options or {}))
             .csv(path)
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Data file not found: {path}") from error
-        raise ValueError(f"Cannot load {path}: {error}") from error
+            raise FileNotFoundError(f"no review table at {path}") from error
+        raise ValueError(f"unreadable review table {path}: {error}") from error
     require_columns(df, [score_col, text_col, *keep])
 
     def present(name: str):

@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose texts are about to be worked on, on all cores."""
-    return spread(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet", key)
+    return spread(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(good, 3).when(clean, 2).otherwise(1)
     )
     return (
-        texts(spark, sf_dir, "documents", "doc_id")
+        texts(spark, sf_dir, "documents")
         .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("review_id"),

@@ -310,6 +310,15 @@ ORACLES["t1_to_text"] = (
 )
 NOISY = noisy("text")
 text_oracle("t2_strip_html", "pages", "page_id", "html", html_steps())
+_PLAIN = ORACLES["t2_strip_html"]
+ORACLES["t2_references"] = (
+    "SELECT page_id, concat(out, 'café ♥ é\U0001F600 &lt; x', out) AS out "
+    f"FROM ({_PLAIN})"
+)
+ORACLES["sql_functions_agree"] = (
+    "SELECT page_id, true AS strip_html, true AS clean_minimal, true AS clean_classical, "
+    "true AS clean_regex FROM pages"
+)
 text_oracle("t3_strip_tags_regex", "pages", "page_id", "html", TAGS)
 text_oracle(
     "t4_strip_urls", "pages", "page_id", "url || ' ' || html || ' ' || url", URLS

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels as lb
 from ..functions import text as tx
+from ..functions.sql import register_functions
 from ..functions.text import cleaner
 from ..operators import cleaning as cl
 from ..operators import evaluation as ev
@@ -60,18 +61,18 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def read(spark: SparkSession, sf: str) -> DataFrame:
     """The documents, for work on their texts."""
-    return texts(spark, sf, "documents", "doc_id")
+    return texts(spark, sf, "documents")
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf, "conversations", "conv_id")
+    return texts(spark, sf, "conversations")
 
 
 def text_query(name: str, source: str, key: str, text: Callable[[], Column]) -> None:
     """Register a query that shows one text expression for every row."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return texts(spark, sf, source, key).select(key, text().alias("out"))
+        return texts(spark, sf, source).select(key, text().alias("out"))
 
     QUERIES[name] = run
 
@@ -331,6 +332,27 @@ QUERIES["t1_to_text"] = lambda spark, sf: docs(spark, sf).select(
     "doc_id", tx.to_text("n_chars").alias("out")
 )
 text_query("t2_strip_html", "pages", "page_id", lambda: tx.strip_html("html"))
+REFERENCES = "caf&eacute; &hearts; &#0233;&#x1F600; &amp;lt; <i title='a > b'>x</i><?php echo 1; ?>"
+text_query(
+    "t2_references", "pages", "page_id",
+    lambda: tx.strip_html(F.concat("html", F.lit(REFERENCES), "html")),
+)
+
+
+@query("sql_functions_agree")
+def sql_functions_agree(spark, sf):
+    """Per page, whether SQL and column forms give the same."""
+    register_functions(spark)
+    h = F.concat("html", F.lit(REFERENCES))
+    pairs = {
+        "strip_html": tx.strip_html, "clean_minimal": tx.clean_minimal,
+        "clean_classical": tx.clean_classical, "clean_regex": tx.clean_regex,
+    }
+    rows = texts(spark, sf, "pages").select("page_id", h.alias("h"))
+    same = [F.expr(f"{n}(h)").eqNullSafe(f("h")).alias(n) for n, f in pairs.items()]
+    return rows.select("page_id", *same)
+
+
 text_query("t3_strip_tags_regex", "pages", "page_id", lambda: tx.strip_tags_regex("html"))
 text_query(
     "t4_strip_urls", "pages", "page_id",
