@@ -95,3 +95,10 @@ def test_salted_lookup_gives_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr("tonelake.operators.skew.BROADCAST_ROWS", 1)
     got = ft.tfidf(docs, "id", "text", 50).orderBy("id", "term").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_rows_that_share_a_key_have_norms_of_their_own(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (1, "aa"), (None, "bb bb")], "id int, text string")
+    rows = ft.tfidf(df, "id", "text").collect()
+    assert sum(r["tfidf"] ** 2 for r in rows) == pytest.approx(3)
+    assert sum(r["tfidf"] == pytest.approx(1) for r in rows) == 2

@@ -193,13 +193,22 @@ def test_lexicon_paths_agree(spark):
     lexicon = spark.createDataFrame(
         [("cats", "cat"), ("ran", "run"), ("ran_NEG", "x")], "word string, lemma string"
     )
-    small = lemmatize_with_lexicon(df, "t", lexicon, "id")
-    salted = lemmatize_with_lexicon(df, "t", lexicon, "id", max_broadcast_rows=1)
+    small = lemmatize_with_lexicon(df, "t", lexicon)
+    salted = lemmatize_with_lexicon(df, "t", lexicon, max_broadcast_rows=1)
     want = {i: ["cat", "ran_NEG", "run", "fast"] * (i + 1) for i in range(5)} | {9: []}
     assert {r["id"]: r["t"] for r in small.collect()} == want
     assert {r["id"]: r["t"] for r in salted.collect()} == want
 
 
+def test_lexicon_with_repeated_and_null_keys(spark):
+    df = spark.createDataFrame(
+        [(1, ["cats"]), (1, ["ran", "dogs"]), (None, ["cats"])], "id int, t array<string>"
+    )
+    lexicon = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
+    got = [tuple(r["t"]) for r in lemmatize_with_lexicon(df, "t", lexicon).collect()]
+    assert sorted(got) == [("cat",), ("cat",), ("run", "dogs")]
+
+
 def test_cleaner_stage_is_saved(spark, folder):
     stage = TextCleaner(inputCol="Text", outputCol="c", mode="transformer")
     stage.write().save(f"{folder}/stage")

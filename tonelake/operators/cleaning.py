@@ -39,35 +39,33 @@ def lemmatize_with_lexicon(
     df: DataFrame,
     tokens_col: str,
     lexicon: DataFrame,
-    key: str,
     max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Replace tokens by the lemma a ``(word, lemma)`` table gives.
 
-    Tokens without an entry and ``_NEG`` tokens stay. The regrouping is by
-    ``key``, so a task holds one document at a time.
+    Tokens without an entry and ``_NEG`` tokens stay. Rows are stored with an id of
+    their own, by which their tokens are put together again; so rows may share a key
+    or have none, and a task holds one row at a time.
     """
-    words = df.select(key, F.posexplode(tokens_col).alias("pos", "word"))
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "lexicon-rows")
+    words = rows.select("__row", F.posexplode(tokens_col).alias("pos", "word"))
     entries = materialize(
         lexicon.groupBy("word").agg(F.min("lemma").alias("lemma")), "lexicon"
     )
     found = lookup_join(
-        words, entries, "word", [key, "pos"], "left", max_broadcast_rows
+        words, entries, "word", ["__row", "pos"], "left", max_broadcast_rows
     )
     lemma = F.when(F.col("word").endswith("_NEG"), F.col("word")).otherwise(
         F.coalesce("lemma", "word")
     )
-    grouped = found.groupBy(key).agg(
+    grouped = found.groupBy("__row").agg(
         F.sort_array(F.collect_list(F.struct("pos", lemma.alias("lemma")))).alias("l")
     )
-    lemmas = grouped.select(key, F.col("l.lemma").alias("lemmas"))
+    lemmas = grouped.select("__row", F.col("l.lemma").alias("__lemmas"))
     return (
-        df.join(lemmas, key, "left")
-        .withColumn(
-            tokens_col,
-            F.coalesce("lemmas", F.col(tokens_col)),
-        )
-        .drop("lemmas")
+        rows.join(lemmas, "__row", "left")
+        .withColumn(tokens_col, F.coalesce("__lemmas", F.col(tokens_col)))
+        .select(*df.columns)
     )
 
 

@@ -65,17 +65,20 @@ def with_idf(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((n + 1) / (F.col("doc_freq") + 1)) + 1)
 
 
-def weigh(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def weigh(
+    terms: DataFrame, vocab: DataFrame, key: str, row: str | None = None
+) -> DataFrame:
     """``(key, term, term_index, tf, idf, tfidf)`` with unit length per document.
 
     Pass a stored vocabulary: its size is looked at before it is joined. The
-    window is by document, which has no more rows than the vocabulary.
+    window is by document, which has no more rows than the vocabulary. Documents are told
+    apart by ``row``, a column of ``terms``, or by ``key`` where that is unique.
     """
     known = lookup_join(
-        terms, vocab.select("term", "term_index", "idf"), "term", [key], "inner"
+        terms, vocab.select("term", "term_index", "idf"), "term", [row or key], "inner"
     )
     weight = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(key)))
+    norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(row or key)))
     return known.select(
         key, "term", "term_index", "tf", "idf", (weight / norm).alias("tfidf")
     )
@@ -100,9 +103,11 @@ def tfidf(
     max_features: int = DEFAULT_MAX_FEATURES,
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
-    """Fit and weigh the same documents."""
+    """Fit and weigh the same documents; each row is one, whatever its key."""
     vocab = fit_vocabulary(df, text_col, max_features, ngram_range)
-    return weigh(term_table(df, key, text_col, ngram_range), vocab, key)
+    counts = tx.term_counts(tx.ngrams(tx.analyze(text_col), ngram_range))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), key, text_col)
+    return weigh(rows.select("__row", key, F.inline(counts)), vocab, key, "__row")
 
 
 class TermAnalyzer(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -46,7 +47,9 @@ def read_registry(
     try:
         # a registry is one small file; its list order is the order of entries
         files = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         found = [(n, p, t) for n, p, t in known if _exists(spark, p)]
         entries = [(i, *entry, None) for i, entry in enumerate(found)]
         df = spark.createDataFrame(entries, SCHEMA)
@@ -104,13 +107,34 @@ def write_registry(registry: DataFrame, path: str) -> None:
     registry.agg(listed).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put a folder in another's place; the old one is there until the new one is."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    spare = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".previous")
+    if store.exists(target):
+        store.delete(spare, True)
+        store.rename(target, spare)
+    if not store.rename(source, target):
+        store.rename(spare, target)
+        raise OSError(f"cannot put the registry at {path}")
+    store.delete(spare, True)
+
+
 def register_model(
     spark: SparkSession, path: str, name: str, model_path: str, model_type: str
 ) -> DataFrame:
-    """Add or update one model in the stored registry and return it."""
+    """Add or update one model in the stored registry and return it.
+
+    The new list is written beside the old one and then put in its place. A run
+    that ends between the two leaves the old list as ``path`` or ``path.previous``.
+    """
     current = read_registry(spark, path)
     rows = upsert_models(current, new_entry(spark, name, model_path, model_type))
-    # the folder is overwritten, so its rows are read before
+    # a short list, and the folder that it was read from is about to go
     stored = spark.createDataFrame(rows.collect(), SCHEMA)
-    write_registry(stored, path)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_registry(stored, beside)
+    _swap(spark, beside, path)
     return stored

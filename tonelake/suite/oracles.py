@@ -208,6 +208,10 @@ SELECT CAST(row_number() OVER (ORDER BY pos NULLS LAST, name) - 1 AS BIGINT) AS
   CASE WHEN is_new THEN '2025-06-01T00:00:00' ELSE '2025-01-01T00:00:00' END
     AS registered_at
 FROM both_"""
+ORACLES["io6_stored_registry"] = """
+SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS BIGINT) AS position, lang AS name,
+  '/srv/models/v2/' || lang AS path, 'classical' AS type
+FROM (SELECT DISTINCT lang FROM documents)"""
 ORACLES["io7_read_registry"] = """
 SELECT doc_id, CAST(0 AS INTEGER) AS position, source AS name,
   '/srv/models/' || lang AS path, 'classical' AS type

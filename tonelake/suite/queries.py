@@ -201,6 +201,17 @@ def io6(spark, sf):
     return rg.upsert_models(*_registry(spark, sf))
 
 
+@query("io6_stored_registry")
+def io6b(spark, sf):
+    """A registry file written by ``register_model``, one name twice, and read back."""
+    path = scratch_path(spark, "registry")
+    langs = [r[0] for r in docs(spark, sf).select("lang").distinct().orderBy("lang").collect()]
+    for version in ("v1", "v2"):
+        for lang in langs:
+            rg.register_model(spark, path, lang, f"models/{version}/{lang}", "classical")
+    return rg.read_registry(spark, path, "/srv").select("position", "name", "path", "type")
+
+
 @query("io7_read_registry")
 def io7(spark, sf):
     """A registry text per document, every French one cut off in the middle."""
@@ -412,7 +423,7 @@ def t14b(spark, sf):
     lexicon = words.select("word", F.regexp_replace("word", "(ing|ed|s)$", "").alias("lemma"))
     tokens = tx.tokenize(tx.remove_non_alpha(F.lower("text")))
     df = read(spark, sf).select("doc_id", tokens.alias("tokens"))
-    return cl.lemmatize_with_lexicon(df, "tokens", lexicon, "doc_id").select(
+    return cl.lemmatize_with_lexicon(df, "tokens", lexicon).select(
         "doc_id", tx.join_tokens("tokens").alias("out")
     )
 
