@@ -291,3 +291,18 @@ def test_holdout_shares_no_row_with_training(spark):
     sample = {r["review_id"] for r in sample_fraction(reviews, 0.2, 42, "review_id").collect()}
     test = {r["review_id"] for r in with_split(reviews, 0.2, stratify=None).filter("split = 'test'").collect()}
     assert len(sample & test) < 40
+
+
+def test_cleaning_options_stay_with_the_model(spark, folder):
+    rows = [(i, 1.0 + 4 * (i % 2), f"it is not {'good' if i % 2 else 'bad'}") for i in range(60)]
+    reviews = spark.createDataFrame(rows, "review_id long, Score double, Text string")
+    trained = plans.train_model(
+        reviews, spark, f"{folder}/m", key="review_id", cleaning={"use_negation": False}
+    )
+    again = md.load_model(spark, f"{folder}/m")
+    assert again.cleaning == trained.model.cleaning == {"use_negation": False}
+    text = spark.createDataFrame([("it is not good",)], "Text string")
+    assert text.select(again.clean("Text")).first()[0] == "good"
+    assert sc.predict_with_labels(again, text, "Text").first()["label"] == "POSITIVE"
+    with pytest.raises(ValueError, match="has no options"):
+        prepare_reviews(reviews, spark, mode="transformer", cleaning={"use_negation": False})

@@ -10,7 +10,9 @@ into each use.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 from html.entities import html5
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -366,11 +368,15 @@ def clean_classical(
     return join_tokens(words)
 
 
-def cleaner(mode: str) -> Callable[[Column | str], Column]:
-    """The cleaning function of a mode."""
+def cleaner(mode: str, **options: Any) -> Callable[[Column | str], Column]:
+    """The cleaning function of a mode; options are those of ``clean_classical``."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, got {mode!r}")
-    return clean_classical if mode == "classical" else clean_minimal
+    if mode == "classical":
+        return partial(clean_classical, **options)
+    if options:
+        raise ValueError(f"mode {mode} has no options, got {', '.join(options)}")
+    return clean_minimal
 
 
 def is_blank(col: Column | str) -> Column:

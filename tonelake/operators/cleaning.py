@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -23,9 +25,14 @@ def clean_frame(
     output_col: str = "cleaned_text",
     drop_empty: bool = True,
     observation: Observation | None = None,
+    **options: Any,
 ) -> DataFrame:
-    """Clean one column, then drop the rows that came out empty."""
-    clean = tx.cleaner(mode)
+    """Clean one column, then drop the rows that came out empty.
+
+    ``options`` are those of ``clean_classical``: ``use_negation``,
+    ``drop_stopwords``, ``stop_words``.
+    """
+    clean = tx.cleaner(mode, **options)
     require_columns(df, [text_col])
     if not drop_empty:
         return df.withColumn(output_col, clean(text_col))
@@ -78,10 +85,23 @@ class TextCleaner(
         Params._dummy(), "mode", "classical or transformer", TypeConverters.toString
     )
 
+    negation = Param(
+        Params._dummy(), "negation", "mark negated words", TypeConverters.toBoolean
+    )
+    stopwords = Param(
+        Params._dummy(), "stopwords", "drop stop words", TypeConverters.toBoolean
+    )
+
     @keyword_only
-    def __init__(self, *, inputCol="Text", outputCol="cleaned_text", mode="classical"):
+    def __init__(
+        self, *, inputCol="Text", outputCol="cleaned_text", mode="classical",
+        negation=True, stopwords=True,
+    ):
         super().__init__()
-        self._setDefault(inputCol="Text", outputCol="cleaned_text", mode="classical")
+        self._setDefault(
+            inputCol="Text", outputCol="cleaned_text", mode="classical",
+            negation=True, stopwords=True,
+        )
         tx.cleaner(mode)
         self._set(**self._input_kwargs)
 
@@ -92,4 +112,13 @@ class TextCleaner(
             self.getInputCol(),
             self.getOutputCol(),
             drop_empty=False,
+            **self._options(),
         )
+
+    def _options(self) -> dict[str, bool]:
+        if self.getOrDefault(self.mode) != "classical":
+            return {}
+        return {
+            "use_negation": self.getOrDefault(self.negation),
+            "drop_stopwords": self.getOrDefault(self.stopwords),
+        }

@@ -21,7 +21,7 @@ def _scored(model: SentimentModel, df: DataFrame, text_col: str) -> DataFrame:
 
     The model reads a cleaned copy; the text itself is handed through.
     """
-    text = F.col(text_col) if model.mode is None else cleaner(model.mode)(text_col)
+    text = model.clean(text_col)
     ready = df.select(F.struct(*df.columns).alias("row"), text.alias(model.text_col))
     return model.transform(ready).select(
         "row.*",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import names_for
+from ..functions.text import cleaner
 from ..session import materialize, scratch_path
 from .features import DEFAULT_MAX_FEATURES, fit_tfidf
 from .rows import require_columns
@@ -122,6 +123,13 @@ class SentimentModel:
     num_labels: int = 2
     label_names: tuple[str, ...] = ()
     parameters: dict[str, Any] = field(default_factory=dict)
+    cleaning: dict[str, Any] = field(default_factory=dict)
+
+    def clean(self, text: str | Column) -> Column:
+        """Raw text as the model was trained on it."""
+        if self.mode is None:
+            return F.col(text) if isinstance(text, str) else text
+        return cleaner(self.mode, **self.cleaning)(text)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` and ``probability`` to already prepared rows."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +39,19 @@ def prepare_reviews(
     fmt: str = "csv",
     multi_line: bool = True,
     csv_options: Mapping[str, str | bool] | None = None,
+    cleaning: Mapping[str, Any] | None = None,
 ) -> DataFrame:
     """Key, score, text, ``cleaned_text`` and ``label``.
 
     Null rows go first, then the sample is drawn, then neutral reviews are
     dropped for binary labels, and only what is left is cleaned. Without a key
     column the rows are numbered as ``review_id`` and stored, so that every
-    later pass sees the same numbers.
+    later pass sees the same numbers. ``cleaning`` holds options of ``clean_classical``.
     """
     check_problem_type(problem_type)
     check_fraction(sample_frac)
-    cleaner(mode)
+    cleaning = dict(cleaning or {})
+    cleaner(mode, **cleaning)
     keep = (key,) if key else ()
     if isinstance(source, str):
         spark = spark or SparkSession.active()
@@ -71,5 +74,5 @@ def prepare_reviews(
         df = drop_neutral(df, score_col)
     require_min_rows(df, min_rows)
     if not skip_preprocessing:
-        df = clean_frame(df, mode, text_col, "cleaned_text")
+        df = clean_frame(df, mode, text_col, "cleaned_text", **cleaning)
     return df.withColumn("label", score_to_label(score_col, problem_type))

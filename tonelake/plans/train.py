@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import names_for, num_classes, score_to_label
-from ..functions.text import cleaner
 from ..operators import evaluation as ev
 from ..operators.features import DEFAULT_MAX_FEATURES
 from ..operators.rows import drop_neutral, drop_null_rows, project_review
@@ -52,18 +52,22 @@ def train_model(
     problem_type: str = "binary",
     mode: str = "classical",
     key: str | None = None,
+    cleaning: dict[str, Any] | None = None,
+    reading: dict[str, Any] | None = None,
     **logistic: Any,
 ) -> Trained:
     """Prepare, split, fit and evaluate; save and register where asked to.
 
     Texts are cleaned once and stored; split, vectorizer, classifier and
-    evaluation read the stored table.
+    evaluation read the stored table. ``cleaning`` holds options of ``clean_classical``, which
+    the model keeps for scoring; ``reading`` holds ``fmt``, ``multi_line`` and ``csv_options``.
     """
     if registry and not output_dir:
         raise ValueError("a model to be registered needs an output_dir")
     spark = spark or SparkSession.active()
     prepared = prepare_reviews(
-        source, spark, sample_frac, problem_type, mode, seed, key=key
+        source, spark, sample_frac, problem_type, mode, seed, key=key,
+        cleaning=cleaning, **(reading or {}),
     )
     key = key or "review_id"
     slim = materialize(prepared.select(key, "cleaned_text", "label"), "prepared")
@@ -73,6 +77,7 @@ def train_model(
         part(data, "train"), "cleaned_text", "label", max_features, ngram_range,
         mode, names, **logistic,
     )
+    model.cleaning = dict(cleaning or {})
     model.parameters.update(test_size=test_size, random_state=seed)
     # scored once; the metrics and the caller read the stored rows
     predictions = materialize(predict(model, part(data, "test")), "predictions")
@@ -141,14 +146,17 @@ def holdout(
     """
     rows = holdout_rows(reviews, key, split, test_size, problem_type, seed)
     fitted = {n: m for n, m in models.items() if isinstance(m, SentimentModel)}
-    modes = {m.mode for m in fitted.values() if m.mode}
-    cleaned = [cleaner(mode)("Text").alias(f"clean_{mode}") for mode in modes]
-    # cleaned once per mode, however many models share it
+    # cleaned once per way of cleaning, however many models share it
+    ways = {(m.mode, json.dumps(m.cleaning, sort_keys=True)): m for m in fitted.values()}
+    column = {way: f"clean_{i}" for i, way in enumerate(ways)}
+    cleaned = [m.clean("Text").alias(column[way]) for way, m in ways.items()]
     test = materialize(rows.select(key, "Text", "label", *cleaned), "holdout")
     scored = {
         name: predict(
             m,
-            test.select(key, F.col(f"clean_{m.mode}" if m.mode else "Text").alias(m.text_col)),
+            test.select(
+                key, F.col(column[m.mode, json.dumps(m.cleaning, sort_keys=True)]).alias(m.text_col)
+            ),
         )
         for name, m in fitted.items()
     }

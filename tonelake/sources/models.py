@@ -26,7 +26,9 @@ def describe(model: SentimentModel) -> dict:
         "feature_type": model.parameters.get("feature_type", "tfidf"),
         "num_labels": model.num_labels,
         "label_names": list(model.label_names),
-        "preprocessing": {"mode": model.mode, "text_col": model.text_col},
+        "preprocessing": {
+            "mode": model.mode, "text_col": model.text_col, "options": model.cleaning,
+        },
         "parameters": model.parameters,
     }
 
@@ -45,4 +47,5 @@ def load_model(spark: SparkSession, path: str) -> SentimentModel:
         config["num_labels"],
         tuple(config["label_names"]),
         config["parameters"],
+        config["preprocessing"].get("options") or {},
     )

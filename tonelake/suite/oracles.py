@@ -433,6 +433,18 @@ h AS (
     "AS INTEGER) AS label, t AS cleaned_text FROM done WHERE trim(t) <> ''",
 )
 
+ORACLES["l7_options"] = with_(
+    REVIEWS,
+    """
+kept AS (
+  SELECT * FROM reviews
+  WHERE "Score" IS NOT NULL AND "Text" IS NOT NULL AND "Score" <> 3
+)""",
+    chain("kept", 'review_id, "Score"', '"Text"', WORDS + LEMMAS + LONG + JOIN),
+    then='SELECT review_id, "Score", CAST(CASE WHEN "Score" > 3 THEN 1 ELSE 0 END '
+    "AS INTEGER) AS label, t AS cleaned_text FROM done WHERE trim(t) <> ''",
+)
+
 # --- splits -----------------------------------------------------------------------
 
 

@@ -516,6 +516,16 @@ def l7(spark, sf):
     return df.select("review_id", "Score", "label", "cleaned_text")
 
 
+@query("l7_options")
+def l7b(spark, sf):
+    """No sample, negation and stop words left alone."""
+    df = prepare_reviews(
+        reviews(spark, sf), spark, key="review_id",
+        cleaning={"use_negation": False, "drop_stopwords": False},
+    )
+    return df.select("review_id", "Score", "label", "cleaned_text")
+
+
 # --- splits -------------------------------------------------------------------
 
 
