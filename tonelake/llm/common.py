@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import SALTS, fits_broadcast
 
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 1024 * 1024
+# Rows of an Arrow batch made into Python objects at once
+SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +41,7 @@ def text_batches(
     ids: list = []
     texts: list = []
     size = 0
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             n = len(text) if text else 0
             if ids and size + n > max_bytes:
@@ -60,14 +63,14 @@ def filter_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            sizes = np.cumsum([len(t) if t else 0 for t in texts])
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(sizes, dtype=np.int64)
             done = 0
-            while done < len(texts):
-                most = (sizes[done - 1] if done else 0) + BATCH_BYTES
-                stop = max(done + 1, int(np.searchsorted(sizes, most, "right")))
+            while done < batch.num_rows:
+                most = (upto[done - 1] if done else 0) + BATCH_BYTES
+                stop = max(done + 1, int(np.searchsorted(upto, most, "right")))
                 part = batch.slice(done, stop - done)
-                yield part.filter(pa.array(keep(texts[done:stop]), pa.bool_()))
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
                 done = stop
 
     return docs.mapInArrow(run, docs.schema)
@@ -89,6 +92,29 @@ def hot_join(
     return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
+# Bits of the filter in ``maybe_in``; its rows are 4 KB each, 4 MB in all at most.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key``, a hash, may be among those ``wanted``; none that is goes.
+
+    A bitmap of fixed size is built from the wanted keys by aggregation and
+    broadcast, so the rows that a join would drop aren't shuffled for it. When very many keys are wanted
+    it lets more through, and the join that follows decides.
+    """
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits")
+    )
+    bit = F.bitmap_bit_position(place)
+    marked = rows.withColumns({"__bucket": F.bitmap_bucket_number(place), "__bit": bit})
+    marked = marked.join(F.broadcast(bits), "__bucket")
+    byte = "ascii(decode(substring(__bits, int(__bit div 8) + 1, 1), 'ISO-8859-1'))"
+    hit = F.expr(f"({byte} & shiftleft(1, int(__bit % 8))) <> 0")
+    return marked.filter(hit).select(*rows.columns)
+
+
 # --- word hashes ------------------------------------------------------------
 # A word is a run of ASCII letters, digits and bytes of 128 and more (so any
 # character that is not ASCII); A-Z count as a-z.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import batch_words, shingle_set, text_batches
+from .common import batch_words, maybe_in, shingle_set, text_batches
 from .graph import components
 
 WORDS = 5
@@ -21,8 +21,10 @@ TARGET_RECALL = 0.99999
 # Tokens kept of each set, those of least hash, and how many a step chooses on average.
 SAMPLE = 64
 CHOSEN = 2.5
-# Buckets up to this size are compared at once; larger ones are split, or compared in blocks.
-BUCKET = 256
+# Buckets up to this size are compared at once; larger ones are split, or compared in
+# blocks of the second size.
+BUCKET = 64
+BLOCK = 256
 MAX_DEPTH = 8
 # A bucket whose members share so much of their samples on average isn't split any more.
 DENSE = 0.5
@@ -44,7 +46,7 @@ def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """``doc_id, row_key, sid, n, sample`` of every row.
 
-    ``sid`` names the set of word n-grams (a 128-bit hash), ``n`` is its size and
+    ``sid`` names the set of word n-grams (a 64-bit hash), ``n`` is its size and
     ``sample`` its ``SAMPLE`` tokens of least hash. ``row_key`` is a hash of id and text.
     """
 
@@ -58,14 +60,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
             sids, sizes, samples = [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 tokens = shingle_set(found[a:b], words)
-                sids.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=8).digest()
+                sids.append(int.from_bytes(digest, "little", signed=True))
                 sizes.append(len(tokens))
                 samples.append(tokens[:SAMPLE].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([k["doc_id"] for k in keys], pa.int64()),
                     "row_key": pa.array([k["row_key"] for k in keys], pa.int64()),
-                    "sid": pa.array(sids, pa.binary()),
+                    "sid": pa.array(sids, pa.int64()),
                     "n": pa.array(sizes, pa.int32()),
                     "sample": pa.array(samples, pa.list_(pa.int32())),
                 }
@@ -73,7 +76,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
 
     key = F.struct(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, sid binary, n int, sample array<int>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, sid long, n int, sample array<int>")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -98,33 +101,47 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
     """
     sets = classes.filter("n > 0").select("sid", "sample")
     starts = F.flatten(F.transform(F.array(*[F.lit(r) for r in range(runs)]), lambda r: _chosen(r, F.col("sample"))))
-    members = sets.select("sid", F.explode(F.array_distinct(starts)).alias("path"))
+    members = sets.select(
+        "sid", F.lit(None).cast("long").alias("parent"), F.explode(F.array_distinct(starts)).alias("path")
+    )
     done: list[DataFrame] = []
+    parents = None
     for depth in range(MAX_DEPTH + 1):
         members = materialize(members, "members")
-        sizes = materialize(
-            members.groupBy("path")
-            .agg(
-                F.count(F.lit(1)).alias("size"),
-                F.bit_xor(F.xxhash64("sid")).alias("x"),
-                F.bit_xor(F.xxhash64(F.lit("y"), "sid")).alias("y"),
-            )
-            .filter("size > 1"),
-            "bucket-sizes",
+        counted = members.groupBy("path").agg(
+            F.count(F.lit(1)).alias("size"),
+            F.bit_xor(F.xxhash64("sid")).alias("names"),
+            F.min("parent").alias("parent"),
         )
-        kept = sizes.groupBy("size", "x", "y").agg(F.min("path").alias("path")).select("path", "size")
-        held = materialize(members.join(kept, "path"), "buckets")
-        last = depth == MAX_DEPTH
-        done.append(held if last else held.filter(F.col("size") <= BUCKET))
-        large = held.filter(F.col("size") > BUCKET)
-        if last or large.isEmpty():
+        if parents is None:
+            sizes = materialize(counted.filter("size > 1"), "bucket-sizes")
+        else:
+            counted = materialize(counted, "bucket-sizes")
+            dense = materialize(_dense(counted, parents), "dense-buckets")
+            done.append(parents.join(dense, "path", "left_semi"))
+            sizes = counted.filter("size > 1").join(
+                dense.select(F.col("path").alias("parent")), "parent", "left_anti"
+            )
+        kept = sizes.groupBy("size", "names").agg(F.min("path").alias("path")).select("path", "size")
+        kept = materialize(kept, "kept-buckets")
+        rows = maybe_in(members.select("path", "sid"), kept, "path")
+        held = materialize(rows.join(kept, "path"), "buckets")
+        if depth == MAX_DEPTH:
+            done.append(held)
             break
-        large = materialize(large.join(sets, "sid"), "large-buckets")
-        dense = materialize(_dense(large), "dense-buckets")
-        done.append(large.join(dense, "path", "left_semi").select("path", "sid", "size"))
+        done.append(held.filter(F.col("size") <= BUCKET))
+        parents = held.filter(F.col("size") > BUCKET)
+        if parents.isEmpty():
+            break
+        # a sample travels once for each member, not once for each of its buckets, and
+        # later steps read those that are still in some large bucket
+        whose = parents.groupBy("sid").agg(F.collect_list("path").alias("parents"))
+        sets = materialize(
+            maybe_in(sets.select("sid", "sample"), whose, "sid").join(whose, "sid"), "live-sets"
+        )
         members = (
-            large.join(dense, "path", "left_anti")
-            .select("sid", F.explode(F.array_distinct(_chosen(F.col("path"), F.col("sample")))).alias("path"))
+            sets.select("sid", "sample", F.explode("parents").alias("parent"))
+            .select("sid", "parent", F.explode(F.array_distinct(_chosen(F.col("parent"), F.col("sample")))).alias("path"))
         )
     out = done[0].select("path", "sid", "size")
     for part in done[1:]:
@@ -132,18 +149,18 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
     return out
 
 
-def _dense(large: DataFrame) -> DataFrame:
-    """Paths of buckets in which two members share ``DENSE`` of their samples on average.
+def _dense(counted: DataFrame, parents: DataFrame) -> DataFrame:
+    """Paths of buckets in which two members share ``DENSE`` of their tokens on average.
 
-    From the counts of every eighth token: the sum of their squares, over members
-    times tokens.
+    The tokens that led on to the next buckets are a random part of all: the sum of their
+    buckets' squared sizes, over members times the sum of sizes.
     """
-    tokens = large.select("path", "size", F.explode("sample").alias("t")).filter(F.pmod("t", F.lit(8)) == 0)
-    counts = tokens.groupBy("path", "t").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    sizes = parents.groupBy("path").agg(F.first("size").alias("members"))
     return (
-        counts.groupBy("path")
-        .agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("tokens"), F.first("size").alias("size"))
-        .filter(F.col("pairs") >= DENSE * F.col("size") * F.col("tokens"))
+        counted.groupBy(F.col("parent").alias("path"))
+        .agg(F.sum(F.col("size") * F.col("size")).alias("pairs"), F.sum("size").alias("rows"))
+        .join(sizes, "path")
+        .filter(F.col("pairs") >= DENSE * F.col("members") * F.col("rows"))
         .select("path")
     )
 
@@ -251,7 +268,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CANDIDATES = pa.schema(
     [
         ("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()),
-        ("side", pa.int32()), ("sid", pa.binary()), ("row_key", pa.int64()), ("copies", pa.int64()),
+        ("side", pa.int32()), ("sid", pa.int64()), ("row_key", pa.int64()), ("copies", pa.int64()),
         ("paths", pa.list_(pa.int64())),
     ]
 )
@@ -261,7 +278,7 @@ def _links(words: int, similarity: float):
     """Exact links within each group of candidates: counts, and a tie to the group's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("sid", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+        kinds = pa.schema([("sid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
         for (path, *_), rows in _groups(batches, ["path", "i", "j", "part"]):
             if len(rows) < 2:
                 continue
@@ -336,10 +353,10 @@ def near_copies(
     cards = (
         buckets.groupBy("sid")
         .agg(F.sort_array(F.collect_set("path")).alias("paths"))
-        .join(classes.select("sid", "copies", "sample", "row_key"), "sid")
+        .join(maybe_in(classes.select("sid", "copies", "sample", "row_key"), buckets, "sid"), "sid")
     )
-    big = buckets.filter(F.col("size") > BUCKET).select("path", "size").distinct()
-    big = big.select("path", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
+    big = buckets.filter(F.col("size") > BLOCK).select("path", "size").distinct()
+    big = big.select("path", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     placed = cards.withColumn("path", F.explode("paths")).join(big, "path", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     placed = placed.withColumn("blocks", blocks).withColumn(
@@ -351,13 +368,18 @@ def near_copies(
     )
     grouped = placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
     kinds = (
-        "path long, i int, j int, part int, side int, sid binary, row_key long, copies long,"
+        "path long, i int, j int, part int, side int, sid long, row_key long, copies long,"
         " paths array<long>"
     )
     found = materialize(grouped.mapInArrow(_candidates, kinds), "candidates")
     wanted = found.select("row_key").distinct()
     keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    texts = keyed.join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+    texts = (
+        maybe_in(keyed, wanted, "row_key")
+        .join(wanted, "row_key", "left_semi")
+        .groupBy("row_key")
+        .agg(F.first("text").alias("text"))
+    )
     together = (
         found.join(texts, "row_key")
         .select("path", "i", "j", "part", "side", "sid", "copies", "paths", "text")
@@ -365,7 +387,7 @@ def near_copies(
         .sortWithinPartitions("path", "i", "j", "part")
     )
     links = materialize(
-        together.mapInArrow(_links(words, similarity), "sid binary, root binary, links long"), "links"
+        together.mapInArrow(_links(words, similarity), "sid long, root long, links long"), "links"
     )
     roots = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
