@@ -91,6 +91,11 @@ def _chosen(seed: Column, sample: Column) -> Column:
     return F.transform(F.filter(sample, draw), lambda t: F.xxhash64(seed, t, F.lit("path")))
 
 
+def _grows(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: shuffled at any size, never broadcast."""
+    return table.hint("merge")
+
+
 def _split(classes: DataFrame, runs: int) -> DataFrame:
     """Buckets to compare: ``path, size`` and each member's ``sid``.
 
@@ -125,7 +130,7 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
         kept = sizes.groupBy("size", "names").agg(F.min("path").alias("path")).select("path", "size")
         kept = materialize(kept, "kept-buckets")
         rows = maybe_in(members.select("path", "sid"), kept, "path")
-        held = materialize(rows.join(kept, "path"), "buckets")
+        held = materialize(rows.join(_grows(kept), "path"), "buckets")
         if depth == MAX_DEPTH:
             done.append(held)
             break
@@ -137,7 +142,7 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
         # later steps read those that are still in some large bucket
         whose = parents.groupBy("sid").agg(F.collect_list("path").alias("parents"))
         sets = materialize(
-            maybe_in(sets.select("sid", "sample"), whose, "sid").join(whose, "sid"), "live-sets"
+            maybe_in(sets.select("sid", "sample"), whose, "sid").join(_grows(whose), "sid"), "live-sets"
         )
         members = (
             sets.select("sid", "sample", F.explode("parents").alias("parent"))
@@ -353,7 +358,10 @@ def near_copies(
     cards = (
         buckets.groupBy("sid")
         .agg(F.sort_array(F.collect_set("path")).alias("paths"))
-        .join(maybe_in(classes.select("sid", "copies", "sample", "row_key"), buckets, "sid"), "sid")
+        .join(
+            _grows(maybe_in(classes.select("sid", "copies", "sample", "row_key"), buckets, "sid")),
+            "sid",
+        )
     )
     big = buckets.filter(F.col("size") > BLOCK).select("path", "size").distinct()
     big = big.select("path", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -376,12 +384,12 @@ def near_copies(
     keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     texts = (
         maybe_in(keyed, wanted, "row_key")
-        .join(wanted, "row_key", "left_semi")
+        .join(_grows(wanted), "row_key", "left_semi")
         .groupBy("row_key")
         .agg(F.first("text").alias("text"))
     )
     together = (
-        found.join(texts, "row_key")
+        found.join(_grows(texts), "row_key")
         .select("path", "i", "j", "part", "side", "sid", "copies", "paths", "text")
         .repartition("path", "i", "j", "part")
         .sortWithinPartitions("path", "i", "j", "part")
