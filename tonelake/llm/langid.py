@@ -25,6 +25,7 @@ MAX_CELLS = 1 << 24
 MARGIN_BITS = 1.5
 DEVIATIONS = 8.0
 _BITS = np.uint64(16)
+_PIECE = 1 << 18
 _SPACE = 32
 _letters: list[np.ndarray] = []
 
@@ -189,8 +190,8 @@ class LanguageModel:
         codes, at = letter_codes(texts)
         sums = np.zeros((len(texts), len(self.languages)))
         size = np.diff(at)
-        for start in range(0, len(codes), 1 << 19):
-            stop = min(len(codes), start + (1 << 19))
+        for start in range(0, len(codes), _PIECE):
+            stop = min(len(codes), start + _PIECE)
             # the codes before a piece are its first contexts
             lead = min(start, ORDER - 1)
             inner = np.clip(at, start - lead, stop) - (start - lead)
@@ -340,7 +341,7 @@ def detect_language(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_batches(batches, 1 << 20):
+        for keys, texts in text_batches(batches):
             names, score, rejected, bits = shared.value.predict(texts)
             yield pa.RecordBatch.from_pydict(
                 {

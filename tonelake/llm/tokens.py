@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _GAP = re.compile(r"[ \t\r\n]+")
 # a word of Latin letters, each a code point of its own, and at most one stop
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
