@@ -39,6 +39,21 @@ def test_against_brute_force(spark, monkeypatch, long_list):
     assert got == brute(rows)
 
 
+def test_links_between_crowds_that_fill_their_lists(spark):
+    rng = np.random.default_rng(4)
+    u, v, w = np.linalg.qr(rng.standard_normal((32, 3)))[0].T
+    turn = np.arccos(0.96)
+    far = np.arccos(0.9)
+    centres = [u, np.cos(turn) * u + np.sin(turn) * v, w, np.cos(far) * w + np.sin(far) * v]
+    values = np.concatenate([c + 0.002 * rng.standard_normal((40, 32)) for c in centres])
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([values, values[:3], values[40:41] * 2]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()}
+    want = brute(rows)
+    assert want[0][:2] == (82 + 1, 0) and want[60][1] == 0 and want[100][1] == 80 and want[130][1] == 120
+    assert got == want
+
+
 def test_odd_tables(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (None, [2.0, 0.0], "c"), (None, None, "d")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string")

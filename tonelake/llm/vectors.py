@@ -222,6 +222,110 @@ def _full_groups(linked: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "node long, links long")
 
 
+def _balls(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of some components, each in a ball of at most ``BLOCK`` nodes around one of them.
+
+    ``members`` has ``node, root``. Columns ``ball`` (its centre's hash), ``root, node, centre, radius``;
+    the radius, an angle, is the largest in the ball and at most half of a link's.
+    """
+    chunks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("chunks"))
+    rows = members.join(chunks, "root").select(
+        "root", "node", F.pmod(F.xxhash64("node", F.lit("ball")), F.col("chunks")).cast("int").alias("chunk")
+    )
+    rows = rows.join(nodes.select("node", "dims", "vec"), "node").repartition("root", "chunk").sortWithinPartitions("root", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (root, _), held in _groups(batches, ["root", "chunk"]):
+            x, left = _matrix(held), np.arange(len(held))
+            while len(left):
+                angle = np.arccos(np.clip(x[left] @ x[left[0]], -1, 1))
+                angle[0] = 0
+                own = np.argsort(angle, kind="stable")[:BLOCK]
+                own = own[angle[own] <= np.arccos(COSINE) / 2]
+                at, centre = left[own], held[left[0]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "ball": pa.array([centre["node"]] * len(at), pa.int64()),
+                        "root": pa.array([root] * len(at), pa.int64()),
+                        "node": pa.array([held[n]["node"] for n in at.tolist()], pa.int64()),
+                        "dims": pa.array([centre["dims"]] * len(at), pa.int32()),
+                        "centre": pa.array([bytes(centre["vec"])] * len(at), pa.binary()),
+                        "radius": np.full(len(at), angle[own].max()),
+                    }
+                )
+                left = np.delete(left, own)
+
+    return rows.mapInArrow(run, "ball long, root long, node long, dims int, centre binary, radius double")
+
+
+def _across(inside: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact links between nodes of different components, and the components they join.
+
+    ``inside`` has ``node, root, copies``. Lists cut at ``LONG_LIST`` may hold none of these links, where
+    each node has as many nearer ones of its own component. Nodes are gathered in
+    balls; two balls can hold a link only if the angle of their centres is at most that of a
+    link and both radii, and only members of such balls are compared.
+    Out come counts, ``node, links``, and pairs of roots, ``a, b``.
+    """
+    members = materialize(_balls(inside.select("node", "root"), nodes), "vector-balls")
+    balls = members.select("ball", "root", "dims", F.col("centre").alias("vec"), "radius").distinct()
+    sides = 4 * BLOCK
+    sizes = balls.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / sides).cast("int").alias("blocks"))
+    placed = balls.join(sizes, "dims").withColumn("side", F.pmod(F.xxhash64("ball"), F.col("blocks")).cast("int"))
+    placed = (
+        placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"i": F.least("side", "with"), "j": F.greatest("side", "with")})
+        .select("dims", "i", "j", "side", "ball", "root", "vec", "radius")
+        .repartition("dims", "i", "j")
+        .sortWithinPartitions("dims", "i", "j")
+    )
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in _groups(batches, ["dims", "i", "j"]):
+            x = _matrix(rows)
+            ball, root, side = (np.array([r[c] for r in rows]) for c in ("ball", "root", "side"))
+            radius = np.array([r["radius"] for r in rows])
+            reach = np.arccos(COSINE) + radius[:, None] + radius[None, :] + 1e-6
+            meet = (np.arccos(np.clip(x @ x.T, -1, 1)) <= reach) & (root[:, None] != root[None, :])
+            meet &= ball[:, None] < ball[None, :]
+            if i != j:
+                meet &= side[:, None] != side[None, :]
+            a, b = np.nonzero(meet)
+            yield pa.RecordBatch.from_pydict({"a": ball[a], "b": ball[b]})
+
+    pairs = placed.mapInArrow(near, "a long, b long")
+    pairs = materialize(pairs, "vector-ball-pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("ball"))
+    rows = (
+        ends.join(members.select("ball", "root", "node"), "ball")
+        .join(inside.select("node", "copies"), "node")
+        .join(nodes.select("node", "vec"), "node")
+        .select("a", "b", "root", "node", "copies", "vec")
+        .repartition("a", "b")
+        .sortWithinPartitions("a", "b")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _groups(batches, ["a", "b"]):
+            x = _matrix(held)
+            root, node = (np.array([r[c] for r in held]) for c in ("root", "node"))
+            linked = (x @ x.T >= COSINE) & (root[:, None] != root[None, :])
+            links = linked @ np.array([r["copies"] for r in held], np.int64)
+            own = links > 0
+            if own.any():
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": node[own],
+                        "links": links[own],
+                        "a": np.full(own.sum(), root.min()),
+                        "b": np.full(own.sum(), root.max()),
+                    }
+                )
+
+    found = materialize(rows.mapInArrow(count, "node long, links long, a long, b long"), "vector-across")
+    return found.select("node", "links"), found.select("a", "b").distinct()
+
+
 def audit_links(nodes: DataFrame, counts: DataFrame, asked: int = AUDITED) -> float:
     """Share of the links of ``asked`` nodes (those of least hash) that ``counts`` has.
 
@@ -270,7 +374,8 @@ def near_vectors(
     random planes; then, round after round, neighbours of a node are
     compared with each other until few lists improve. A list full of links is
     made longer (``LIST`` to ``LONG_LIST``); components that have a list still full are
-    counted exactly, block by block. At last ``audit_links`` compares
+    counted exactly, block by block, and compared with each other, as full lists may hold no link
+    that leaves the component. At last ``audit_links`` compares
     a bounded sample of nodes with all rows; below ``target_recall`` the search goes on with
     more planes.
 
@@ -346,8 +451,12 @@ def _count_links(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     ).select(F.col("a").alias("node"))
     crowded = roots.join(full, "node").select("root").distinct()
     inside = roots.join(crowded, "root", "left_semi").join(nodes.select("node", "copies"), "node")
-    exact = _full_groups(inside, nodes).groupBy("node").agg(F.sum("links").alias("exact"))
+    inside = materialize(inside, "vector-crowded")
+    across, joined = _across(inside, nodes)
+    exact = _full_groups(inside, nodes).union(across).groupBy("node").agg(F.sum("links").alias("exact"))
     counts = listed.join(exact, "node", "full_outer").select(
         "node", F.coalesce("exact", "links").alias("links")
     )
-    return materialize(counts, "vector-counts"), roots
+    merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    roots = roots.join(merged, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+    return materialize(counts, "vector-counts"), materialize(roots, "vector-whole-roots")
