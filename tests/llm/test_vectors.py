@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tonelake.llm import vectors
 from tonelake.llm.graph import components
@@ -54,6 +56,35 @@ def test_links_between_crowds_that_fill_their_lists(spark):
     assert got == want
 
 
+def test_audit_weighs_nodes_alike(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((61, 32))
+    values = np.concatenate([base, base[:60] + 0.01 * rng.standard_normal((60, 32)), base[60] + 0.01 * rng.standard_normal((600, 32))])
+    rows = [(i, v.tolist()) for i, v in enumerate(values)]
+    nodes = vectors.vector_nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).withColumn("copies", F.lit(1).cast("long")).cache()
+    links = [(r["node"], 600) for r in nodes.collect() if r["vec_id"] == 60 or r["vec_id"] > 120]
+    # every isolated pair is lost; the crowd has all its links
+    share, n = vectors.audit_links(nodes, spark.createDataFrame(links, "node long, links long"))
+    assert n == 721 and abs(share - 601 / 721) < 1e-9
+
+
+def test_last_search_is_audited(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((20, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.01 * rng.standard_normal((20, 16))]))]
+    monkeypatch.setattr(vectors, "_top", lambda x, nodes, *_: pa.RecordBatch.from_pydict(
+        {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}
+    ))
+    with pytest.raises(RuntimeError, match="recall"):
+        near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), max_tries=1)
+
+
+def test_tables_for_a_lone_pair():
+    for n in (1000, 10**6, 10**7, 3 * 10**7):
+        bits, tables = vectors._bits(n), vectors._tables_for(n)
+        assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.99
+
+
 def test_odd_tables(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (None, [2.0, 0.0], "c"), (None, None, "d")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string")

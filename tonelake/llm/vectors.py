@@ -19,10 +19,12 @@ LIST, LONG_LIST = 8, 32
 # Pairs below this cosine lead to no link in one step, as both their angles would be
 # over half of its angle; they aren't listed.
 REACH = 0.8
+# Tables of planes at least; see ``_tables_for``.
 TABLES = 12
 BLOCK = 256
 ROUNDS = 4
-AUDITED = 200
+# Nodes audited at least, and so many times the square root of their number.
+AUDITED, AUDITED_ROOTS = 2000, 2
 TARGET_RECALL = 0.99
 
 
@@ -63,15 +65,27 @@ def _matrix(rows: list[dict]) -> np.ndarray:
     return np.frombuffer(b"".join(r["vec"] for r in rows), np.float64).reshape(len(rows), -1)
 
 
-def _first_lists(nodes: DataFrame, tables: int, seed: int, size: int) -> DataFrame:
+def _bits(n: int) -> int:
+    return min(24, max(4, int(n / (BLOCK / 2)).bit_length()))
+
+
+def _tables_for(n: int, recall: float = TARGET_RECALL) -> int:
+    """Tables in which two of ``n`` nodes at cosine ``COSINE`` share a bucket, but for half of what ``recall`` leaves.
+
+    Such a pair has no other way to be found, if neither has more neighbours. The other half
+    is for pairs parted by the windows of a bucket.
+    """
+    same = (1 - np.arccos(COSINE) / np.pi) ** _bits(n)
+    return max(TABLES, int(np.ceil(np.log(max(1 - recall, 1e-9) / 2) / np.log1p(-same))))
+
+
+def _first_lists(nodes: DataFrame, tables: int, bits: int, seed: int, size: int) -> DataFrame:
     """Neighbours within blocks of vectors that fall on the same side of random planes.
 
     Rows are sorted by table of planes, bits and a projection; each task compares
     runs of ``BLOCK`` rows in that order, half overlapping, so a bucket of any size costs
-    in proportion to its rows. There are as many bits as make buckets of about
-    half a block, were they even.
+    in proportion to its rows. ``_bits`` makes buckets of about half a block, were they even.
     """
-    bits = min(24, max(4, int(nodes.count() / (BLOCK / 2)).bit_length()))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -326,14 +340,15 @@ def _across(inside: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("node", "links"), found.select("a", "b").distinct()
 
 
-def audit_links(nodes: DataFrame, counts: DataFrame, asked: int = AUDITED) -> float:
-    """Share of the links of ``asked`` nodes (those of least hash) that ``counts`` has.
+def audit_links(nodes: DataFrame, counts: DataFrame, asked: int = AUDITED) -> tuple[float, int]:
+    """Mean share of its links that ``counts`` has, over those of ``asked`` nodes that have any, and their number.
 
-    The asked nodes, a bounded number, are compared with all rows by brute force.
+    The asked nodes are those of least hash, and are compared with all rows by brute force. Each weighs
+    the same, whether it has one link or thousands. Where none has a link, the share is 1.
     """
     queries = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(asked).select("node", "dims", "vec").collect()
     if not queries:
-        return 1.0
+        return 1.0, 0
     spread = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["dims"], bytes(r["vec"])) for r in queries])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,11 +368,10 @@ def audit_links(nodes: DataFrame, counts: DataFrame, asked: int = AUDITED) -> fl
                 yield pa.RecordBatch.from_pydict({"node": keys, "links": linked @ copies[own]})
 
     true = nodes.select("node", "dims", "vec", "copies").mapInArrow(run, "node long, links long")
-    true = true.groupBy("node").agg(F.sum("links").alias("true"))
-    both = true.join(counts, "node", "left").agg(
-        F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got"), F.sum("true").alias("all")
-    ).first()
-    return 1.0 if not both["all"] else both["got"] / both["all"]
+    true = true.groupBy("node").agg(F.sum("links").alias("true")).filter(F.col("true") > 0)
+    got = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
+    both = true.join(counts, "node", "left").agg(F.avg(got).alias("share"), F.count(F.lit(1)).alias("n")).first()
+    return (both["share"], both["n"]) if both["n"] else (1.0, 0)
 
 
 def near_vectors(
@@ -376,8 +390,9 @@ def near_vectors(
     made longer (``LIST`` to ``LONG_LIST``); components that have a list still full are
     counted exactly, block by block, and compared with each other, as full lists may hold no link
     that leaves the component. At last ``audit_links`` compares
-    a bounded sample of nodes with all rows; below ``target_recall`` the search goes on with
-    more planes.
+    a sample of nodes, which grows with the square root of their number, with all rows; below
+    ``target_recall`` the search goes on with more planes, and the last of ``max_tries`` searches
+    raises if it is still below. The tables of planes are so many that a lone pair meets.
 
     Equal vectors are one node with a weight, so copies make no pairs. Null or zero vectors,
     and ones with null or non-finite components, link with nothing and are kept. Vectors of other
@@ -389,9 +404,12 @@ def near_vectors(
         rows.groupBy("node", "dims", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")),
         "vector-nodes",
     )
+    n = nodes.count()
+    asked = max(AUDITED, int(AUDITED_ROOTS * n**0.5))
+    tables = _tables_for(n, target_recall)
     lists = None
     for attempt in range(max_tries):
-        found = _first_lists(nodes, TABLES, attempt, LIST if attempt == 0 else LONG_LIST)
+        found = _first_lists(nodes, tables, _bits(n), attempt, LIST if attempt == 0 else LONG_LIST)
         if lists is not None:
             found = found.union(lists.select("a", F.explode("near").alias("n")).select("a", "n.b", "n.cosine"))
         lists = materialize(_merge(found), "lists")
@@ -407,8 +425,11 @@ def near_vectors(
             if changed <= 0.001 * total:
                 break
         counts, roots = _count_links(lists, nodes)
-        if attempt == max_tries - 1 or audit_links(nodes, counts) >= target_recall:
+        recall, linked = audit_links(nodes, counts, asked)
+        if recall >= target_recall:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of {linked} audited nodes is below {target_recall} after {max_tries} searches")
     named = (
         nodes.select("node", "copies", "least")
         .join(counts, "node", "left")
