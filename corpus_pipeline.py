@@ -25,11 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share stay in one document only.
+    """Lines that many sites share stay in one document only, those of one word too.
 
     ``n_chars`` follows the text. A document that loses all its lines goes.
     """
-    cleaned = drop_boilerplate(docs)
+    cleaned = drop_boilerplate(docs, min_words=1)
     left = (F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0)
     length = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.filter(left).withColumn("n_chars", length.cast("long")).select(*docs.columns)

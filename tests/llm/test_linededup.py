@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+from corpus_pipeline import line_dedup
 from tonelake.llm.linededup import drop_boilerplate
 
 SCHEMA = "doc_id long, text string, source string"
@@ -64,3 +65,12 @@ def test_odd_rows(spark, odd):
     assert (1, "Plain words stand here. They end.", 0) in rows
     assert got.count() == 8
     assert drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_short_lines_and_scripts_without_spaces_in_the_pipeline(spark):
+    shared = ["Les.", "And ornd.", "\u8457\u4f5c\u6a29\u306f\u5f53\u793e\u306b\u5e30\u5c5e\u3057\u307e\u3059"]
+    rows = [(i, "\n".join([*shared, "", "\t", f"own words of {i}"]), f"s{i % 12}", "en", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark, docs, "").collect()}
+    assert got.pop(0) == rows[0][1]
+    assert all(text == f"\n\t\nown words of {i}" for i, text in got.items()) and len(got) == 59

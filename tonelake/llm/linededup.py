@@ -29,13 +29,16 @@ def boilerplate_lines(
     the threshold, else the sketch's estimate) and ``keeper`` (the smallest
     document holding the line, as hash of id and text). A line is what lies
     between line feeds, trimmed of spaces; it counts if it has ``min_words``
-    words or more. A null site is no site.
+    words or more, parted by white space, and is not blank: with 1, every line that says something,
+    in any script. A null site is no site.
 
     One HyperLogLog sketch a line is built in each task and merged by the
     aggregation. Where the estimate lies within ``BAND`` of the threshold,
     distinct sites are counted exactly, on those lines alone.
     """
-    lines = _lines(docs, site_col, id_col, text_col).filter(F.size(F.split("line", r"\s+")) >= min_words)
+    lines = _lines(docs, site_col, id_col, text_col).filter(
+        F.col("line").rlike(r"\S") & (F.size(F.split("line", r"\s+")) >= min_words)
+    )
     hashed = lines.select(*_hash("line"), "site", "doc")
     spread = materialize(
         hashed.groupBy("line_a", "line_b")
