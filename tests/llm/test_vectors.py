@@ -85,6 +85,18 @@ def test_tables_for_a_lone_pair():
         assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.99
 
 
+def test_crowded_nodes_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    values = 1 + 0.1 * np.random.default_rng(7).standard_normal((100, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    nodes = vectors.vector_nodes(table).cache()
+    hub = nodes.filter("vec_id = 0").first()["node"]
+    near = F.array(F.struct(F.lit(0.9).alias("cosine"), F.lit(hub).alias("b")))
+    lists = nodes.filter("vec_id > 0").select(F.col("node").alias("a"), near.alias("near"))
+    met = [{(r["a"], r["b"]) for r in vectors._improve(lists, nodes, turn).collect()} for turn in (0, 1)]
+    assert met[0] - met[1] and met[1] - met[0]
+
+
 def test_odd_tables(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (None, [2.0, 0.0], "c"), (None, None, "d")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string")

@@ -176,12 +176,12 @@ def _merge(lists: DataFrame) -> DataFrame:
     return near.select("a", F.when(full, F.col("near")).otherwise(F.slice("near", 1, LIST)).alias("near"))
 
 
-def _improve(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def _improve(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """Compare neighbours of a node with each other, and give what betters some list.
 
     Every node sends its vector to those it lists; at each of these, those that came
     and the node itself are compared in blocks. A node that very many list has
-    many blocks, each of ``BLOCK`` rows, dealt by a hash.
+    many blocks, each of ``BLOCK`` rows, dealt by a hash that differs from ``turn`` to ``turn``.
     """
     edges = lists.select("a", F.explode("near.b").alias("b"))
     last = F.element_at("near", -1)["cosine"]
@@ -192,7 +192,7 @@ def _improve(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     crowd = meet.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = crowd.select("b", F.col("b").alias("a"), "blocks")
     dealt = meet.join(crowd, "b").select("b", "a", "blocks").union(own.select("b", "a", "blocks"))
-    dealt = dealt.select("b", "a", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int").alias("block"))
+    dealt = dealt.select("b", "a", F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.col("blocks")).cast("int").alias("block"))
     full = nodes.select("node", "dims", "vec").join(floors, "node", "left")
     rows = dealt.join(full.withColumnRenamed("node", "a"), "a").select("b", "block", "a", "vec", "floor")
     rows = rows.repartition("b", "block").sortWithinPartitions("b", "block", "a")
@@ -413,8 +413,8 @@ def near_vectors(
         if lists is not None:
             found = found.union(lists.select("a", F.explode("near").alias("n")).select("a", "n.b", "n.cosine"))
         lists = materialize(_merge(found), "lists")
-        for _ in range(ROUNDS):
-            better = _improve(lists, nodes)
+        for turn in range(ROUNDS):
+            better = _improve(lists, nodes, attempt * ROUNDS + turn)
             old = lists.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"), F.col("n.cosine").alias("cosine"))
             new = materialize(_merge(old.union(better)), "lists")
             changed = new.join(lists.withColumnRenamed("near", "old"), "a", "left").filter(
