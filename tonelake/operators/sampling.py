@@ -95,6 +95,16 @@ def cut_points(
     )
 
 
+def sample_hash(key: str | Column, seed: int | str) -> Column:
+    """The order that samples are drawn in."""
+    return order_hash(key, f"{seed}|sample")
+
+
+def drawn(key: str | Column, frac: float, seed: int | str) -> Column:
+    """Whether a row is in a sample that is right in size on average."""
+    return F.substring(sample_hash(key, seed), 1, 8) < format(int(frac * 2**32), "08x")
+
+
 def check_fraction(frac: float) -> None:
     if not 0 < frac <= 1:
         raise ValueError(f"sample fraction must be between 0 and 1, got {frac}")
@@ -111,10 +121,9 @@ def sample_fraction(
     check_fraction(frac)
     if frac == 1:
         return df
-    h = order_hash(key, f"{seed}|sample")
     if not exact:
-        limit = format(int(frac * 2**32), "08x")
-        return df.filter(F.substring(h, 1, 8) < limit)
+        return df.filter(drawn(key, frac, seed))
+    h = sample_hash(key, seed)
     hashed = df.select(F.lit(0).alias("class"), h.alias("h"))
     counts = materialize(bucket_counts(hashed), "sample-counts")
     target = materialize(

@@ -26,7 +26,7 @@ from ..operators import scoring as sc
 from ..operators import splits as sp
 from ..operators import training as tr
 from ..operators import validation as vl
-from ..operators.sampling import sample_fraction
+from ..operators.sampling import drawn, sample_fraction
 from ..plans import train as plans
 from ..plans.prepare import prepare_reviews
 from ..session import materialize, scratch_path
@@ -296,12 +296,11 @@ def f5(spark, sf):
 def f6(spark, sf):
     df = reviews(spark, sf)
     full = F.col("Score").isNotNull() & F.col("Text").isNotNull()
-    sampled = F.substring(F.md5(F.concat_ws("|", "review_id", F.lit("42"))), 1, 1) < "8"
     return rw.stage_counts(
         df,
         [
             ("dropna", full),
-            ("sample", sampled),
+            ("sample", drawn("review_id", 0.5, SEED)),
             ("neutral", F.col("Score") != 3),
             ("clean", ~tx.is_blank(tx.remove_non_alpha("Text"))),
         ],
