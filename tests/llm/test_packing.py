@@ -41,26 +41,57 @@ def gapless(parts):
     return at
 
 
-def test_level_is_the_one_of_least_square_sum():
+def test_place_is_the_one_of_least_square_sum():
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        packer = SquareSumPacker(0, window=12)
-        packer.counts[1:12] = rng.integers(0, 4, 11)
-        size = int(rng.integers(1, 12))
-
-        def squares(level, counts=packer.counts, size=size):
-            after = counts.copy()
-            after[0] = 0
-            if level:
+    for _ in range(500):
+        packer = SquareSumPacker(0, window=24, levels=12)
+        for fill in rng.integers(1, 24, rng.integers(0, 12)).tolist():
+            packer.windows[fill // 2].append((fill, []))
+            packer.counts[fill // 2] += 1
+        size = int(rng.integers(1, 24))
+
+        def squares(level, packer=packer, size=size):
+            after = list(packer.counts)
+            if level is not None:
                 after[level] -= 1
-            if level + size < 12:
-                after[level + size] += 1
-            return int((after[1:12] ** 2).sum())
-
-        levels = [0] + [h for h in range(1, 13 - size) if packer.counts[h]]
-        chosen = packer.level_for(size)
-        assert chosen in levels
-        assert squares(chosen) == min(map(squares, levels))
+            fill = size + (packer.windows[level][-1][0] if level is not None else 0)
+            if fill != 24:
+                after[fill % 24 // 2] += 1
+            return sum(n * n for n in after)
+
+        held = [h for h in range(12) if packer.counts[h]]
+        whole = [None] + [h for h in held if packer.windows[h][-1][0] + size <= 24]
+        cut = [h for h in held if h not in whole]
+        before = sum(n * n for n in packer.counts)
+        chosen = packer.place(size)
+        least = min(map(squares, whole))
+        if least > before + 1 and cut and min(map(squares, cut)) <= before:
+            assert chosen in cut and squares(chosen) == min(map(squares, cut))
+        else:
+            assert chosen in whole and squares(chosen) == least
+
+
+def test_small_partitions_are_packed_by_the_rule():
+    rng = np.random.default_rng(7)
+    packer, by_rule = SquareSumPacker(0), set()
+    for key in range(250):
+        n = int(rng.integers(20, 900))
+        by_rule |= {w for _, w, _ in packer.add((key, n, 0, ids(n, 0)))}
+    at_end = {w for rows in packer.finish() for _, w, _ in rows}
+    assert len(by_rule) > 2 * len(at_end)
+
+
+def test_ids_of_pieces_are_the_librarys(spark, odd):
+    rows = pack_documents(odd, public_path(), with_ids=True).collect()
+    plain = encoder(public_path()).tokenizer
+    for doc in odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+        want = np.array(
+            plain.encode(doc["text"] or "", add_special_tokens=False).ids + [1], "<u4"
+        ).tobytes()
+        own = sorted((r for r in rows if r["doc_id"] == doc["doc_id"]), key=lambda r: r["start"])
+        for r in own:
+            assert r["ids"] == want[4 * r["start"] :][: 4 * r["length"]]
+        assert {r["doc_tokens"] for r in own} == {len(want) // 4}
 
 
 def test_documents_and_odd_rows(spark, odd):

@@ -13,6 +13,9 @@ from .common import id_and_text, text_batches
 from .tokens import END_ID, encoder
 
 WINDOW = 2048
+# Fill levels of a window, and the most windows that a partition holds open
+LEVELS = 32
+MAX_OPEN = 4096
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
     " sequence_id long, offset long"
@@ -23,60 +26,83 @@ _BATCH_CHARS = 1 << 20
 class SquareSumPacker:
     """Online packing of one partition's documents.
 
-    ``counts[h]`` is the number of windows filled up to level ``h`` and not full. A
-    document of ``s`` tokens goes where the sum of the squared counts then is
-    least: into a new window (level s gains one) or into one at level h (h loses
-    one, h + s gains one; a full window leaves the counts). Ties go to the
-    fullest level. Documents longer than a window fill whole windows first.
+    Fill levels are ``step`` tokens wide. ``counts[h]`` is the number of windows open at
+    level ``h``. A document goes where the sum of the squared counts then is least:
+    into a new window (its level gains one) or into one of level h (h loses one, the
+    level reached gains one; a full window leaves the counts). Ties go to the fullest
+    level. Where it would need another window at a level that has some, it is cut at the
+    end of an open one, if that doesn't raise the sum: this window leaves the counts and the rest,
+    which counts like a new window, is placed as a document of its own. Documents longer
+    than a window fill whole windows first.
 
     When the partition ends, or more than ``max_open`` windows are open, these are
     laid end to end and cut anew, and what is left over at last is cut at powers
     of two, so that only whole and power-of-two windows exist. So no more than
-    ``max_open`` windows of ids are held.
+    ``max_open`` windows of ids are held; by the rule a few dozen are open.
 
     A piece is ``(doc_id, doc_tokens, start, ids)``, ids as 4 bytes each.
     """
 
-    def __init__(self, partition: int, window: int = WINDOW, max_open: int = 4096):
+    def __init__(
+        self, partition: int, window: int = WINDOW, max_open: int = MAX_OPEN, levels: int = LEVELS
+    ):
         self.window = window
         self.max_open = max_open
+        self.step = -(-window // levels)
         self.next_id = partition << 40
-        self.counts = np.zeros(window + 1, np.int64)
-        self.windows: list[list[list]] = [[] for _ in range(window)]
+        self.counts = [0] * (window // self.step + 1)
+        # (fill, pieces) of the open windows by level
+        self.windows: list[list[tuple[int, list]]] = [[] for _ in self.counts]
         self.open = 0
 
-    def level_for(self, size: int) -> int:
-        """Level of the window that takes ``size`` tokens; 0 is a new one."""
-        counts, top = self.counts, self.window - size
-        if top < 1:
-            return 0
-        have = counts[1 : top + 1]
-        change = 2 - 2 * have + 2 * counts[size + 1 : self.window + 1]
-        change[-1] = 1 - 2 * have[-1]  # a full window leaves the counts
-        change[have == 0] = np.iinfo(np.int64).max
-        best = top - int(np.argmin(change[::-1]))
-        return best if change[best - 1] <= 2 * counts[size] + 1 else 0
+    def place(self, size: int) -> int | None:
+        """Level of the window that takes ``size`` tokens, or their first; None is a new one."""
+        counts, step, window = self.counts, self.step, self.window
+        best, least = None, 2 * counts[size // step] + 1
+        cut, cut_least = None, 1
+        for level in range(len(counts) - 1, -1, -1):
+            have = counts[level]
+            if not have:
+                continue
+            fill = self.windows[level][-1][0] + size
+            after = fill % window // step
+            if fill == window:
+                change = 1 - 2 * have
+            elif after == level:
+                change = 0
+            else:
+                change = 2 - 2 * have + 2 * counts[after]
+            if fill <= window:
+                if change < least:
+                    best, least = level, change
+            elif change < cut_least:
+                cut, cut_least = level, change
+        return cut if least > 1 and cut is not None else best
 
     def add(self, piece: tuple) -> list[tuple]:
         """Rows ``(piece, sequence, offset)`` of the windows that this piece fills."""
         key, total, start, data = piece
-        step, out = 4 * self.window, []
-        while len(data) >= step:
-            out += self._close([(key, total, start, data[:step])])
-            start, data = start + self.window, data[step:]
-        if not data:
-            return out
-        size = len(data) // 4
-        level = self.level_for(size)
-        pieces = self.windows[level].pop() if level else []
-        pieces.append((key, total, start, data))
-        self.counts[level] -= level > 0
-        self.open -= level > 0
-        if level + size == self.window:
-            return out + self._close(pieces)
-        self.counts[level + size] += 1
-        self.windows[level + size].append(pieces)
-        self.open += 1
+        width, out = 4 * self.window, []
+        while len(data) >= width:
+            out += self._close([(key, total, start, data[:width])])
+            start, data = start + self.window, data[width:]
+        while data:
+            level = self.place(len(data) // 4)
+            fill, pieces = (0, []) if level is None else self.windows[level].pop()
+            if level is not None:
+                self.counts[level] -= 1
+                self.open -= 1
+            room = self.window - fill
+            part, data = data[: 4 * room], data[4 * room :]
+            pieces.append((key, total, start, part))
+            start += len(part) // 4
+            fill += len(part) // 4
+            if fill == self.window:
+                out += self._close(pieces)
+                continue
+            self.counts[fill // self.step] += 1
+            self.windows[fill // self.step].append((fill, pieces))
+            self.open += 1
         if self.open > self.max_open:
             for rows in self.finish():
                 out += rows
@@ -95,10 +121,10 @@ class SquareSumPacker:
 
     def finish(self) -> Iterator[list[tuple]]:
         """Close the open windows, the fullest first; the rows of each window made."""
-        left = int((self.counts * np.arange(self.window + 1)).sum())
+        left = sum(fill for held in self.windows for fill, _ in held)
         filled, room = [], self._room(left)
-        for level in range(self.window - 1, 0, -1):
-            for pieces in self.windows[level]:
+        for level in range(len(self.windows) - 1, -1, -1):
+            for _, pieces in self.windows[level]:
                 for key, total, start, data in pieces:
                     while data:
                         part = data[: 4 * room]
@@ -109,7 +135,7 @@ class SquareSumPacker:
                             yield self._close(filled)
                             filled, room = [], self._room(left)
             self.windows[level] = []
-        self.counts[:] = 0
+        self.counts = [0] * len(self.counts)
         self.open = 0
 
 
@@ -120,6 +146,8 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    levels: int = LEVELS,
+    max_open: int = MAX_OPEN,
 ) -> DataFrame:
     """Pieces of documents and their places in windows of ``window`` tokens.
 
@@ -137,7 +165,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = SquareSumPacker(TaskContext.get().partitionId(), window)
+        packer = SquareSumPacker(TaskContext.get().partitionId(), window, max_open, levels)
         enc = encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for keys, texts in text_batches(batches, _BATCH_CHARS):

@@ -21,7 +21,8 @@ class WordEncoder:
     This kind of tokenizer splits at white space and drops it, so a text's ids
     are the ids of its pieces between white space, one after the other; nor does
     a token join a letter with the stop after it. Each distinct piece is encoded
-    by the library once and remembered, up to ``CACHE_WORDS``. Plain words need
+    by the library once and remembered, up to ``CACHE_WORDS`` in two generations: when
+    the younger is full the older goes, with the words that weren't met since. Plain words need
     no rules of normalisation but lower case, so they go to the model at once.
     Strings of special tokens in a text are read as the library reads them.
     """
@@ -44,6 +45,7 @@ class WordEncoder:
         for token, key in self.tokenizer.get_vocab().items():
             self.last[key] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         probe = ["ab", "cd", "."]
         if self._ids(["ab cd."])[0] != b"".join(self._ids(probe)) or self._plain(
             probe[:2]
@@ -92,14 +94,14 @@ class WordEncoder:
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text; null has none. Give a bounded batch at a time."""
         pieces = [self._pieces(text) for text in texts]
-        known = self.known
-        every = set().union(*pieces)
-        new = every.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-            new = every
-        self._learn(list(new))
+        new = set().union(*pieces).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS // 2:
+            new = set().union(*pieces)
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        for piece in new & older.keys():
+            known[piece] = older[piece]
+        self._learn([piece for piece in new if piece not in known])
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
 
