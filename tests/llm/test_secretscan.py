@@ -50,3 +50,24 @@ def test_table(spark, odd):
     assert got["access:70001:70021"]["n_access"] == 1
     assert find_secrets(odd.withColumnRenamed("lang", "spans")).count() == 8
     assert find_secrets(df.limit(0)).count() == 0
+
+
+def test_deep_headers_and_long_runs():
+    import base64
+    import time
+
+    deep = base64.urlsafe_b64encode(('{"a":' + "[" * 100_000).encode()).decode().rstrip("=")
+    assert scan(f"{deep}.x.y") == []
+    began = time.time()
+    assert [x for x in scan("eyJ" * 350_000) if x[1] > 2] == []
+    assert time.time() - began < 2
+    # a run that fails hides no token after it
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    token = f"{head}.e30.c2ln"
+    text = f"eyJeyJ eyJa.eyJb {token} EYJ{token}"
+    assert [text[a:b] for a, k, b in scan(text) if KINDS[k] == "jwt"][0] == token
+    assert scan(f"{token}")[0][2] == len(token)
+
+
+def test_no_rows(spark, odd):
+    assert find_secrets(odd.limit(0)).count() == 0
