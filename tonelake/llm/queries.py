@@ -11,6 +11,7 @@ from .jaccard import near_copies
 from .langid import detect_language, held_out, train_language_model
 from .licences import licence_sql, scan_licences
 from .linededup import drop_boilerplate
+from .maxscore import top_k
 from .packing import pack_documents
 from .secretscan import find_secrets
 from .sharding import shard_by_bytes
@@ -100,6 +101,29 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+# Floors as the operator takes them; every row asks or answers on its own, copies too.
+OP11_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other,
+        CAST(coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 # Words as the operator takes them, and every run of as many as some item's window has.
 _WORDS_SQL = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
@@ -157,10 +181,12 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_vectors": op10_vectors,
+    "op11_top_k": op11_top_k,
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op6_licences": licence_sql(),
     "op9_decontamination": OP9_SQL,
+    "op11_top_k": OP11_SQL,
 }
