@@ -15,6 +15,7 @@ from .maxscore import top_k
 from .packing import pack_documents
 from .secretscan import find_secrets
 from .sharding import shard_by_bytes
+from .spelling import spelling_variants, word_counts
 from .tokenfile import token_file_round_trip
 from .tokens import public_path
 from .vectors import near_vectors
@@ -106,6 +107,11 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), damage_every=97)
+    return spelling_variants(words)
+
+
 # Floors as the operator takes them; every row asks or answers on its own, copies too.
 OP11_SQL = """
 WITH v AS (
@@ -182,6 +188,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_vectors": op10_vectors,
     "op11_top_k": op11_top_k,
+    "op13_spelling": op13_spelling,
 }
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
