@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import conversation_report, damage_turns
 from .decontam import find_contamination
 from .jaccard import near_copies
 from .langid import detect_language, held_out, train_language_model
@@ -107,6 +108,11 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    return conversation_report(convs, damage_turns(convs))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_counts(table(spark, sf_dir, "documents"), damage_every=97)
     return spelling_variants(words)
@@ -188,6 +194,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_vectors": op10_vectors,
     "op11_top_k": op11_top_k,
+    "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
 ORACLES = {
