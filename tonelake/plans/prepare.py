@@ -19,6 +19,7 @@ from ..operators.rows import (
 )
 from ..operators.sampling import check_fraction, sample_fraction
 from ..session import materialize, spread
+from ..sources.csvranges import can_split
 from ..sources.reviews import read_reviews
 
 MIN_ROWS = 10
@@ -66,7 +67,7 @@ def prepare_reviews(
         key = "review_id"
         df = df.select(F.monotonically_increasing_id().alias(key), "*")
     if isinstance(source, str):
-        df = spread(df, source, splittable=fmt != "csv" or not multi_line)
+        df = spread(df, source, splittable=fmt != "csv" or not multi_line or can_split(csv_options))
     if stored:
         df = materialize(df, "reviews")
     df = sample_fraction(df, sample_frac, seed, key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..operators.rows import project_review, require_columns
+from .csvranges import can_split, read_csv_ranges
 
 FORMATS = ("csv", "parquet", "json", "orc", "table")
 
@@ -28,9 +29,10 @@ def read_reviews(
     """Score and text of a review table, and the extra columns in ``keep``.
 
     CSV follows the usual reader: header line, doubled quotes, and the usual
-    strings for a missing value. Quoted texts may span lines, which makes Spark
-    read each file in one task: for large single files whose records keep to one
-    line set ``multi_line=False``, so that files are split. A record with more
+    strings for a missing value. Quoted texts may span lines; large files are read in ranges
+    all the same (``csvranges``), unless ``csv_options`` change where records end, which
+    leaves each file to one task. Where records keep to one line ``multi_line=False``
+    saves a pass. A record with more
     fields than the header fails the query; ``csv_options`` (any of Spark's, such as
     ``{"mode": "DROPMALFORMED"}`` or another ``sep``) override what is set here.
     """
@@ -60,6 +62,8 @@ def read_reviews(
             raise FileNotFoundError(f"no review table at {path}") from error
         raise ValueError(f"unreadable review table {path}: {error}") from error
     require_columns(df, [score_col, text_col, *keep])
+    if multi_line and can_split(csv_options):
+        df = read_csv_ranges(spark, path, df.columns, csv_options or {})
 
     def present(name: str):
         return F.when(~F.col(name).isin(*lx.MISSING_STRINGS), F.col(name))
