@@ -697,6 +697,23 @@ ORACLES["p6_stream_rejects"] = (
     f"WHERE {reason('text', 5000)} IS NOT NULL"
 )
 
+ORACLES["p6_stream_batches"] = f"""
+WITH size AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+t AS (
+  SELECT *, conv_id * 60 + turn * 5 AS ts, conv_id % 5 = 2 AND turn = 1 AS held FROM conversations
+), mark AS (
+  SELECT max(ts) FILTER (NOT held) - (max(n) // 4 + 5) * 60 AS early,
+    max(ts) - (max(n) // 4 + 5) * 60 AS last FROM t, size
+), rows AS (SELECT *, held AND ts < early AS late FROM t, mark),
+v AS (
+  SELECT conv_id, CASE WHEN max(ts) + 120 > max(last) THEN 'open'
+    WHEN count(*) > 6 THEN 'too_many_items'
+    WHEN bool_or({reason('text', 1200)} IS NOT NULL) THEN 'bad_item' ELSE 'scored' END AS status
+  FROM rows WHERE NOT late GROUP BY conv_id
+)
+SELECT conv_id, turn, CASE WHEN late THEN 'late' ELSE status END AS status
+FROM rows LEFT JOIN v USING (conv_id)"""
+
 # --- evaluation -------------------------------------------------------------------
 
 PRED_ROWS = """

@@ -34,6 +34,7 @@ from ..sources import metrics as mt
 from ..sources import models as md
 from ..sources import registry as rg
 from ..sources.reviews import read_reviews
+from ..streaming.batches import open_rows, score_batch_stream
 from ..streaming.score import score_stream
 from .data import noisy, reviews, table, texts
 
@@ -975,6 +976,41 @@ def p6b(spark, sf):
     return spark.read.parquet(f"{out}/rejects").select("doc_id", "reason")
 
 
+def _dealt_talks(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """Turns of conversations in files that a stream reads one after the other.
+
+    Even and odd turns of a conversation lie in different files; some first turns come in the last
+    one. Also the delay in minutes that waits for the others but not for these.
+    """
+    talk = talks(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn") * 5))
+    n = talk.agg(F.max("conv_id")).first()[0] + 1
+    late = (F.col("conv_id") % 5 == 2) & (F.col("turn") == 1)
+    part = F.when(late, 9).otherwise(F.floor(F.col("conv_id") * 4 / n) + F.col("turn") % 2)
+    folder = scratch_path(spark, "requests")
+    stored = materialize(talk.withColumn("part", part), "talks")
+    for i in (0, 1, 2, 3, 4, 9):
+        stored.filter(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/{i}")
+    return folder, n // 4 + 5
+
+
+@query("p6_stream_batches")
+def p6d(spark, sf):
+    folder, delay = _dealt_talks(spark, sf)
+    schema = spark.read.parquet(f"{folder}/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    out = scratch_path(spark, "stream")
+    score_batch_stream(
+        stream, _model(spark, sf), out, f"{out}/checkpoint", "ts", "conv_id", "text",
+        gap="2 minutes", delay=f"{delay} minutes", max_items=6, max_chars=1200,
+    ).awaitTermination()
+    shown = lambda df, status: df.select("conv_id", "turn", status.alias("status"))
+    return (
+        shown(spark.read.parquet(f"{out}/scored"), F.lit("scored"))
+        .unionByName(shown(spark.read.parquet(f"{out}/rejects"), F.col("reason")))
+        .unionByName(shown(open_rows(spark, out), F.lit("open")))
+    )
+
+
 # --- evaluation ---------------------------------------------------------------
 
 
