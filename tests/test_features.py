@@ -102,3 +102,52 @@ def test_rows_that_share_a_key_have_norms_of_their_own(spark):
     rows = ft.tfidf(df, "id", "text").collect()
     assert sum(r["tfidf"] ** 2 for r in rows) == pytest.approx(3)
     assert sum(r["tfidf"] == pytest.approx(1) for r in rows) == 2
+
+
+def test_sketch_leaves_rare_terms_out(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    terms = ft.term_table(docs, "doc_id", "text", (1, 3))
+    plain = {tuple(r) for r in ft.vocabulary(terms, 300).collect()}
+    assert {tuple(r) for r in ft.vocabulary(terms, 300, sketch=True).collect()} == plain
+    every, counted = terms.select("term").distinct().count(), ft.frequent_terms(terms, 300).count()
+    assert counted < every / 20
+    # full cells give bounds that are too high at first, and more candidates, not other terms
+    monkeypatch.setattr(ft, "SKETCH_CELLS", 64)
+    assert {tuple(r) for r in ft.vocabulary(terms, 300, sketch=True).collect()} == plain
+    few = ft.term_table(docs.limit(1), "doc_id", "text")
+    assert {tuple(r) for r in ft.vocabulary(few, 10**4, sketch=True).collect()} == {
+        tuple(r) for r in ft.vocabulary(few, 10**4).collect()
+    }
+
+
+def test_numbered_and_large_vocabulary(spark, sf, monkeypatch):
+    terms = ft.term_table(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    plain = {tuple(r) for r in ft.vocabulary(terms, 700).collect()}
+    monkeypatch.setattr(ft, "SORTED_TERMS", 10)
+    assert {tuple(r) for r in ft.vocabulary(terms, 700).collect()} == plain
+    places = ft.numbered(spark.range(1000).repartition(7), [F.desc("id")], "place").collect()
+    assert all(r["place"] == 999 - r["id"] for r in places)
+    assert ft.numbered(spark.range(0), ["id"], "place").count() == 0
+
+
+def test_vectorize_as_the_fitted_stages(spark, docs):
+    vocab = ft.fit_vocabulary(docs, "text", 8, (1, 2))
+    odd = docs.union(spark.createDataFrame([(0, TEXTS[1]), (7, None), (8, "")], docs.schema))
+    got = ft.vectorize(odd, "text", vocab, "features", (1, 2)).collect()
+    model = ft.fit_tfidf(docs, "text", "features", 8, (1, 2))
+    want = ft.transform_tfidf(model, odd.na.fill("")).collect()
+    key = lambda r: (r["id"], r["text"] or "", str(r["features"].indices))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert key(a) == key(b) and a["features"].size == b["features"].size == 8
+        assert a["features"].values.tolist() == pytest.approx(b["features"].values.tolist())
+
+
+def test_training_on_joined_vectors(spark):
+    from tonelake.operators.training import fit_sentiment, predict
+
+    texts = [("great love it", 1), ("dreadful awful thing", 0)] * 8
+    df = spark.createDataFrame(texts, "text string, label int")
+    vocab = ft.fit_vocabulary(df, "text", 10)
+    vectors = ft.vectorize(df, "text", vocab)
+    out = predict(fit_sentiment(vectors, "features"), vectors)
+    assert out.filter("prediction = label").count() == 16

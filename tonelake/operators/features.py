@@ -7,22 +7,29 @@ a fit is by term, after partial aggregation.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .skew import lookup_join
 
 DEFAULT_MAX_FEATURES = 5000
+# Terms that one task sorts; larger vocabularies are sorted by range
+SORTED_TERMS = 100_000
+# The frequency sketch: cells of a line, and lines
+SKETCH_CELLS = 1 << 20
+SKETCH_LINES = 2
 
 
 def check_max_features(max_features: int) -> None:
@@ -45,16 +52,81 @@ def doc_freq(terms: DataFrame) -> DataFrame:
     )
 
 
+def _sketch(terms: DataFrame) -> DataFrame:
+    """``(line, cell, n)``: occurrences by cell of a term's hash, in ``SKETCH_LINES`` lines.
+
+    A cell's count is an upper bound for each of its terms. A task sends a row for a
+    cell it has met, so ``SKETCH_LINES * SKETCH_CELLS`` at most, whatever the number of terms.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("line"), _cell(i).alias("cell")) for i in range(SKETCH_LINES)])
+    return terms.select("tf", F.inline(cells)).groupBy("line", "cell").agg(F.sum("tf").alias("n"))
+
+
+def _cell(line: int) -> Column:
+    return F.pmod(F.xxhash64("term", F.lit(line)), F.lit(SKETCH_CELLS)).cast("int")
+
+
+def frequent_terms(terms: DataFrame, max_features: int) -> DataFrame:
+    """``(term, total_tf, doc_freq)`` of terms that can be among the ``max_features`` most used.
+
+    The others are known by the sketch alone, so they are neither shuffled nor
+    counted one by one. Half of the count of the ``max_features``-th cell is tried as a bound; as soon as
+    so many exact counts reach the bound, no term left out can. Else it is lowered.
+    """
+    sketch = materialize(_sketch(terms), "term-sketch")
+    first = sketch.filter("line = 0").orderBy(F.desc("n")).limit(max_features)
+    held, least = first.agg(F.count(F.lit(1)), F.min("n")).first()
+    bound = max(1, least // 2) if held == max_features else 1
+    while True:
+        able = terms
+        if bound > 1:
+            for i in range(SKETCH_LINES):
+                # at most SKETCH_CELLS rows
+                high = sketch.filter((F.col("line") == i) & (F.col("n") >= bound)).select("cell")
+                able = able.withColumn("cell", _cell(i)).join(F.broadcast(high), "cell", "left_semi").drop("cell")
+        counted = materialize(doc_freq(able), "frequent-terms")
+        if bound == 1 or counted.filter(F.col("total_tf") >= bound).limit(max_features).count() == max_features:
+            return counted
+        bound = max(1, bound // 4)
+
+
+def numbered(df: DataFrame, by: Sequence[str | Column], name: str) -> DataFrame:
+    """Rows with their place in the order ``by`` as ``name``, from 0; stored.
+
+    Sorted by range, so no task sees all rows: a row's place is that within its range after the
+    sizes of the ranges before.
+    """
+    place = F.monotonically_increasing_id().alias("__place")
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", place)
+    ordered = materialize(ordered, "ordered")
+    part = F.shiftright("__place", 33)
+    sizes = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
+    # a row for each range
+    starts = sizes.select("__part", before.alias("__start"))
+    within = F.col("__place").bitwiseAND((1 << 33) - 1)
+    return ordered.withColumn("__part", part).join(F.broadcast(starts), "__part").select(
+        *df.columns, (F.col("__start") + within).alias(name)
+    )
+
+
 def vocabulary(
-    terms: DataFrame, max_features: int = DEFAULT_MAX_FEATURES
+    terms: DataFrame, max_features: int = DEFAULT_MAX_FEATURES, sketch: bool = False
 ) -> DataFrame:
     """The most used terms, indexed in alphabetical order.
 
-    Terms used equally often at the cut are taken in alphabetical order.
+    Terms used equally often at the cut are taken in alphabetical order. With ``sketch`` only terms
+    that can reach the cut are shuffled, for one more pass over ``terms``: worth it where most are rare, as
+    n-grams are. More than ``SORTED_TERMS`` are cut and indexed by range sorts, in many tasks.
     """
     check_max_features(max_features)
-    top = doc_freq(terms).orderBy(F.desc("total_tf"), "term").limit(max_features)
-    # at most max_features rows are left for this one-task window
+    counted = frequent_terms(terms, max_features) if sketch else doc_freq(terms)
+    if max_features > SORTED_TERMS:
+        top = numbered(counted, [F.desc("total_tf"), "term"], "place").filter(F.col("place") < max_features)
+        top = numbered(top.drop("place"), ["term"], "term_index")
+        return top.select("term", F.col("term_index").cast("int").alias("term_index"), "total_tf", "doc_freq")
+    top = counted.orderBy(F.desc("total_tf"), "term").limit(max_features)
+    # at most SORTED_TERMS rows are left for this one-task window
     index = F.row_number().over(Window.orderBy("term")) - 1
     return top.select("term", index.alias("term_index"), "total_tf", "doc_freq")
 
@@ -93,7 +165,42 @@ def fit_vocabulary(
     """The stored vocabulary of a corpus with its idf."""
     counted = df.select(F.lit(0).alias("key"), text_col)
     terms = term_table(counted, "key", text_col, ngram_range)
-    return materialize(with_idf(vocabulary(terms, max_features), df), "vocabulary")
+    sketch = ngram_range[1] > 1 and max_features <= SKETCH_CELLS // 8
+    return materialize(with_idf(vocabulary(terms, max_features, sketch), df), "vocabulary")
+
+
+def vectorize(
+    df: DataFrame,
+    text_col: str,
+    vocab: DataFrame,
+    output_col: str = "features",
+    ngram_range: tuple[int, int] = (1, 1),
+) -> DataFrame:
+    """``df`` with sparse TF-IDF vectors over a stored vocabulary of any size; stored.
+
+    The vocabulary is joined (by shuffle, salted, where it is large) and never held by the driver or
+    a model. Every row is a document of its own; one without known terms has an empty vector.
+    """
+    size = vocab.agg(F.coalesce(F.max("term_index") + 1, F.lit(0))).first()[0]
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    counts = tx.term_counts(tx.ngrams(tx.analyze(F.coalesce(F.col(text_col), F.lit(""))), ngram_range))
+    weights = weigh(rows.select("__row", F.inline(counts)), vocab, "__row")
+    cells = F.sort_array(F.collect_list(F.struct("term_index", "tfidf")))
+    held = weights.groupBy("__row").agg(cells.alias("__cells"))
+    joined = rows.join(held, "__row", "left").select(
+        *df.columns,
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(int(size)).alias("size"),
+            F.coalesce(F.col("__cells.term_index"), F.array().cast("array<int>")).alias("indices"),
+            F.coalesce(F.col("__cells.tfidf"), F.array().cast("array<double>")).alias("values"),
+        ).alias(output_col),
+    )
+    # a sparse vector is stored as just this record, and read back as a vector
+    path = scratch_path(df.sparkSession, "vectors")
+    joined.write.parquet(path)
+    schema = StructType([*df.schema.fields, StructField(output_col, VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def tfidf(
@@ -141,16 +248,18 @@ def fit_tfidf(
 ) -> PipelineModel:
     """Fit the vectorizer: one pass over the text, one shuffle by term.
 
-    Rows are counted apart, which is free on a stored table. What reaches the driver is the vocabulary, ``max_features`` rows at most;
-    it is part of the model.
+    N-grams take one more pass and shuffle only those that can reach the vocabulary. Rows are counted apart,
+    which is free on a stored table. What reaches the driver is the vocabulary, ``max_features`` rows
+    at most; it is part of the model. ``vectorize`` does without that.
     """
     check_max_features(max_features)
     low, high = tx.check_ngram_range(ngram_range)
     terms = df.select(
         F.inline(tx.term_counts(tx.ngrams(tx.analyze(text_col), ngram_range)))
     )
-    top = doc_freq(terms).orderBy(F.desc("total_tf"), "term").limit(max_features)
-    rows = top.collect()
+    sketch = high > 1 and max_features <= SKETCH_CELLS // 8
+    counted = frequent_terms(terms, max_features) if sketch else doc_freq(terms)
+    rows = counted.orderBy(F.desc("total_tf"), "term").limit(max_features).collect()
     n_docs = df.count()
     if not n_docs:
         raise ValueError("no texts to learn terms from")

@@ -574,6 +574,35 @@ words AS (
 )
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
   total_tf, doc_freq FROM corpus"""
+
+
+def grams(table: str, key: str, high: int) -> str:
+    """Table ``grams``: every run of up to ``high`` terms of each row."""
+    return f"""
+w AS (SELECT {key}, {TERMS} AS t FROM {table}),
+grams AS (
+  SELECT {key}, unnest(flatten(list_transform(range(1, {high + 1}), lambda n:
+    list_transform(range(1, greatest(len(t) - n + 2, 1)),
+      lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS term FROM w
+)"""
+
+
+def most_used(high: int, limit: int) -> str:
+    return with_(
+        grams("documents", "doc_id", high),
+        f"""
+corpus AS (
+  SELECT term, count(*) AS total_tf, count(DISTINCT doc_id) AS doc_freq
+  FROM grams GROUP BY term ORDER BY total_tf DESC, term LIMIT {limit}
+)""",
+        then="""
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
+  total_tf, doc_freq FROM corpus""",
+    )
+
+
+ORACLES["x5_vocabulary_sketch"] = most_used(3, 5000)
+ORACLES["x5_vocabulary_large"] = most_used(2, 150_000)
 ORACLES["x6_idf"] = with_(
     DOC_TERMS, CORPUS, VOCAB,
     then="SELECT term, term_index, round(idf, 6) AS idf FROM vocab",
@@ -589,6 +618,15 @@ ORACLES["x8_transform_vectors"] = with_(
     DOC_TERMS, CORPUS, VOCAB, ITEM_TERMS, weights("item_tf", "item_id"),
     then=f"SELECT item_id, term, term_index, tfidf FROM ({weighed('item_id')})",
 )
+ORACLES["x8_vectorize"] = with_(
+    grams("documents", "doc_id", 2),
+    "tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL)",
+    CORPUS, VOCAB,
+    grams("benchmark", "item_id", 2).replace("w AS (", "v AS (").replace("FROM w", "FROM v").replace("grams AS", "item_grams AS"),
+    "item_tf AS (SELECT item_id, term, count(*) AS tf FROM item_grams GROUP BY ALL)",
+    weights("item_tf", "item_id"),
+    then=f"SELECT item_id, term_index, tfidf FROM ({weighed('item_id')})",
+)
 ORACLES["x9_feature_names"] = with_(
     DOC_TERMS, CORPUS, VOCAB, then="SELECT term_index, term FROM vocab"
 )

@@ -590,6 +590,20 @@ def x5(spark, sf):
     )
 
 
+@query("x5_vocabulary_sketch")
+def x5b(spark, sf):
+    """Of one to three words, rare ones left to the sketch."""
+    return ft.vocabulary(
+        ft.term_table(read(spark, sf), "doc_id", "text", (1, 3)), TERMS, sketch=True
+    )
+
+
+@query("x5_vocabulary_large")
+def x5c(spark, sf):
+    """More terms than one task sorts, cut and indexed by range."""
+    return ft.vocabulary(ft.term_table(read(spark, sf), "doc_id", "text", (1, 2)), 150_000)
+
+
 @query("x6_idf")
 def x6(spark, sf):
     d = read(spark, sf)
@@ -631,6 +645,17 @@ def x8b(spark, sf):
     )
 
 
+@query("x8_vectorize")
+def x8c(spark, sf):
+    """Sparse vectors over a joined vocabulary, read back as rows."""
+    vocab = ft.fit_vocabulary(read(spark, sf), "text", TERMS, (1, 2))
+    out = ft.vectorize(table(spark, sf, "benchmark"), "text", vocab, ngram_range=(1, 2))
+    cell = F.arrays_zip(F.unwrap_udt("features")["indices"], F.unwrap_udt("features")["values"])
+    return out.select("item_id", F.inline(cell)).select(
+        "item_id", F.col("indices").alias("term_index"), six("values").alias("tfidf")
+    )
+
+
 @query("x9_feature_names")
 def x9(spark, sf):
     model = ft.fit_tfidf(read(spark, sf), "text", "features", TERMS)
