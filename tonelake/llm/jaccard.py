@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import batch_words, maybe_in, shingle_set, text_batches
+from .common import batch_words, hot_join, maybe_in, shingle_set, text_batches
 from .graph import components
 
 WORDS = 5
@@ -26,8 +26,11 @@ CHOSEN = 2.5
 BUCKET = 64
 BLOCK = 256
 MAX_DEPTH = 8
-# A bucket whose members share so much of their samples on average isn't split any more.
+# A bucket whose members share so much of their samples on average isn't split any more;
+# so many hashes tell it. Dense buckets are put together by so many draws of two members.
 DENSE = 0.5
+MARKS = 3
+DRAWS = 8
 
 
 def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
@@ -101,35 +104,23 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
 
     Every step puts the members of a bucket into the buckets of their chosen tokens.
     Buckets of one are dropped, and of buckets with the same members one is kept.
-    Large ones are split again, unless they are dense or ``MAX_DEPTH`` is reached;
-    then they are compared in blocks, so no pair is lost by it.
+    Large ones are split again, unless ``MAX_DEPTH`` is reached or they are dense, which is told
+    before their members go on; then they are compared in blocks, so no pair is lost by it.
+    The many dense buckets that one group of near copies falls into are put together first.
     """
     sets = classes.filter("n > 0").select("sid", "sample")
     starts = F.flatten(F.transform(F.array(*[F.lit(r) for r in range(runs)]), lambda r: _chosen(r, F.col("sample"))))
-    members = sets.select(
-        "sid", F.lit(None).cast("long").alias("parent"), F.explode(F.array_distinct(starts)).alias("path")
-    )
+    members = sets.select("sid", F.explode(F.array_distinct(starts)).alias("path"))
     done: list[DataFrame] = []
-    parents = None
+    dense: list[DataFrame] = []
     for depth in range(MAX_DEPTH + 1):
         members = materialize(members, "members")
         counted = members.groupBy("path").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.bit_xor(F.xxhash64("sid")).alias("names"),
-            F.min("parent").alias("parent"),
+            F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("sid")).alias("names")
         )
-        if parents is None:
-            sizes = materialize(counted.filter("size > 1"), "bucket-sizes")
-        else:
-            counted = materialize(counted, "bucket-sizes")
-            dense = materialize(_dense(counted, parents), "dense-buckets")
-            done.append(parents.join(dense, "path", "left_semi"))
-            sizes = counted.filter("size > 1").join(
-                dense.select(F.col("path").alias("parent")), "parent", "left_anti"
-            )
-        kept = sizes.groupBy("size", "names").agg(F.min("path").alias("path")).select("path", "size")
-        kept = materialize(kept, "kept-buckets")
-        rows = maybe_in(members.select("path", "sid"), kept, "path")
+        kept = counted.filter("size > 1").groupBy("size", "names").agg(F.min("path").alias("path"))
+        kept = materialize(kept.select("path", "size"), "kept-buckets")
+        rows = maybe_in(members, kept, "path")
         held = materialize(rows.join(_grows(kept), "path"), "buckets")
         if depth == MAX_DEPTH:
             done.append(held)
@@ -144,30 +135,57 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
         sets = materialize(
             maybe_in(sets.select("sid", "sample"), whose, "sid").join(_grows(whose), "sid"), "live-sets"
         )
+        going = sets.select("sid", "sample", F.explode("parents").alias("path"))
+        crowded = materialize(_dense(going), "dense-buckets")
+        dense.append(parents.join(crowded, "path", "left_semi").select("path", "sid"))
         members = (
-            sets.select("sid", "sample", F.explode("parents").alias("parent"))
-            .select("sid", "parent", F.explode(F.array_distinct(_chosen(F.col("parent"), F.col("sample")))).alias("path"))
+            going.join(crowded, "path", "left_anti")
+            .select("sid", F.explode(F.array_distinct(_chosen(F.col("path"), F.col("sample")))).alias("path"))
         )
-    out = done[0].select("path", "sid", "size")
-    for part in done[1:]:
-        out = out.unionByName(part.select("path", "sid", "size"))
+    out = _union([part.select("path", "sid", "size") for part in done])
+    return out.unionByName(_merged(_union(dense))) if dense else out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def _dense(counted: DataFrame, parents: DataFrame) -> DataFrame:
+def _dense(going: DataFrame) -> DataFrame:
     """Paths of buckets in which two members share ``DENSE`` of their tokens on average.
 
-    The tokens that led on to the next buckets are a random part of all: the sum of their
-    buckets' squared sizes, over members times the sum of sizes.
+    Two sets have the same token of least hash as often as they share one, so
+    squared counts by that token tell it, of a few hashes.
+    """
+    least = lambda j: F.array_min(
+        F.transform("sample", lambda t: F.xxhash64(F.lit(j), F.col("path"), t))
+    )
+    marks = _union([going.select("path", least(j).alias("mark")) for j in range(MARKS)])
+    counts = marks.groupBy("path", "mark").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows"))
+    return shares.filter(F.col("pairs") * MARKS >= DENSE * F.col("rows") * F.col("rows")).select("path")
+
+
+def _merged(dense: DataFrame) -> DataFrame:
+    """Dense buckets of one group as one bucket that holds the members of all.
+
+    Those that agree in two members of least hash, in any of some draws, have most
+    of their members in common. Buckets of a group that miss each other are compared
+    each on its own, so that what is put together costs less and decides nothing.
     """
-    sizes = parents.groupBy("path").agg(F.first("size").alias("members"))
-    return (
-        counted.groupBy(F.col("parent").alias("path"))
-        .agg(F.sum(F.col("size") * F.col("size")).alias("pairs"), F.sum("size").alias("rows"))
-        .join(sizes, "path")
-        .filter(F.col("pairs") >= DENSE * F.col("members") * F.col("rows"))
-        .select("path")
+    dense = materialize(dense, "dense-members")
+    least = lambda j: F.min(F.xxhash64("sid", F.lit(j)))
+    names = dense.groupBy("path").agg(
+        F.array(*[F.xxhash64(F.lit(j), least(2 * j), least(2 * j + 1)) for j in range(DRAWS)]).alias("names")
     )
+    links = names.select(F.col("path").alias("a"), F.explode("names").alias("b"))
+    roots = components(links).withColumnRenamed("node", "path")
+    together = dense.join(_grows(roots), "path").select(F.col("root").alias("path"), "sid").distinct()
+    together = materialize(together, "dense-groups")
+    sizes = together.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return hot_join(together, materialize(sizes, "dense-sizes"), ["path"], ["sid"]).select("path", "sid", "size")
 
 
 # --- comparing a bucket -------------------------------------------------------
@@ -406,8 +424,9 @@ def near_copies(
         .withColumn("root", F.coalesce("root", "sid"))
     )
     named = materialize(named, "named-classes")
-    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
-    named = named.join(firsts, "root").select(
+    # a class of very many members is shared out
+    firsts = materialize(named.groupBy("root").agg(F.min("least").alias("first")), "class-firsts")
+    named = hot_join(named, firsts, ["root"], ["sid"]).select(
         "sid", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
     alone = F.col("n") == 0
@@ -425,9 +444,10 @@ def keep_one_of_each(
 ) -> DataFrame:
     """One document of each class of ``near_copies``, with all its columns.
 
-    Of rows alike in id and text any one stays.
+    Of rows alike in id and text the one whose other columns are least stays.
     """
     kept = near_copies(docs, similarity, id_col=id_col, text_col=text_col).filter("kept")
     keys = kept.select(F.col("row_key").alias("__row")).distinct()
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    return keyed.join(keys, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    least = F.min(F.struct(*docs.columns)).alias("__least")
+    return keyed.join(keys, "__row", "left_semi").groupBy("__row").agg(least).select("__least.*")
