@@ -95,6 +95,19 @@ IRREGULAR_LEMMAS = {
     "movies": "movie", "cookies": "cookie", "calories": "calorie",
 }
 
+# --- fixed values: endings taken off to find a lemma, by word class, in this order ---
+DETACHMENTS = {
+    "n": (
+        ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
+        ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+    ),
+    "v": (
+        ("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""),
+        ("ing", "e"), ("ing", ""),
+    ),
+    "a": (("er", ""), ("est", ""), ("er", "e"), ("est", "e")),
+}
+
 # --- fixed values: named character references ----------------------------
 NAMED_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),

@@ -360,6 +360,49 @@ tokens AS (
   FROM tokens LEFT JOIN lexicon ON tokens.word = lexicon.word GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(out, '') AS out FROM done d LEFT JOIN found USING (doc_id)"""
+_RULES = ", ".join(
+    f"('{c}', '{i:02d}', '{old}', '{new}')"
+    for i, (c, old, new) in enumerate((c, *r) for c, rules in lx.DETACHMENTS.items() for r in rules)
+)
+BY_LENGTH = "substr('nvar', CAST(length({0}) % 4 + 1 AS INTEGER), 1)"
+ORACLES["t14_lemmatize_detachment"] = f"""
+WITH RECURSIVE bench AS (
+  SELECT DISTINCT unnest(regexp_extract_all(
+    regexp_replace(lower(text), {q(rf'[^a-zA-Z<>{WS}]')}, '', 'g'), '[a-z]+')) AS word
+  FROM benchmark
+), rules(word_class, i, old, new) AS (VALUES {_RULES}),
+listed AS (
+  SELECT word, {BY_LENGTH.format("word")} AS word_class, left(word, 3) AS lemma FROM bench
+  WHERE starts_with(word, 'th')
+), lemmas AS (
+  SELECT lemma, {BY_LENGTH.format("lemma")} AS word_class FROM (
+    SELECT word AS lemma FROM bench
+    UNION SELECT regexp_replace(word, '(ing|ed|es|s|er|est)$', '') FROM bench)
+  UNION SELECT lemma, word_class FROM listed
+), {chain("documents", "doc_id", "lower(text)", LETTERS + token_steps())},
+tokens AS (
+  SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM done
+), words AS (
+  SELECT w.word, CASE WHEN b.word IS NULL THEN 'n' ELSE {BY_LENGTH.format("w.word")} END AS word_class
+  FROM (SELECT DISTINCT word FROM tokens) w LEFT JOIN bench b USING (word)
+), tagged AS (
+  SELECT w.*, l.lemma AS listed FROM words w LEFT JOIN listed l USING (word, word_class)
+), forms AS (
+  SELECT word, word_class, 1 AS level, word AS form, '' AS ord, listed IS NULL AS open FROM tagged
+  UNION ALL SELECT word, word_class, 1, listed, '0', false FROM tagged WHERE listed IS NOT NULL
+  UNION ALL
+  SELECT f.word, f.word_class, CASE WHEN f.ord = '' THEN 1 ELSE f.level + 1 END,
+    left(f.form, length(f.form) - length(r.old)) || r.new, f.ord || r.i, true
+  FROM forms f JOIN rules r ON r.word_class = f.word_class AND ends_with(f.form, r.old)
+  WHERE f.open
+), best AS (
+  SELECT f.word, arg_min(f.form, (f.level, length(f.form), f.ord)) AS lemma
+  FROM forms f JOIN lemmas l ON l.lemma = f.form AND l.word_class = f.word_class GROUP BY f.word
+), found AS (
+  SELECT doc_id, string_agg(coalesce(lemma, tokens.word), ' ' ORDER BY pos) AS out
+  FROM tokens LEFT JOIN best ON tokens.word = best.word GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(out, '') AS out FROM done d LEFT JOIN found USING (doc_id)"""
 text_oracle(
     "t16_join_tokens", "documents", "doc_id", "text", [sub(r"[ \n]", " ")]
 )

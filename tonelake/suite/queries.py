@@ -20,6 +20,7 @@ from ..functions.text import cleaner
 from ..operators import cleaning as cl
 from ..operators import evaluation as ev
 from ..operators import features as ft
+from ..operators import lemmas as lm
 from ..operators import profiling as pr
 from ..operators import rows as rw
 from ..operators import scoring as sc
@@ -428,6 +429,25 @@ def t14b(spark, sf):
     )
 
 
+@query("t14_lemmatize_detachment")
+def t14c(spark, sf):
+    """Lexicon: words of ``benchmark``, cut at an ending, in a class by their length; and so are the tags."""
+    tokens = tx.tokenize(tx.remove_non_alpha(F.lower("text")))
+    by_length = lambda c: F.element_at(F.array(*map(F.lit, "nvar")), (F.length(c) % 4 + 1).cast("int"))
+    words = table(spark, sf, "benchmark").select(F.explode(tokens).alias("word")).distinct()
+    stems = F.regexp_replace("word", "(ing|ed|es|s|er|est)$", "")
+    lexicon = words.select(F.explode(F.array("word", stems)).alias("lemma"))
+    lexicon = lexicon.withColumn("word_class", by_length("lemma"))
+    classes = words.withColumn("word_class", by_length("word"))
+    exceptions = words.filter(F.col("word").startswith("th")).select(
+        "word", by_length("word").alias("word_class"), F.left("word", F.lit(3)).alias("lemma")
+    )
+    lexicon = lexicon.unionByName(exceptions.select("lemma", "word_class"))
+    df = read(spark, sf).select("doc_id", tokens.alias("tokens"))
+    out = lm.lemmatize_by_class(df, "tokens", lexicon, classes, exceptions)
+    return out.select("doc_id", tx.join_tokens("tokens").alias("out"))
+
+
 text_query(
     "t15_filter_short", "documents", "doc_id",
     lambda: tx.join_tokens(tx.filter_short(tx.mark_negation(tx.tokenize(letters())))),
