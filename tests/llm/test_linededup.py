@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from corpus_pipeline import line_dedup
@@ -74,3 +75,14 @@ def test_short_lines_and_scripts_without_spaces_in_the_pipeline(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup(spark, docs, "").collect()}
     assert got.pop(0) == rows[0][1]
     assert all(text == f"\n\t\nown words of {i}" for i, text in got.items()) and len(got) == 59
+
+
+def test_a_long_text_with_very_many_lines_to_drop(spark):
+    shared = [f"shared {i}" for i in range(20_000)]
+    rows = [(i, "\n".join(x for n, s in enumerate(shared) for x in (s, f"own {i} {n}")), f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.time()
+    got = {r["doc_id"]: (r["lines_removed"], hash(r["text"])) for r in drop_boilerplate(df, min_sites=3).collect()}
+    assert time.time() - began < 60
+    own = lambda i: "\n".join(f"own {i} {n}" for n in range(20_000))
+    assert got == {0: (0, hash(rows[0][1])), 1: (20_000, hash(own(1))), 2: (20_000, hash(own(2)))}

@@ -53,7 +53,7 @@ def test_every_stage_against_its_own_input(spark, sf):
     assert len(kept) >= 0.98 * len(before)
 
     got = apply("line dedup")
-    want = lines([(r["doc_id"], r["text"], r["source"]) for r in kept], 10, 3)
+    want = lines([(r["doc_id"], r["text"], r["source"]) for r in kept], 10, 1)
     want = {d: t for d, t, n in want if not n or t.strip()}
     assert {r["doc_id"]: r["text"] for r in got} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got)

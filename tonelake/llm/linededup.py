@@ -9,7 +9,9 @@ from ..session import materialize
 from .common import hot_join
 
 MIN_SITES = 10
-MIN_WORDS = 3
+MIN_WORDS = 1
+# Dropped lines of a document are looked up in so many parts
+PARTS = 256
 # Sketches of 2**LG_K registers; their error is 1.04 / sqrt(2**LG_K) in parts of 1.
 LG_K = 10
 BAND = 4 * 1.04 / 2 ** (LG_K / 2)
@@ -28,8 +30,8 @@ def boilerplate_lines(
     Columns ``line_a, line_b`` (the line's hash in 128 bits), ``sites`` (exact near
     the threshold, else the sketch's estimate) and ``keeper`` (the smallest
     document holding the line, as hash of id and text). A line is what lies
-    between line feeds, trimmed of spaces; it counts if it has ``min_words``
-    words or more, parted by white space, and is not blank: with 1, every line that says something,
+    between line feeds, trimmed of spaces; it counts if it is not blank and has ``min_words``
+    words or more, parted by white space: with 1, every line that says something,
     in any script. A null site is no site.
 
     One HyperLogLog sketch a line is built in each task and merged by the
@@ -110,7 +112,8 @@ def drop_boilerplate(
 
     Only hashes of lines are shuffled for the decision. Each document then gets
     the hashes it must drop by a join on its own key, so no line, however common,
-    meets in one task.
+    meets in one task. A text's lines are looked up in ``PARTS`` parts of its hashes, so a long text with
+    many lines to drop takes no square of them.
     """
     spread = boilerplate_lines(docs, min_sites, min_words, site_col, id_col, text_col)
     spread = materialize(spread, "boilerplate")
@@ -120,17 +123,20 @@ def drop_boilerplate(
     hits = hot_join(
         rows, spread.select("line_a", "line_b", "keeper"), ["line_a", "line_b"], ["doc"]
     )
+    part = lambda a: F.pmod(a, F.lit(PARTS)).cast("int")
     drops = (
         hits.filter(F.col("doc") != F.col("keeper"))
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("line_a", "line_b")).alias("__drop"))
-        .withColumnRenamed("doc", "__doc")
+        .groupBy("doc", part(F.col("line_a")).alias("part"))
+        .agg(F.collect_set(F.struct("line_a", "line_b")).alias("lines"))
+        .groupBy(F.col("doc").alias("__doc"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("part", "lines"))).alias("__drop"))
     )
     lines = F.split(text_col, "\n")
 
     def stays(line: Column) -> Column:
         a, b = _hash_of(_trimmed(line))
-        return ~F.array_contains("__drop", F.struct(a.alias("line_a"), b.alias("line_b")))
+        own = F.struct(a.alias("line_a"), b.alias("line_b"))
+        return ~F.coalesce(F.array_contains(F.try_element_at("__drop", part(a)), own), F.lit(False))
 
     kept = F.filter(lines, stays)
     marked = docs.withColumn("__doc", _key(id_col, text_col)).join(drops, "__doc", "left")

@@ -46,7 +46,7 @@ WITH lines AS (
     FROM documents
 ), spread AS (
     SELECT line, min(doc_id) AS keeper FROM lines
-    WHERE len(regexp_split_to_array(line, '\\s+')) >= 3
+    WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]')
     GROUP BY line HAVING count(DISTINCT source) >= 10
 ), split AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
