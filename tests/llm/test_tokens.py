@@ -26,6 +26,7 @@ def test_elias_fano(values, narrow):
     assert coded.values().tolist() == values.tolist()
     for i in range(0, len(values), 37):
         assert coded.select(i) == values[i]
+        assert coded.stretch(i, min(len(values), 3 * i)).tolist() == values[i : 3 * i].tolist()
     with pytest.raises(IndexError):
         coded.select(len(values))
 
@@ -63,5 +64,25 @@ def test_round_trip(spark, odd, file_ids):
         at += len(want)
 
 
+def test_many_empty_texts_of_one_id(spark):
+    rows = [(None, None)] * 900 + [(5, "")] * 900 + [(6, "some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = token_file_round_trip(spark, df, public_path(), with_ids=False, file_docs=70).collect()
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [key for key, _ in rows]
+    assert [r["start"] for r in got] == list(range(1801)) and {r["n_tokens"] for r in got[:-1]} == {1}
+
+
+def test_packing_in_pieces(monkeypatch):
+    from tonelake.llm import eliasfano
+
+    values = np.cumsum(np.random.default_rng(4).integers(0, 9000, 1000))
+    whole = EliasFano.build(values).to_bytes()
+    monkeypatch.setattr(eliasfano, "_PIECE", 64)
+    assert EliasFano.build(values).to_bytes() == whole
+    coded, _ = EliasFano.from_bytes(whole)
+    assert coded.stretch(61, 333).tolist() == values[61:333].tolist()
+
+
 def test_empty_table(spark, odd):
     assert token_file_round_trip(spark, odd.limit(0), public_path()).count() == 0

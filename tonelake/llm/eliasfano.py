@@ -82,26 +82,48 @@ class EliasFano:
         piece = int.from_bytes(self.low[start // 8 : (stop + 7) // 8], "little")
         return (piece >> (start % 8)) & ((1 << self.width) - 1)
 
+    def stretch(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` to ``stop - 1`` by one select: from the stored position before the first on."""
+        if not 0 <= first <= stop <= self.count:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.empty(0, np.int64)
+        mark = first // SAMPLE
+        begin = int(self.marks[mark])
+        after = (stop - 1) // SAMPLE + 1
+        end = int(self.marks[after]) if after < len(self.marks) else 8 * len(self.high)
+        piece = np.frombuffer(self.high, np.uint8, (end + 7) // 8 - begin // 8, begin // 8)
+        ones = np.flatnonzero(np.unpackbits(piece, bitorder="little")) + begin // 8 * 8
+        ones = ones[np.searchsorted(ones, begin) :][first - mark * SAMPLE : stop - mark * SAMPLE]
+        upper = (ones - np.arange(first, stop)).astype(np.uint64) << np.uint64(self.width)
+        total = upper + _unpack(self.low, self.width, first, stop)
+        return (total + np.uint64(self.least % (1 << 64))).astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values in order."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        upper = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.width)
-        total = upper + _unpack(self.low, self.width, self.count)
-        return (total + np.uint64(self.least % (1 << 64))).astype(np.int64)
+        return self.stretch(0, self.count)
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    if not width:
-        return b""
-    shifts = np.arange(width, dtype=np.uint64)
-    bits = ((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+# Values packed at once; a multiple of 8, so that each piece ends with a byte
+_PIECE = 1 << 16
 
 
-def _unpack(data: bytes, width: int, count: int) -> np.ndarray:
-    if not width:
-        return np.zeros(count, np.uint64)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: count * width]
-    return bits.reshape(count, width).astype(np.uint64) @ (
-        np.uint64(1) << np.arange(width, dtype=np.uint64)
-    )
+def _pack(values: np.ndarray, width: int) -> bytes:
+    shifts = np.arange(width, dtype=np.uint64)
+    out = []
+    for at in range(0, len(values) if width else 0, _PIECE):
+        bits = ((values[at : at + _PIECE, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+        out.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def _unpack(data: bytes, width: int, first: int, stop: int) -> np.ndarray:
+    out = np.zeros(stop - first, np.uint64)
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    for at in range(first, stop if width else first, _PIECE):
+        upto = min(stop, at + _PIECE)
+        begin = at * width
+        piece = np.frombuffer(data, np.uint8, (upto * width + 7) // 8 - begin // 8, begin // 8)
+        bits = np.unpackbits(piece, bitorder="little")[begin % 8 :][: (upto - at) * width]
+        out[at - first : upto - first] = bits.reshape(upto - at, width).astype(np.uint64) @ weights
+    return out

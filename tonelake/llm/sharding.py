@@ -35,8 +35,10 @@ def shard_by_bytes(
         F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("text_crc32"),
     )
     order = ["doc_id", "text_crc32", "size"]
+    # rows alike in all of these, however many, can be parted
+    narrow = narrow.withColumn("row", F.monotonically_increasing_id())
     ranges = materialize(
-        narrow.repartitionByRange(*order).withColumn("range", F.spark_partition_id()),
+        narrow.repartitionByRange(*order, "row").withColumn("range", F.spark_partition_id()),
         "shard-ranges",
     )
     totals = ranges.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -48,7 +50,7 @@ def shard_by_bytes(
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(every).alias("all_bytes"),
     )
-    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("range").orderBy(*order, "row").rowsBetween(Window.unboundedPreceding, 0)
     # one row a range, so small whatever the input
     placed = (
         ranges.withColumns({"upto": F.sum("size").over(inside), "nth": F.count(F.lit(1)).over(inside)})

@@ -20,6 +20,9 @@ MAGIC = b"TLIDS1\0\0"
 # magic, bytes of an id, documents with a null id (they come first), documents, ids
 _HEAD = struct.Struct("<8sIQQQ")
 FILE_IDS = 1 << 24
+FILE_DOCS = 1 << 20
+# Documents whose places are selected at once when a file is read through
+STRETCH = 4096
 _BATCH_CHARS = 1 << 20
 
 MANIFEST = pa.schema(
@@ -72,10 +75,14 @@ class TokenFile:
 
     def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """``(doc_id, first place, ids)`` of every document in order."""
-        bounds = self.bounds.values().tolist()
-        keys = [None] * self.nulls + self.keys.values().tolist()
-        for key, start, end in zip(keys, bounds[:-1], bounds[1:], strict=True):
-            yield key, start, self._ids(start, end)
+        for first in range(0, self.docs, STRETCH):
+            stop = min(self.docs, first + STRETCH)
+            bounds = self.bounds.stretch(first, stop + 1).tolist()
+            nulls = max(0, min(stop, self.nulls) - first)
+            known = self.keys.stretch(max(0, first - self.nulls), max(0, stop - self.nulls)).tolist()
+            keys = [None] * nulls + known
+            for key, start, end in zip(keys, bounds[:-1], bounds[1:], strict=True):
+                yield key, start, self._ids(start, end)
 
 
 def write_token_files(
@@ -83,15 +90,16 @@ def write_token_files(
     tokenizer: str,
     folder: str,
     file_ids: int = FILE_IDS,
+    file_docs: int = FILE_DOCS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Encode documents in ascending id order into files; gives their manifest.
 
     ``folder`` must be one that executors and driver share. Documents are sorted
-    by range, so files hold ascending ids and follow each other. A task closes a
-    file when it has ``file_ids`` ids or more, so it holds one file's ids at
-    most, and one document's beside. Ids take 2 bytes each where the vocabulary allows it.
+    by range, so files hold ascending ids and follow each other; many documents of one id, or without, are
+    shared out like others. A task closes a file when it has ``file_ids`` ids or ``file_docs`` documents
+    or more, so it holds one file's ids at most, and one document's beside. Ids take 2 bytes each where the vocabulary allows it.
     A file is written under a name of its own attempt and only named in the
     manifest by the attempt that succeeds; the manifest is stored, so files are
     written once.
@@ -131,15 +139,17 @@ def write_token_files(
                 lengths.append(len(tokens))
                 parts.append(tokens.astype(f"<u{width}").tobytes())
                 size += len(tokens)
-                if size >= file_ids:
+                if size >= file_ids or len(keys) >= file_docs:
                     yield close()
         if keys:
             yield close()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions(
-        "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    sums = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    ordered = id_and_text(docs, id_col, text_col).select(
+        "doc_id", "text", sums.alias("sum"), F.monotonically_increasing_id().alias("row")
     )
+    by = ["doc_id", "sum", "row"]
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     schema = "path string, first_id long, part long, seq long, docs long, ids long, bytes long"
     manifest = materialize(ordered.mapInArrow(run, schema), "token-manifest")
     # one row a file
