@@ -49,24 +49,24 @@ STOP_WORDS = tuple(
     mightn mustn needn shan shouldn wasn weren won wouldn""".split()
 )
 
-# --- fixed values: contraction rules, applied top to bottom, any case ----
-# They run once every apostrophe between two letters is a plain one.
-APOSTROPHE_RULES = (
-    (r"\bcan't\b", "cannot"),
-    (r"\bwon't\b", "will not"),
-    (r"\bshan't\b", "shall not"),
-    (r"\bain't\b", "are not"),
-    (r"\blet's\b", "let us"),
-    (r"\by'all\b", "you all"),
-    (r"\bma'am\b", "madam"),
-    (r"\bo'clock\b", "of the clock"),
-    (r"n't\b", " not"),
-    (r"'re\b", " are"),
-    (r"'ve\b", " have"),
-    (r"'ll\b", " will"),
-    (r"'m\b", " am"),
-    (r"'d\b", " would"),
-)
+# --- fixed values: contractions, any case ---------------------------------
+# They are looked for once every apostrophe between two letters is a plain one.
+IRREGULAR_CONTRACTIONS = {
+    "can't": "cannot", "won't": "will not", "shan't": "shall not", "ain't": "are not",
+    "let's": "let us", "y'all": "you all", "ma'am": "madam", "o'clock": "of the clock",
+    "cant": "cannot", "wont": "will not",
+}
+# ends of any word
+ENDINGS = {
+    "n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'m": " am", "'d": " would",
+}
+SLANG = {
+    "gonna": "going to", "wanna": "want to", "gotta": "got to", "gimme": "give me",
+    "lemme": "let me", "dunno": "do not know", "coulda": "could have", "shoulda": "should have",
+    "woulda": "would have", "mighta": "might have", "musta": "must have", "finna": "going to",
+    "imma": "I am going to", "outta": "out of", "lotta": "lot of", "kinda": "kind of", "sorta": "sort of",
+    "'cause": "because", "'em": "them", "'tis": "it is", "'twas": "it was",
+}
 # 's stands for "is" only after these; elsewhere it is a possessive.
 IS_AFTER = tuple(
     "he she it that this there here what who where when why how".split()
@@ -75,7 +75,6 @@ IS_AFTER = tuple(
 BARE_NOT_STEMS = tuple(
     "do does did is are was were has have had could should would must".split()
 )
-BARE_RULES = ((r"\bcant\b", "cannot"), (r"\bwont\b", "will not"))
 
 # --- fixed values: words the tokenizer splits in two ---------------------
 SPLIT_WORDS = (
@@ -119,6 +118,16 @@ NAMED_ENTITIES = (
     ("&euro;", "\u20AC"), ("&pound;", "\u00A3"), ("&deg;", "\u00B0"),
 )
 
+# --- fixed values: blocks of emoji, and the tones of skin that may follow one ---
+EMOJI_BLOCKS = (
+    (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF),
+)
+SKIN_TONES = {
+    "\U0001F3FB": "light_skin_tone", "\U0001F3FC": "medium-light_skin_tone",
+    "\U0001F3FD": "medium_skin_tone", "\U0001F3FE": "medium-dark_skin_tone",
+    "\U0001F3FF": "dark_skin_tone",
+}
+
 # --- fixed values: seed table of common emoji ----------------------------
 EMOJI_NAMES = {
     "\U0001F600": "grinning_face",

@@ -6,9 +6,12 @@ Spark inlines: a query that calls them stays a plain expression tree.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 from . import lexicons as lx
+from . import phrases as ph
 from . import text as tx
 
 
@@ -58,25 +61,41 @@ def _entities(x: str) -> str:
     )
 
 
+def _swap(x: str, pattern: str, name: str) -> str:
+    """Matches replaced by ``name``, an expression over ``p``."""
+    mark = ph.MARK
+    return (
+        f"array_join(transform(split(regexp_replace({x}, {_raw('(' + pattern + ')')}, '{mark}$1{mark}'), '{mark}'), "
+        f"(p, i) -> CASE WHEN i % 2 = 1 THEN coalesce({name}, p) ELSE p END), '')"
+    )
+
+
+def _map(table: Mapping[str, str]) -> str:
+    return f"str_to_map({_raw(ph.map_text(table))}, {_raw(tx._NEXT)}, {_raw(tx._PAIR)})"
+
+
 def _contractions(x: str) -> str:
     x = _sub(x, "(?<=[A-Za-z])[\u2019`](?=[A-Za-z])", "'")
-    for pattern, full in lx.APOSTROPHE_RULES:
-        x = _sub(x, "(?i)" + pattern, full)
-    x = _sub(x, rf"(?i)\b({'|'.join(lx.IS_AFTER)})'s\b", "$1 is")
-    x = _sub(x, rf"(?i)\b({'|'.join(lx.BARE_NOT_STEMS)})nt\b", "$1 not")
-    for pattern, full in lx.BARE_RULES:
-        x = _sub(x, "(?i)" + pattern, full)
-    return x
+    table = ph.contraction_table()
+    every, _ = ph.contraction_patterns(tuple(sorted(table.items())))
+    full = f"try_element_at({_map(table)}, lower(p))"
+    cased = (
+        f"CASE WHEN p = upper(p) AND p <> lower(p) THEN upper({full}) "
+        f"WHEN left(p, 1) = upper(left(p, 1)) AND left(p, 1) <> lower(left(p, 1)) "
+        f"THEN upper(left({full}, 1)) || substring({full}, 2) ELSE {full} END"
+    )
+    return _swap(x, every, cased)
 
 
 def _emoji(x: str) -> str:
-    chars = sorted(lx.EMOJI_NAMES)
-    names = ", ".join(f"'{c}', ':{lx.EMOJI_NAMES[c]}:'" for c in chars)
-    return (
-        f"CASE WHEN rlike({x}, '[{chars[0]}-{chars[-1]}]') THEN array_join(transform("
-        f"split(replace({x}, '\uFE0F', ''), ''), c -> CASE WHEN c < '{chars[0]}' THEN c "
-        f"ELSE coalesce(element_at(map({names}), c), c) END), '') ELSE {x} END"
+    needs, pattern, names = ph.emoji_parts()
+    key = f"replace(p, '{ph.JOIN_VARIANT}', '')"
+    name = (
+        f"':' || coalesce(try_element_at({_map(names)}, {key}), concat_ws('_', "
+        f"try_element_at({_map(names)}, left({key}, length({key}) - 1)), "
+        f"try_element_at({_map(lx.SKIN_TONES)}, right({key}, 1)))) || ':'"
     )
+    return f"CASE WHEN rlike({x}, {_raw(needs)}) THEN {_swap(x, pattern, name)} ELSE {x} END"
 
 
 def _split_words(x: str) -> str:

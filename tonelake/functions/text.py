@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from . import phrases as ph
 
 MODES = ("classical", "transformer")
 
@@ -137,63 +138,51 @@ def normalize_whitespace(col: Column | str) -> Column:
 
 
 def demojize(col: Column | str, lexicon: Mapping[str, str] | None = None) -> Column:
-    """Single-code-point emoji to ``:name:``.
+    """Emoji to ``:name:``, the longest sequence that has a name first.
 
-    The map is scanned per character, hence only for characters above the
-    first emoji and only in rows that hold one.
+    ``lexicon`` maps sequences (joined ones, flags, keycaps) to names, as ``phrases.read_phrases``
+    reads it from a table; without one, names follow a rule (``phrases.emoji_names``). A tone of skin
+    after a named emoji is added to its name. Variation selectors are optional anywhere. Only rows that
+    hold a first character of a sequence are looked at.
     """
-    lexicon = lx.EMOJI_NAMES if lexicon is None else lexicon
-    chars = sorted(lexicon)
-    first = chars[0]
-    pattern = f"[{first}-{chars[-1]}]"
-    names = F.create_map(
-        *[part for c in chars for part in (F.lit(c), F.lit(f":{lexicon[c]}:"))]
-    )
+    needs, pattern, names = ph.emoji_parts(lexicon)
+    known, tones = ph.as_map(names), ph.as_map(lx.SKIN_TONES)
 
-    def named(text: Column) -> Column:
-        parts = F.split(F.replace(text, F.lit("\uFE0F"), F.lit("")), "")
-        return F.array_join(
-            F.transform(
-                parts,
-                lambda c: F.when(c < first, c).otherwise(
-                    F.coalesce(F.element_at(names, c), c)
-                ),
-            ),
-            "",
-        )
+    def name(part: Column) -> Column:
+        def of(key: Column) -> Column:
+            tone = F.try_element_at(tones, F.right(key, F.lit(1)))
+            base = F.try_element_at(known, F.left(key, F.length(key) - 1))
+            return F.coalesce(F.try_element_at(known, key), F.concat_ws("_", base, tone))
+
+        return F.concat(F.lit(":"), bind(F.replace(part, F.lit(ph.JOIN_VARIANT), F.lit("")), of), F.lit(":"))
 
     return bind(
-        _as_col(col), lambda t: F.when(t.rlike(pattern), named(t)).otherwise(t)
+        _as_col(col), lambda t: F.when(t.rlike(needs), ph.swap(t, pattern, name)).otherwise(t)
     )
 
 
-def expand_contractions(col: Column | str) -> Column:
-    """``don't`` to ``do not``, ``can't`` to ``cannot`` and so on, by rule."""
+def expand_contractions(col: Column | str, table: Mapping[str, str] | None = None) -> Column:
+    """``don't`` to ``do not``, ``can't`` to ``cannot``, ``gonna`` to ``going to`` and so on.
 
-    def rule(text: Column, low: Column, needs: str, pattern: str, full: str) -> Column:
-        """One rule, tried only on rows that hold its fixed part."""
-        return bind(
-            text,
-            lambda t: F.when(
-                low.contains(needs), F.regexp_replace(t, "(?i)" + pattern, full)
-            ).otherwise(t),
-        )
-
-    def with_apostrophe(text: Column, low: Column) -> Column:
-        for pattern, full in lx.APOSTROPHE_RULES:
-            text = rule(text, low, pattern.replace(r"\b", ""), pattern, full)
-        return rule(text, low, "'s", rf"\b({'|'.join(lx.IS_AFTER)})'s\b", "$1 is")
-
-    def all_rules(text: Column, low: Column) -> Column:
-        text = bind(
-            text,
-            lambda t: F.when(t.contains("'"), with_apostrophe(t, low)).otherwise(t),
-        )
-        stems = "|".join(lx.BARE_NOT_STEMS)
-        text = rule(text, low, "nt", rf"\b(?=[dhaiwcsm])({stems})nt\b", "$1 not")
-        for pattern, full in lx.BARE_RULES:
-            text = rule(text, low, pattern.replace(r"\b", ""), pattern, full)
-        return text
+    One pass over the text with all entries of ``table`` (keys in small letters; without one,
+    ``phrases.contraction_table``), the longest first. A capital, or capitals, are kept.
+    """
+    table = ph.contraction_table() if table is None else table
+    every, bare = ph.contraction_patterns(tuple(sorted(table.items())))
+    known = ph.as_map(table)
+
+    def full(part: Column) -> Column:
+        def cased(text: Column) -> Column:
+            loud = (part == F.upper(part)) & (part != F.lower(part))
+            first = F.left(part, F.lit(1))
+            begins = (first == F.upper(first)) & (first != F.lower(first))
+            return (
+                F.when(loud, F.upper(text))
+                .when(begins, F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1000)))
+                .otherwise(text)
+            )
+
+        return bind(F.try_element_at(known, F.lower(part)), cased)
 
     plain = bind(
         _as_col(col),
@@ -202,7 +191,12 @@ def expand_contractions(col: Column | str) -> Column:
             F.regexp_replace(t, r"(?<=[A-Za-z])[\u2019`](?=[A-Za-z])", "'"),
         ).otherwise(t),
     )
-    return bind(plain, lambda t: bind(F.lower(t), lambda low: all_rules(t, low)))
+    return bind(
+        plain,
+        lambda t: F.when(t.contains("'"), ph.swap(t, every, full))
+        .when(t.rlike(bare), ph.swap(t, bare, full))
+        .otherwise(t),
+    )
 
 
 def lower_text(col: Column | str) -> Column:

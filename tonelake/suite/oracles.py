@@ -98,11 +98,16 @@ def emoji_steps() -> list[Step]:
 
 
 def contraction_steps() -> list[Step]:
+    """The same entries as a chain of replacements, in an order that gives the longest."""
+    lead = [k for k in lx.SLANG if k[0] == "'"]
     steps = [sub(r"([A-Za-z])[\x{2019}`]([A-Za-z])", r"\1'\2")]
-    steps += [sub("(?i)" + p, new) for p, new in lx.APOSTROPHE_RULES]
+    steps += [sub(rf"(?i)\b{k}\b", v) for k, v in lx.IRREGULAR_CONTRACTIONS.items() if "'" in k]
+    steps += [sub(rf"(?i){k}\b", v) for k, v in lx.ENDINGS.items()]
     steps.append(sub(rf"(?i)\b({'|'.join(lx.IS_AFTER)})'s\b", r"\1 is"))
     steps.append(sub(rf"(?i)\b({'|'.join(lx.BARE_NOT_STEMS)})nt\b", r"\1 not"))
-    return steps + [sub("(?i)" + p, new) for p, new in lx.BARE_RULES]
+    steps += [sub(rf"(?i)\b{k}\b", v) for k, v in lx.IRREGULAR_CONTRACTIONS.items() if "'" not in k]
+    steps += [sub(rf"(?i)\b{k}\b", v) for k, v in lx.SLANG.items() if k not in lead]
+    return steps + [sub(rf"(?i)(^|[^A-Za-z]){k}\b", rf"\1{lx.SLANG[k]}") for k in lead]
 
 
 def token_steps() -> list[Step]:
@@ -332,6 +337,13 @@ text_oracle(
     "lang || ' ' || chr(9) || ' ' || text || ' ' || chr(9) || ' ' || source", SPACES,
 )
 text_oracle("t6_demojize", "documents", "doc_id", NOISY, emoji_steps())
+text_oracle(
+    "t6_demojize_sequences", "documents", "doc_id", "text",
+    [
+        f"replace(t, {q(' the ')}, {q(' :family: :Sweden: ')})", f"replace(t, {q(' la ')}, {q(' :woman: :keycap_3: ')})",
+        f"replace(t, {q(' der ')}, {q(' :thumbs_up_dark_skin_tone: ')})",
+    ],
+)
 text_oracle("t7_expand_contractions", "documents", "doc_id", NOISY, contraction_steps())
 text_oracle("t8_lower_text", "documents", "doc_id", "text", LOWER)
 text_oracle("t9_replace_numbers", "documents", "doc_id", NOISY, NUMBERS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels as lb
+from ..functions import phrases as ph
 from ..functions import text as tx
 from ..functions.sql import register_functions
 from ..functions.text import cleaner
@@ -375,6 +376,28 @@ text_query(
     lambda: tx.normalize_whitespace(F.concat_ws(" \t ", "lang", "text", "source")),
 )
 text_query("t6_demojize", "documents", "doc_id", lambda: tx.demojize(noisy("text")))
+
+
+@query("t6_demojize_sequences")
+def t6b(spark, sf):
+    """Joined sequences, flags, keycaps and tones, with names from a table."""
+    woman, man, girl, joiner = "\U0001F469", "\U0001F468", "\U0001F467", "\u200D"
+    flag, other, thumb, dark = "\U0001F1F8\U0001F1EA", "\U0001F1EA\U0001F1F8", "\U0001F44D", "\U0001F3FF"
+    named = {
+        woman: "woman", man: "man", girl: "girl", f"{man}{joiner}{woman}{joiner}{girl}": "family",
+        flag: "Sweden", other: "Spain", "3\u20E3": "keycap_3", thumb: "thumbs_up",
+    }
+    lexicon = ph.read_phrases(spark.createDataFrame(list(named.items()), "emoji string, name string"), "emoji", "name")
+    text = F.col("text")
+    for word, emoji in (
+        (" the ", f" {man}{joiner}{woman}{joiner}{girl} {flag} "),
+        (" la ", f" {woman} 3\uFE0F\u20E3 "),
+        (" der ", f" {thumb}{dark} "),
+    ):
+        text = F.replace(text, F.lit(word), F.lit(emoji))
+    return read(spark, sf).select("doc_id", tx.demojize(text, lexicon).alias("out"))
+
+
 text_query(
     "t7_expand_contractions", "documents", "doc_id",
     lambda: tx.expand_contractions(noisy("text")),
