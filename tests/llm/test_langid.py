@@ -105,3 +105,21 @@ def test_odd_rows(spark, odd):
     empty = train_language_model(df.limit(0))
     assert empty.languages == [] and detect_language(df, empty).filter("rejected").count() == 3
     assert detect_language(df.limit(0), model).count() == 0
+
+
+def test_thirty_languages_of_very_different_sizes(spark, monkeypatch):
+    from tonelake.llm import langid
+
+    # 30 languages share 27,000 n-grams; ranked together, the large one would take them all
+    monkeypatch.setattr(langid, "MAX_CELLS", 900 * 30 * 30)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrst"
+    syllables = {f"l{n:02d}": ["".join(rng.choices(letters, k=3)) for _ in range(25)] for n in range(30)}
+    say = lambda lang: " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(60))
+    rows = [(i, say(lang), lang) for i, lang in enumerate([*syllables] * 25 + ["l07"] * 900)]
+    rows += [(10_000 + i, rows[3][1], "l03") for i in range(3000)]  # copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = train_language_model(docs, sample_texts=200)
+    assert len(model.languages) == 30
+    got = detect_language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("doc_id < 750").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -255,28 +255,34 @@ def train_language_model(
 ) -> LanguageModel:
     """Fit on the rows with text and language that are not held out.
 
-    A classifier's bounded sample: about ``sample_texts`` whole texts of each
-    language (chosen by a hash of id and text), nine tenths of them counted, one tenth
-    for calibration. N-grams are counted in tasks and added up by Spark; what
-    reaches the driver is the counts, at most ``MAX_CELLS`` divided by the number of
-    languages (the most frequent ones), and calibration rows. At most
-    ``MAX_LANGUAGES`` languages, the most frequent. No rows give a model without languages.
+    A classifier's bounded sample: about ``sample_texts`` different whole texts of each
+    language (chosen by a hash of the text; copies of one count once), nine tenths of
+    them counted, one tenth for calibration. N-grams are counted in tasks and added up by Spark; what
+    reaches the driver is the counts, of each language its most frequent ones up to ``MAX_CELLS``
+    divided by the square of the number of languages, whatever other languages hold, and
+    calibration rows. At most ``MAX_LANGUAGES`` languages, the most frequent. No rows give a model
+    without languages; null texts and languages, and repeated rows, need no care.
     """
-    text = F.col(text_col).cast("string")
-    usable = docs.filter(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(id_col))
-    counts = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    top = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    usable = docs.filter(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(id_col)).select(
+        lang.alias("lang"), text.alias("text"), F.xxhash64(text, F.lit("sample")).alias("draw")
+    )
+    counts = usable.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("draw", 0.02).alias("texts")
+    )
+    top = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in top)
     if not languages:
         return LanguageModel([])
-    share = {r["lang"]: min(1.0, sample_texts / r["count"]) for r in top}
+    share = {r["lang"]: min(1.0, sample_texts / max(r["texts"], 1)) for r in top}
     chances = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    drawn = F.pmod(F.col("draw"), F.lit(1_000_000)) / 1_000_000 < chances[F.col("lang")]
+    # texts are cut down before the shuffle, where copies meet
     sample = materialize(
-        usable.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), draw.alias("draw"))
-        .filter(F.col("draw") < chances[F.col("lang")])
-        .withColumn("calibrates", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
-        .select("lang", "text", "calibrates"),
+        usable.filter(drawn)
+        .groupBy("lang", "draw", F.xxhash64("text").alias("calibration"))
+        .agg(F.first("text").alias("text"))
+        .select("lang", "text", (F.pmod("calibration", F.lit(10)) == 0).alias("calibrates")),
         "language-sample",
     )
 
@@ -286,17 +292,19 @@ def train_language_model(
                 codes, at = letter_codes([t for n, t in zip(names, texts, strict=True) if n == name])
                 keys, times = np.unique(_keys(codes, at, ORDER), return_counts=True)
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": [name] * len(keys), "gram": keys.view(np.int64), "n": times}
+                    {"lang": pa.array([name] * len(keys), pa.string()), "gram": keys.view(np.int64), "n": times}
                 )
 
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     grams = (
         sample.filter(~F.col("calibrates"))
         .select("lang", "text")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "gram")
-        .limit(MAX_CELLS // len(languages))
+        .withColumn("place", F.row_number().over(most))
+        .filter(F.col("place") <= max(1, MAX_CELLS // len(languages) ** 2))
+        .drop("place")
         .toArrow()
     )
     lang, key, n = (np.array(grams.column(c)) for c in ("lang", "gram", "n"))
