@@ -1,4 +1,9 @@
-"""The list of trained models: ``name, path, type, registered_at``."""
+"""The list of trained models: ``name, path, type, registered_at``.
+
+A registry is a JSON list and a log beside it, ``<path>.log``. Writers add entries to the log, each in
+a folder of its own, so any number of them may write at once. Readers take the latest entry
+of each name. ``compact_registry`` puts the log into the list now and then.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ from pyspark.sql import functions as F
 
 ENTRY = "name string, path string, type string, registered_at string"
 SCHEMA = f"position bigint, {ENTRY}"
+LOGGED = f"{ENTRY}, stamp string"
 
 
 def parse_registry(text: Column) -> Column:
@@ -39,11 +45,19 @@ def read_registry(
     root: str | None = None,
     known: Iterable[tuple[str, str, str]] = (),
 ) -> DataFrame:
-    """Entries in list order with ``position``.
+    """Entries in list order with ``position``, those of the log merged in.
 
-    A corrupt registry is empty. Where there is none, it is made of those
+    A corrupt list is empty. Where there is no registry, it is made of those
     ``known`` ``(name, path, type)`` models whose folder exists.
     """
+    logged = _log_parts(spark, path)
+    df = _read_list(spark, path, () if logged else known)
+    if logged:
+        df = _merged(df, spark.read.schema(LOGGED).json(logged))
+    return df.withColumn("path", resolve_path(F.col("path"), root))
+
+
+def _read_list(spark: SparkSession, path: str, known: Iterable[tuple[str, str, str]]) -> DataFrame:
     try:
         # a registry is one small file; its list order is the order of entries
         files = spark.read.text(path, wholetext=True)
@@ -57,7 +71,78 @@ def read_registry(
         df = files.select(F.posexplode(parse_registry(F.col("value")))).select(
             F.col("pos").cast("bigint").alias("position"), "col.*"
         )
-    return df.withColumn("path", resolve_path(F.col("path"), root))
+    return df
+
+
+def _merged(listed: DataFrame, logged: DataFrame) -> DataFrame:
+    """Names in the order they came in, each with its latest entry."""
+    entry = F.struct("path", "type", "registered_at")
+    none = F.lit(None).cast("bigint")
+    old = listed.select("name", "position", F.lit("").alias("stamp"), entry.alias("entry"))
+    # of equal names in a list the last one counts
+    new = logged.filter(F.col("name").isNotNull()).select("name", none.alias("position"), "stamp", entry.alias("entry"))
+    latest = F.max(F.struct("stamp", "position", "entry"))
+    rows = old.unionByName(new).groupBy("name").agg(
+        F.min("position").alias("position"), F.min("stamp").alias("first"), latest.alias("latest")
+    )
+    # a registry has a row for each model, few enough to number in one task
+    order = Window.orderBy(F.col("position").asc_nulls_last(), "first", "name")
+    return rows.select(
+        (F.row_number().over(order) - 1).cast("bigint").alias("position"), "name", "latest.entry.*"
+    )
+
+
+def _store(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _log_parts(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the log that their writers have finished."""
+    store, folder = _store(spark, f"{path.rstrip('/')}.log")
+    if not store.exists(folder):
+        return []
+    parts = sorted(str(s.getPath()) for s in store.listStatus(folder) if s.isDirectory())
+    return [p for p in parts if store.exists(_store(spark, f"{p}/_SUCCESS")[1])]
+
+
+def log_models(entries: DataFrame, path: str) -> None:
+    """Add entries ``name, path, type`` to the log of the registry at ``path``.
+
+    Written by Spark where they are, in a folder that no other writer uses. Entries of one call
+    have one time; of a name that comes twice in it the greatest path counts.
+    """
+    now = dt.datetime.now(dt.timezone.utc)
+    stamp = f"{now:%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex}"
+    rows = entries.select(
+        F.col("name").cast("string").alias("name"),
+        F.col("path").cast("string").alias("path"),
+        F.col("type").cast("string").alias("type"),
+        F.lit(dt.datetime.now().isoformat()).alias("registered_at"),
+        F.lit(stamp).alias("stamp"),
+    )
+    rows.write.json(f"{path.rstrip('/')}.log/{stamp}")
+
+
+def compact_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Put the log as it is now into the list, and return this.
+
+    A job of its own, one at a time; writers and readers needn't stop. The new list is written beside the old
+    one and put in its place, then the parts of the log that are in it go. A run that ends between
+    leaves entries both in the list and the log, which reads the same.
+    """
+    parts = _log_parts(spark, path)
+    df = _read_list(spark, path, ())
+    if parts:
+        df = _merged(df, spark.read.schema(LOGGED).json(parts))
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_registry(df, beside)
+    _swap(spark, beside, path)
+    for part in parts:
+        store, folder = _store(spark, part)
+        store.delete(folder, True)
+    return read_registry(spark, path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -125,16 +210,7 @@ def _swap(spark: SparkSession, new: str, path: str) -> None:
 def register_model(
     spark: SparkSession, path: str, name: str, model_path: str, model_type: str
 ) -> DataFrame:
-    """Add or update one model in the stored registry and return it.
-
-    The new list is written beside the old one and then put in its place. A run
-    that ends between the two leaves the old list as ``path`` or ``path.previous``.
-    """
-    current = read_registry(spark, path)
-    rows = upsert_models(current, new_entry(spark, name, model_path, model_type))
-    # a short list, and the folder that it was read from is about to go
-    stored = spark.createDataFrame(rows.collect(), SCHEMA)
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    write_registry(stored, beside)
-    _swap(spark, beside, path)
-    return stored
+    """Add or update one model in the stored registry and return it."""
+    entry = spark.createDataFrame([(name, str(model_path), model_type)], "name string, path string, type string")
+    log_models(entry, path)
+    return read_registry(spark, path)

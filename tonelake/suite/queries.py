@@ -206,12 +206,14 @@ def io6(spark, sf):
 
 @query("io6_stored_registry")
 def io6b(spark, sf):
-    """A registry file written by ``register_model``, one name twice, and read back."""
+    """Models of all languages logged twice, compacted in between, and read back."""
     path = scratch_path(spark, "registry")
-    langs = [r[0] for r in docs(spark, sf).select("lang").distinct().orderBy("lang").collect()]
+    langs = docs(spark, sf).select(F.col("lang").alias("name")).distinct()
     for version in ("v1", "v2"):
-        for lang in langs:
-            rg.register_model(spark, path, lang, f"models/{version}/{lang}", "classical")
+        folder = F.concat(F.lit(f"models/{version}/"), "name")
+        rg.log_models(langs.select("name", folder.alias("path"), F.lit("classical").alias("type")), path)
+        if version == "v1":
+            rg.compact_registry(spark, path)
     return rg.read_registry(spark, path, "/srv").select("position", "name", "path", "type")
 
 
