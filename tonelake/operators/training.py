@@ -17,10 +17,12 @@ from ..functions.labels import names_for
 from ..functions.text import cleaner
 from ..session import materialize, scratch_path
 from .features import DEFAULT_MAX_FEATURES, fit_tfidf
+from .newton import as_model, newton_steps
 from .rows import require_columns
 from .skew import lookup_join
 
 ROWS_PER_TASK = 20_000
+SOLVERS = ("lbfgs", "newton")
 
 
 def class_sizes(df: DataFrame, label_col: str) -> DataFrame:
@@ -62,13 +64,17 @@ def fit_logistic(
     max_iter: int = 1000,
     class_weight: str | dict | None = "balanced",
     tol: float = 1e-6,
+    solver: str = "lbfgs",
     **kwargs: Any,
 ) -> LogisticRegressionModel:
     """Minimise ``|w|^2 / 2 + C * sum(weight * loss)``, intercept unpenalised.
 
-    The Spark objective is a weighted mean, hence the rescaled penalty. Further
+    The Spark objective is a weighted mean, hence the rescaled penalty. ``solver`` is ``lbfgs``, the
+    estimator's own, or ``newton``, fewer passes for two classes and narrow features. Further
     keyword arguments go to the estimator and override what is set here.
     """
+    if solver not in SOLVERS:
+        raise ValueError(f"solver must be one of {', '.join(SOLVERS)}, got {solver!r}")
     require_columns(df, [features_col, label_col])
     sizes = class_sizes(df, label_col)
     rows, classes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -95,8 +101,19 @@ def fit_logistic(
         "aggregationDepth": 2 if rows < 10**8 else 3,
     } | kwargs
     weighted = weighted.withColumn(label_col, F.col(label_col).cast("double"))
-    # every iteration aggregates over all partitions: none smaller than a block
+    # what makes the features runs on all cores, once; then every iteration aggregates over
+    # all partitions, none smaller than a block
+    weighted = materialize(weighted, "training-rows")
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
+    if solver == "newton":
+        if classes != 2 or kwargs:
+            raise ValueError("newton takes two classes and no options of the estimator")
+        labels = [r[0] for r in sizes.select(F.col(label_col).cast("double")).collect()]
+        if sorted(labels) != [0.0, 1.0]:
+            raise ValueError(f"newton takes the labels 0 and 1, got {sorted(labels)}")
+        penalty = params["regParam"]
+        point = newton_steps(weighted.coalesce(tasks), features_col, label_col, "weight", penalty, max_iter, tol)
+        return as_model(point, features_col, label_col, "weight", df.sparkSession)
     return LogisticRegression(**params).fit(weighted.coalesce(tasks))
 
 

@@ -713,6 +713,7 @@ ORACLES["m2_optimality"] = f"""{TRAINING.rstrip()}, words AS (
 )
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index,
   true AS at_optimum FROM top"""
+ORACLES["m2_newton_optimality"] = ORACLES["m2_optimality"].replace("LIMIT 5000", "LIMIT 300")
 ORACLES["m4_long_form_check"] = with_(
     chain("documents", "doc_id", "text", CLASSICAL),
     then="SELECT doc_id, true AS same_class FROM done WHERE trim(t) <> ''",

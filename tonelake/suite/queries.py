@@ -727,8 +727,7 @@ def m2(spark, sf):
     return names.join(coefs, "term_index")
 
 
-@query("m2_optimality")
-def m2b(spark, sf):
+def _optimality(spark: SparkSession, sf: str, terms: int, **options: object) -> DataFrame:
     """Per term, whether the gradient of the objective vanishes at the fit."""
     from pyspark.ml.functions import vector_to_array
 
@@ -736,7 +735,7 @@ def m2b(spark, sf):
         reviews(spark, sf), spark, 1.0, "binary", seed=SEED, key="review_id"
     )
     data = materialize(data.select("cleaned_text", "label"), "training")
-    model = tr.fit_sentiment(data, max_features=TERMS, tol=1e-12)
+    model = tr.fit_sentiment(data, max_features=terms, tol=1e-12, **options)
     out = tr.balanced_weights(model.transform(data)).select(
         (F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))).alias("pull"),
         F.posexplode(vector_to_array("features")).alias("term_index", "x"),
@@ -753,6 +752,16 @@ def m2b(spark, sf):
     )
 
 
+@query("m2_optimality")
+def m2b(spark, sf):
+    return _optimality(spark, sf, TERMS)
+
+
+@query("m2_newton_optimality")
+def m2c(spark, sf):
+    return _optimality(spark, sf, 300, solver="newton")
+
+
 @query("m3_fit_vectors")
 def m3(spark, sf):
     """Fit and predict on the given embeddings instead of text."""
