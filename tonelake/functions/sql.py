@@ -1,7 +1,8 @@
 """The text and label operators as SQL functions of a session.
 
 ``register_functions(spark)`` makes them temporary SQL functions, whose bodies
-Spark inlines: a query that calls them stays a plain expression tree.
+Spark inlines: a query that calls them stays a plain expression tree. Operators that give several rows for
+one are table functions, for ``FROM t, LATERAL f(t.text)``; they become a generator over the row.
 """
 
 from __future__ import annotations
@@ -192,6 +193,58 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
     }
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _ngrams(x: str, low: str, high: str) -> str:
+    terms = rf"coalesce(regexp_extract_all(lower({x}), r'[\p{{L}}\p{{N}}_]{{2,}}', 0), array())"
+    starts = "CASE WHEN size(t) >= n THEN sequence(1, size(t) - n + 1) ELSE CAST(array() AS ARRAY<INT>) END"
+    grams = f"transform({starts}, i -> array_join(slice(t, i, n), ' '))"
+    return _let("t", terms, f"flatten(transform(sequence({low}, {high}), n -> {grams}))")
+
+
+def _term_counts(terms: str) -> str:
+    begins = "filter(sequence(0, size(s) - 1), i -> i = 0 OR get(s, i) <> get(s, i - 1))"
+    counted = (
+        "transform(b, (at, k) -> named_struct('term', get(s, at), "
+        "'tf', CAST(coalesce(get(b, k + 1), size(s)) - at AS BIGINT)))"
+    )
+    none = "CAST(array() AS ARRAY<STRUCT<term: STRING, tf: BIGINT>>)"
+    runs = _let("b", begins, counted)
+    return _let("s", f"array_sort({terms})", f"CASE WHEN size(s) > 0 THEN {runs} ELSE {none} END")
+
+
+def _reason(x: str, most: str) -> str:
+    return (
+        f"CASE WHEN {x} IS NULL OR {x} = '' THEN 'empty' "
+        f"WHEN NOT rlike({x}, {_raw(f'[^{lx.SPACE}]')}) THEN 'whitespace_only' "
+        f"WHEN length({x}) > {most} THEN 'too_long' END"
+    )
+
+
+def table_function_bodies() -> dict[str, tuple[str, str, str]]:
+    """Name to ``(parameters, columns, query)``."""
+    span = "x STRING, low INT DEFAULT 1, high INT DEFAULT 1"
+    return {
+        # n-grams of a text by their place, shorter ones first
+        "text_ngrams": (
+            span, "place INT, term STRING",
+            f"SELECT p, g FROM (SELECT posexplode({_ngrams('x', 'low', 'high')}) AS (p, g))",
+        ),
+        # distinct n-grams of a text with their counts
+        "term_freq": (
+            span, "term STRING, tf BIGINT",
+            f"SELECT term, tf FROM (SELECT inline({_term_counts(_ngrams('x', 'low', 'high'))}) AS (term, tf))",
+        ),
+        # why a text is refused, no row for a good one
+        "text_refusal": (
+            f"x STRING, most INT DEFAULT {lx.MAX_TEXT_CHARS}", "reason STRING",
+            f"SELECT r FROM (SELECT explode(filter(array({_reason('x', 'most')}), r -> r IS NOT NULL)) AS r)",
+        ),
+    }
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Create or replace the functions in this session; returns their names."""
     bodies = function_bodies()
@@ -200,4 +253,10 @@ def register_functions(spark: SparkSession) -> list[str]:
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) "
             f"RETURNS {result} RETURN {body}"
         )
-    return list(bodies)
+    tables = table_function_bodies()
+    for name, (parameters, columns, body) in tables.items():
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) "
+            f"RETURNS TABLE({columns}) RETURN {body}"
+        )
+    return [*bodies, *tables]

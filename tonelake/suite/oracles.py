@@ -673,6 +673,19 @@ ORACLES["x8_transform_vectors"] = with_(
     DOC_TERMS, CORPUS, VOCAB, ITEM_TERMS, weights("item_tf", "item_id"),
     then=f"SELECT item_id, term, term_index, tfidf FROM ({weighed('item_id')})",
 )
+ORACLES["x2_ngrams_sql"] = with_(
+    grams("benchmark", "item_id", 3).replace("unnest(flatten", "(flatten"),
+    then="""
+SELECT item_id, CAST(generate_subscripts(term, 1) - 1 AS INTEGER) AS place, unnest(term) AS term FROM grams""",
+)
+ORACLES["x3_term_freq_sql"] = with_(
+    grams("documents", "doc_id", 2),
+    then="SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL",
+)
+ORACLES["v1_validate_text_sql"] = with_(
+    GAPPY,
+    then=f"SELECT * FROM (SELECT doc_id, {reason('text', 5000)} AS reason FROM gappy) WHERE reason IS NOT NULL",
+)
 ORACLES["x8_vectorize"] = with_(
     grams("documents", "doc_id", 2),
     "tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL)",

@@ -368,6 +368,27 @@ def sql_functions_agree(spark, sf):
     return rows.select("page_id", *same)
 
 
+def _lateral(spark: SparkSession, df: DataFrame, select: str, call: str) -> DataFrame:
+    """A table function over the rows of ``df``, in SQL."""
+    register_functions(spark)
+    return spark.sql(f"SELECT {select} FROM {{rows}} d, LATERAL {call} f", rows=df)
+
+
+@query("x2_ngrams_sql")
+def x2b(spark, sf):
+    return _lateral(spark, table(spark, sf, "benchmark"), "d.item_id, f.place, f.term", "text_ngrams(d.text, 1, 3)")
+
+
+@query("x3_term_freq_sql")
+def x3b(spark, sf):
+    return _lateral(spark, read(spark, sf), "d.doc_id, f.term, f.tf", "term_freq(d.text, 1, 2)")
+
+
+@query("v1_validate_text_sql")
+def v1b(spark, sf):
+    return _lateral(spark, _gappy(spark, sf), "d.doc_id, f.reason", "text_refusal(d.text)")
+
+
 text_query("t3_strip_tags_regex", "pages", "page_id", lambda: tx.strip_tags_regex("html"))
 text_query(
     "t4_strip_urls", "pages", "page_id",
