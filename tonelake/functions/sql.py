@@ -39,27 +39,8 @@ def _sub(x: str, pattern: str, new: str) -> str:
     return f"regexp_replace({x}, {_raw(pattern)}, {_raw(new)})"
 
 
-def _entities(x: str) -> str:
-    value = (
-        "CASE WHEN lower(substring(c, 3, 1)) = 'x' "
-        "THEN conv(regexp_extract(c, '^&#[xX]0*([0-9a-fA-F]*);', 1), 16, 10) "
-        r"ELSE regexp_extract(c, r'^&#0*(\d*);', 1) END"
-    )
-    numeric = (
-        f"transform(array(try_cast({value} AS BIGINT)), n -> CASE WHEN n BETWEEN 1 AND 1114111 "
-        "AND NOT n BETWEEN 55296 AND 57343 "
-        "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END)[0]"
-    )
-    named = (
-        f"try_element_at(str_to_map({_raw(tx.NAMED_REFERENCES)}, {_raw(tx._NEXT)}, {_raw(tx._PAIR)}), c)"
-    )
-    decoded = f"coalesce(CASE WHEN startswith(c, '&#') THEN {numeric} ELSE {named} END, c)"
-    codes = f"array_distinct(regexp_extract_all(t, {_raw(tx._REFERENCE)}, 0))"
-    done = f"aggregate({codes}, t, (acc, c) -> replace(acc, c, {decoded}))"
-    return (
-        f"transform(array({x}), t -> CASE WHEN contains(t, '&') THEN "
-        f"replace(replace({done}, '&AMP;', '&'), '&amp;', '&') ELSE t END)[0]"
-    )
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _swap(x: str, pattern: str, name: str) -> str:
@@ -75,6 +56,22 @@ def _map(table: Mapping[str, str]) -> str:
     return f"str_to_map({_raw(ph.map_text(table))}, {_raw(tx._NEXT)}, {_raw(tx._PAIR)})"
 
 
+def _entities(x: str) -> str:
+    digits = "regexp_extract(p, '^&#[xX]?0*([0-9a-fA-F]*);?$', 1)"
+    short = _let("d", digits, "CASE WHEN length(d) > 7 THEN '9999999' ELSE d END")
+    value = f"CASE WHEN lower(substring(p, 3, 1)) = 'x' THEN conv({short}, 16, 10) ELSE {short} END"
+    character = (
+        "CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\uFFFD' "
+        f"WHEN n BETWEEN 128 AND 159 THEN try_element_at({_map(tx._PAGE)}, hex(n)) "
+        "WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 "
+        "OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' "
+        "ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"
+    )
+    numeric = _let("n", f"coalesce(try_cast({value} AS BIGINT), 0)", character)
+    named = f"try_element_at({_map(tx.NAMED_REFERENCES)}, p)"
+    return _swap(x, tx.reference_pattern(), f"CASE WHEN startswith(p, '&#') THEN {numeric} ELSE {named} END")
+
+
 def _contractions(x: str) -> str:
     x = _sub(x, "(?<=[A-Za-z])[\u2019`](?=[A-Za-z])", "'")
     table = ph.contraction_table()
@@ -126,8 +123,9 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
         "strip_tags_regex": (one, "STRING", _sub("x", "<[^>]+>", "")),
         "strip_html": (
             one, "STRING",
-            f"CASE WHEN contains(x, '<') THEN {_entities(_sub('x', tx._NOT_TEXT, ''))} "
-            "ELSE x END",
+            "CASE WHEN NOT contains(x, '<') THEN x WHEN contains(x, '&') THEN replace("
+            f"{_entities(_sub('x', tx._NOT_TEXT, f'{tx._CUT}$1{tx._CUT}'))}, '{tx._CUT}', '') "
+            f"ELSE {_sub('x', tx._NOT_TEXT, '$1')} END",
         ),
         "strip_urls": (one, "STRING", _sub("x", rf"(?:http|www)[^{lx.SPACE}]+", "")),
         "normalize_whitespace": (
@@ -193,10 +191,6 @@ def function_bodies() -> dict[str, tuple[str, str, str]]:
     }
 
 
-def _let(name: str, value: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _ngrams(x: str, low: str, high: str) -> str:
     terms = rf"coalesce(regexp_extract_all(lower({x}), r'[\p{{L}}\p{{N}}_]{{2,}}', 0), array())"
     starts = "CASE WHEN size(t) >= n THEN sequence(1, size(t) - n + 1) ELSE CAST(array() AS ARRAY<INT>) END"

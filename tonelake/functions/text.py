@@ -10,7 +10,7 @@ into each use.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial
+from functools import cache, partial
 from html.entities import html5
 from typing import Any
 
@@ -53,69 +53,88 @@ _DELETED = _ranges_without(
     _ASCII_LETTERS + "<>" + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 )
 
-# One left-to-right pass: element bodies that are not text, comments,
-# declarations, processing instructions, then tags. A tag starts with a letter, so "<3"
-# survives, and a ">" in a quoted attribute value does not end it.
+# One left-to-right pass: element bodies that are not text, comments, declarations,
+# processing instructions, then tags. A tag starts with a letter, so "<3" survives, and a ">" in a
+# quoted attribute value does not end it. What is left, a tag whose quote or a comment whose end is
+# missing, stays as text up to the next ">" (the group).
+_GAP = f"[{lx.SPACE}]"
 _NOT_TEXT = (
-    r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|template\b[^>]*>.*?</template\s*>"
-    r"|!--.*?-->"
-    r"|![a-z][^>]*>"
-    r"|\?[^>]*>"
-    r"|/?[a-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
-    r"|/?[a-z][^>]*>)"
+    rf"(?is)<(?:script(?=[{lx.SPACE}/>])[^>]*+(?<!/)>.*?(?:</{_GAP}*script{_GAP}*>|\z)"
+    rf"|style(?=[{lx.SPACE}/>])[^>]*+(?<!/)>.*?(?:</{_GAP}*style{_GAP}*>|\z)"
+    rf"|template(?=[{lx.SPACE}/>])[^>]*+>.*?</template{_GAP}*>"
+    rf"|!--.*?--{_GAP}*+>"
+    r"|!(?!--|\[)[^>]*+>"
+    r"|\?[^>]*+>"
+    r"|/[^>]*+>"
+    rf"|[a-z](?:[^>=]++|={_GAP}*+\"[^\"]*+\"|={_GAP}*+'[^']*+'|=(?!{_GAP}*+[\"']))*+>)"
+    r"|(<(?:[a-z]|!--)[^>]*+>)"
 )
 
-# Every named reference of HTML with its characters; "&" itself comes last in decoding.
+# Every named reference of HTML with its characters, some of them without a semicolon.
 _PAIR, _NEXT = "\x1e", "\x1f"
-NAMED_REFERENCES = _NEXT.join(
-    f"&{name}{_PAIR}{chars}"
-    for name, chars in sorted(html5.items())
-    if name.endswith(";") and chars != "&"
-)
-_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]*|#0*\d{1,7}|#[xX]0*[0-9a-fA-F]{1,6});"
-
+NAMED_REFERENCES = {f"&{name}": chars for name, chars in sorted(html5.items())}
+# Set where a tag was, so that no reference is put together across it
+_CUT = "\uFDD1"
+# Code points that a numeric reference doesn't mean: those of another code page, and none
+_PAGE = {
+    f"{code:X}": bytes([code]).decode("cp1252", "replace").replace("\uFFFD", chr(code))
+    for code in range(0x80, 0xA0)
+}
 
-def _numeric(code: Column) -> Column:
-    """The character of ``&#NNN;`` or ``&#xHH;``; null where there is none."""
-    value = F.when(
-        F.lower(F.substring(code, 3, 1)) == "x",
-        F.conv(F.regexp_extract(code, "^&#[xX]0*([0-9a-fA-F]*);", 1), 16, 10),
-    ).otherwise(F.regexp_extract(code, r"^&#0*(\d*);", 1))
-    point = value.try_cast("bigint")
-    return F.when(
-        point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF),
-        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"),
-    )
 
+@cache
+def reference_pattern() -> str:
+    """A numeric reference, or the longest named one."""
+    return f"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|{ph.trie_pattern(n[1:] for n in NAMED_REFERENCES)})"
 
-def _entities(text: Column) -> Column:
-    """Decode references, with one replace per distinct one; unknown ones stay."""
-    named = F.str_to_map(F.lit(NAMED_REFERENCES), F.lit(_NEXT), F.lit(_PAIR))
 
-    def decoded(code: Column) -> Column:
-        char = F.when(code.startswith("&#"), _numeric(code)).otherwise(
-            F.try_element_at(named, code)
+def _numeric(code: Column) -> Column:
+    """The character of ``&#NNN;`` or ``&#xHH;``, semicolon or not."""
+    digits = F.regexp_extract(code, "^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+    hexed = F.lower(F.substring(code, 3, 1)) == "x"
+    # longer numbers are beyond all characters
+    short = F.when(F.length(digits) > 7, F.lit("9999999")).otherwise(digits)
+    value = F.when(hexed, F.conv(short, 16, 10)).otherwise(short)
+
+    def character(n: Column) -> Column:
+        point = F.coalesce(n, F.lit(0))
+        plain = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        none = (
+            point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127)
+            | point.between(0xFDD0, 0xFDEF) | (point % 0x10000 >= 0xFFFE)
         )
-        return F.coalesce(char, code)
+        return (
+            F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\uFFFD"))
+            .when(point.between(0x80, 0x9F), F.try_element_at(ph.as_map(_PAGE), F.hex(point)))
+            .when(none, F.lit(""))
+            .otherwise(plain)
+        )
+
+    return bind(value.try_cast("bigint"), character)
+
 
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), 0))
-    done = F.aggregate(codes, text, lambda acc, code: F.replace(acc, code, decoded(code)))
-    return F.replace(F.replace(done, F.lit("&AMP;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
+def _entities(text: Column) -> Column:
+    """Decode references in one pass, the longest name first; unknown ones stay."""
+    named = ph.as_map(NAMED_REFERENCES)
+    char = lambda code: F.when(code.startswith("&#"), _numeric(code)).otherwise(
+        F.try_element_at(named, code)
+    )
+    return ph.swap(text, reference_pattern(), char)
 
 
 def strip_html(col: Column | str) -> Column:
     """Text nodes only, joined without a separator.
 
-    Text without ``<`` is returned untouched, character references included.
+    Text without ``<`` is returned untouched, character references included. References are read as browsers
+    do, with or without a semicolon, but not across a tag. Broken markup: an element of code or style that
+    isn't closed goes to the end, a tag or comment that isn't closed is text.
     """
 
     def parsed(text: Column) -> Column:
-        bare = F.regexp_replace(text, _NOT_TEXT, "")
-        return bind(
-            bare, lambda t: F.when(t.contains("&"), _entities(t)).otherwise(t)
+        marked = F.replace(
+            _entities(F.regexp_replace(text, _NOT_TEXT, f"{_CUT}$1{_CUT}")), F.lit(_CUT), F.lit("")
         )
+        return F.when(text.contains("&"), marked).otherwise(F.regexp_replace(text, _NOT_TEXT, "$1"))
 
     return bind(
         _as_col(col), lambda t: F.when(t.contains("<"), parsed(t)).otherwise(t)
