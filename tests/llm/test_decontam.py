@@ -62,8 +62,8 @@ def test_against_brute_force(spark):
             places = {p for h in row["hits"] for p in range(h["start"], h["end"])}
             assert (row["n_words"], places, row["items"]) == (n, hit, found), (key, text)
             assert row["contaminated"] == bool(hit)
-    kept = {r["doc_id"] for r in drop_contaminated(df, bench).collect()}
-    assert kept == {key for key, text in docs if not brute(text, items)[1]}
+        kept = {r["doc_id"] for r in drop_contaminated(df, bench, block_words=block_words).collect()}
+        assert kept == {key for key, text in docs if not brute(text, items)[1]}
 
 
 def test_odd_rows(spark, odd):
@@ -75,3 +75,22 @@ def test_odd_rows(spark, odd):
     assert drop_contaminated(df, bench).columns == df.columns
     assert find_contamination(df, bench.limit(0)).filter("contaminated").count() == 0
     assert find_contamination(df.limit(0), bench).count() == 0
+
+
+def test_three_hundred_blocks(spark, odd):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    items = [(i, say(14)) for i in range(297)] + [(297, "only five words go here"), (298, "two words"), (299, say(9))]
+    docs = [(d, f"{say(20)} {items[rng.randrange(300)][1]} {say(5)}" if d % 2 else say(30)) for d in range(80)]
+    docs += [(None, items[5][1]), (200, None), (201, ""), (202, items[7][1] + " " + items[7][1]), (202, items[298][1])]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, row string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_contamination(df, bench, block_words=14).collect()
+    shown = lambda key, n, hit, found: (str(key), n, sorted(hit), found)
+    want = [shown(key, *brute(text, items)) for key, text in docs]
+    places = lambda r: {p for h in r["hits"] for p in range(h["start"], h["end"])}
+    assert sorted(shown(r["doc_id"], r["n_words"], places(r), r["items"]) for r in got) == sorted(want)
+    kept = drop_contaminated(df, bench, block_words=14)
+    assert kept.columns == df.columns and kept.count() == sum(not hit for _, _, hit, _ in want)
+    assert find_contamination(odd, bench, block_words=14).count() == 8
+    assert find_contamination(odd.limit(0), bench, block_words=14).count() == 0

@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import batch_words, filter_rows, gram_hashes, id_and_text, open_folder, text_batches
+from .common import (
+    FILTER_BITS,
+    SALTS,
+    batch_words,
+    filter_rows,
+    gram_hashes,
+    hot_join,
+    id_and_text,
+    maybe_in,
+    open_folder,
+    text_batches,
+)
 
 SPAN = 10
 GRAM = 5
@@ -150,12 +161,11 @@ def index_benchmark(
     block_words: int = BLOCK_WORDS,
     id_col: str = "item_id",
     text_col: str = "text",
-) -> list[str]:
-    """Write the benchmark's fingerprints to ``folder`` in blocks; gives their names.
+) -> DataFrame:
+    """Write the benchmark's fingerprints to ``folder`` in blocks; gives their names, ``file``, stored.
 
     Items are dealt to blocks of about ``block_words`` words by their hash; a task
     builds a block and writes it as a file of its own. Equal rows count once.
-    Only the file names reach the driver.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +206,7 @@ def index_benchmark(
 
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "item_id", "words")
-    files = materialize(dealt.mapInArrow(build, "file string"), "benchmark-blocks")
-    return sorted(r["file"] for r in files.collect())
+    return materialize(dealt.mapInArrow(build, "file string"), "benchmark-blocks")
 
 
 _block: dict[str, Block] = {}
@@ -215,19 +224,183 @@ def _load(folder: str, name: str) -> Block:
     return _block[path]
 
 
-def compare_texts(
-    texts: list, folder: str, files: list[str]
-) -> tuple[np.ndarray, np.ndarray, list[set]]:
+def compare_texts(texts: list, block: Block | None) -> tuple[np.ndarray, np.ndarray, list[set]]:
     """For a batch of texts: whether each word is hit, where texts begin, items found."""
     words, at = batch_words(texts)
     document = np.repeat(np.arange(len(texts)), np.diff(at))
     hit = np.zeros(len(words), bool)
     found: list[set] = [set() for _ in texts]
-    for name in files:
-        _load(folder, name).compare(words, document, hit, found)
+    if block:
+        block.compare(words, document, hit, found)
     return hit, at, found
 
 
+def _ranges(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
+
+
+_HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+# --- several blocks: fingerprints meet by a join --------------------------------
+
+
+def _block_keys(folder: str):
+    """``key, file, size``: the fingerprints and short items of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                block = _load(folder, file)
+                # 0: fingerprints; else whole items of so many words
+                parts = [(0, block.prints), *((n, hashes) for n, (hashes, _) in block.short.items())]
+                for size, keys in parts:
+                    keys = np.unique(keys).view(np.int64)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "key": pa.array(keys, pa.int64()),
+                            "file": pa.array([file] * len(keys), pa.string()),
+                            "size": pa.array(np.full(len(keys), size, np.int32), pa.int32()),
+                        }
+                    )
+
+    return run
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each of ``FILTER_BITS`` remainders, set where a key has it; 4 MB whatever the keys."""
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1
+    rows = (
+        keys.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        bits[(row["bucket"] - 1) * len(part) :][: len(part)] = part
+    return bits
+
+
+def _document_keys(bits, sizes: list[int], span: int, gram: int):
+    """``row, n_words, keys``: fingerprints of each document that the benchmark may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for rows, texts in text_batches(batches):
+            words, at = batch_words(texts)
+            document = np.repeat(np.arange(len(texts)), np.diff(at))
+            owners, keys = [], []
+            for size in sorted({gram, *sizes}):
+                grams = gram_hashes(words, size)
+                if not len(grams):
+                    continue
+                places = np.arange(len(grams))
+                if size == gram and size not in sizes:
+                    places = winnow(grams, span - gram + 1)
+                places = places[document[places] == document[places + size - 1]]
+                low = (grams[places] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                places = places[(known[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1]
+                owners.append(document[places])
+                keys.append(grams[places].view(np.int64))
+            owner = np.concatenate([np.empty(0, np.int64), *owners])
+            key = np.concatenate([np.empty(0, np.int64), *keys])
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+            lists = [np.unique(key[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": pa.array(rows, pa.int64()),
+                    "n_words": pa.array(np.diff(at), pa.int64()),
+                    "keys": pa.array(lists, pa.list_(pa.int64())),
+                }
+            )
+
+    return run
+
+
+def _compare_by_block(folder: str):
+    """Hits of documents that come sorted by block, which is loaded once for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[tuple[str, pa.RecordBatch]]:
+            for batch in batches:
+                files = batch.column(0).to_pylist()
+                cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b > a:
+                        yield files[a], batch.slice(a, b - a)
+
+        for file, part in groups():
+            block = _load(folder, file)
+            for rows, texts in text_batches([part.select(["row", "text"])]):
+                hit, at, found = compare_texts(texts, block)
+                spans = [_ranges(hit[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": pa.array(rows, pa.int64()),
+                        "hits": pa.array(spans, _HITS),
+                        "items": pa.array([_names(ids) for ids in found], pa.list_(pa.string())),
+                    }
+                )
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of word places that may overlap, put together."""
+    for batch in batches:
+        at = batch.schema.get_field_index("hits")
+        out = []
+        for hits in batch.column(at).to_pylist():
+            spans: list[dict] = []
+            for one in sorted(hits or [], key=lambda h: h["start"]):
+                if spans and one["start"] <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], one["end"])
+                else:
+                    spans.append(dict(one))
+            out.append(spans)
+        yield batch.set_column(at, "hits", pa.array(out, _HITS))
+
+
+def _hits_by_join(
+    rows: DataFrame, blocks: DataFrame, folder: str, span: int, gram: int
+) -> tuple[DataFrame, DataFrame]:
+    """``row, n_words`` of all rows of a stored table ``row, text``, and ``row, hits, items``
+    of those that share a span with some block.
+
+    Fingerprints of documents that the benchmark may have meet its own by a shuffle join; then a document
+    goes to the blocks that it shares one with, and no further, and a task loads each of its blocks once.
+    """
+    spark = rows.sparkSession
+    many = blocks.repartition(max(blocks.count(), 1))
+    keys = materialize(many.mapInArrow(_block_keys(folder), "key long, file string, size int"), "benchmark-keys")
+    # lengths below a span: a handful
+    whole = [r["size"] for r in keys.filter("size > 0").select("size").distinct().collect()]
+    bits = spark.sparkContext.broadcast(_bitmap(keys))
+    read = rows.select("row", "text").mapInArrow(
+        _document_keys(bits, whole, span, gram), "row long, n_words long, keys array<long>"
+    )
+    read = materialize(read, "document-keys")
+    where = materialize(keys.groupBy("key").agg(F.collect_set("file").alias("files")), "key-blocks")
+    met = hot_join(read.select("row", F.explode("keys").alias("key")), where, ["key"], ["row"])
+    pairs = materialize(met.select("row", F.explode("files").alias("file")).distinct(), "document-blocks")
+    texts = maybe_in(rows.select("row", "text"), pairs, "row").join(pairs.hint("merge"), "row")
+    spread = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    texts = texts.select("file", "row", "text").withColumn("salt", spread)
+    texts = texts.repartition("file", "salt").sortWithinPartitions("file", "salt").drop("salt")
+    hits = texts.mapInArrow(
+        _compare_by_block(folder), "row long, hits array<struct<start:long,end:long>>, items array<string>"
+    )
+    hits = hits.filter(F.size("hits") > 0).groupBy("row").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    hits = hits.mapInArrow(_joined, hits.schema)
+    return read.select("row", "n_words"), materialize(hits, "document-hits")
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -247,30 +420,39 @@ def find_contamination(
 
     Winnowing keeps the least hash of ``gram`` words in every ``span - gram + 1``, so
     a shared span has a shared fingerprint; matches are then extended word by word.
-    Items too short to have a window are looked up whole. The benchmark is a
-    query set against all documents: its blocks lie in the shared folder, a task
-    holds one at a time, and documents are read once without a shuffle.
+    Items too short to have a window are looked up whole. Against a benchmark of one block documents
+    are read once without a shuffle; with more, their fingerprints are joined with those
+    of the blocks first (``_hits_by_join``), and only documents that share one are compared.
 
     A null or empty text has no words and no hits; so has every text if the
     benchmark is empty. Null and repeated document ids stay as they are.
     """
     folder = scratch_path(docs.sparkSession, "benchmark")
-    files = index_benchmark(benchmark, folder, span, gram, block_words)
+    blocks = index_benchmark(benchmark, folder, span, gram, block_words)
+    files = [r["file"] for r in blocks.limit(2).collect()]
+    pairs = id_and_text(docs, id_col, text_col)
+    if len(files) > 1:
+        rows = materialize(pairs.withColumn("row", F.monotonically_increasing_id()), "documents")
+        words, hits = _hits_by_join(rows, blocks, folder, span, gram)
+        joined = rows.select("row", "doc_id").join(words, "row").join(hits, "row", "left")
+        return joined.select(
+            "doc_id",
+            "n_words",
+            F.coalesce("hits", F.array().cast("array<struct<start:long,end:long>>")).alias("hits"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.col("hits").isNotNull().alias("contaminated"),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        block = _load(folder, files[0]) if files else None
         for keys, texts in text_batches(batches):
-            hit, at, found = compare_texts(texts, folder, files)
-            hits = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
-                pairs = edges.reshape(-1, 2).tolist()
-                hits.append([{"start": x, "end": y} for x, y in pairs])
+            hit, at, found = compare_texts(texts, block)
+            hits = [_ranges(hit[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(keys, pa.int64()),
                     "n_words": pa.array(np.diff(at), pa.int64()),
-                    "hits": pa.array(hits, kind),
+                    "hits": pa.array(hits, _HITS),
                     "items": pa.array([_names(ids) for ids in found], pa.list_(pa.string())),
                     "contaminated": pa.array([bool(x) for x in hits]),
                 }
@@ -280,7 +462,7 @@ def find_contamination(
         "doc_id long, n_words long, hits array<struct<start:long,end:long>>,"
         " items array<string>, contaminated boolean"
     )
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 def _names(ids: set) -> list[str]:
@@ -288,17 +470,28 @@ def _names(ids: set) -> list[str]:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    span: int = SPAN,
+    gram: int = GRAM,
+    block_words: int = BLOCK_WORDS,
+    text_col: str = "text",
 ) -> DataFrame:
     """Documents that share no span with the benchmark, with all their columns.
 
     Rows and edge cases as in ``find_contamination``; a null text stays.
     """
     folder = scratch_path(docs.sparkSession, "benchmark")
-    files = index_benchmark(benchmark, folder, span, gram)
+    blocks = index_benchmark(benchmark, folder, span, gram, block_words)
+    files = [r["file"] for r in blocks.limit(2).collect()]
+    if len(files) > 1:
+        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+        _, hits = _hits_by_join(texts, blocks, folder, span, gram)
+        return rows.join(hits.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
 
     def clean(texts: list) -> np.ndarray:
-        hit, at, _ = compare_texts(texts, folder, files)
+        hit, at, _ = compare_texts(texts, _load(folder, files[0]) if files else None)
         total = np.concatenate([[0], np.cumsum(hit)])
         return total[at[1:]] == total[at[:-1]]
 
