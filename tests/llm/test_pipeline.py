@@ -16,7 +16,7 @@ SQL = ["op3_line_dedup", "op5_jaccard_join", "op6_licences", "op9_decontaminatio
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries()
 
 
