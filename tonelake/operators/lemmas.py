@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..session import materialize
-from .cleaning import lemmatize_with_lexicon
+from .cleaning import numbered_rows, with_lemmas
 from .skew import lookup_join
 
 
@@ -93,5 +93,8 @@ def lemmatize_by_class(
     exceptions: DataFrame | None = None,
 ) -> DataFrame:
     """Replace tokens by their lemmas; ``_NEG`` tokens and words without one stay."""
-    words = df.select(F.explode(tokens_col).alias("word")).filter(~F.col("word").endswith("_NEG"))
-    return lemmatize_with_lexicon(df, tokens_col, lemma_table(words, lexicon, classes, exceptions))
+    rows = numbered_rows(df)
+    # a word of a row is counted once; the tokens, stored, are made once
+    words = rows.select(F.explode(F.array_distinct(tokens_col)).alias("word"))
+    lemmas = lemma_table(words.filter(~F.col("word").endswith("_NEG")), lexicon, classes, exceptions)
+    return with_lemmas(rows, tokens_col, lemmas)
