@@ -151,3 +151,42 @@ def test_training_on_joined_vectors(spark):
     vectors = ft.vectorize(df, "text", vocab)
     out = predict(fit_sentiment(vectors, "features"), vectors)
     assert out.filter("prediction = label").count() == 16
+
+
+def test_ngrams_counted_as_numbers(spark, monkeypatch):
+    """Against a loop over words, whatever documents are counted together; shorter and empty ones too."""
+    texts = ["ab cd ab cd ab", "", None, "ab", "cd ab cd", "ef " * 40, "ab cd", "été ab été ab"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for low, high in ((1, 2), (2, 2), (1, 4)):
+        want = Counter()
+        for i, text in enumerate(texts):
+            words = (text or "").split()
+            want.update(
+                (i, " ".join(words[j : j + n])) for n in range(low, high + 1) for j in range(len(words) - n + 1)
+            )
+        for size in (1, 7, 1000):
+            monkeypatch.setattr(ft, "COUNTED_WORDS", size)
+            batches = docs.select("id", ft.tx.analyze("text").alias("w")).toArrow().to_batches()
+            rows = [r for b in ft._count_words(low, high)(batches) for r in b.to_pylist()]
+            assert len(rows) == len(want) and {(r["id"], r["term"]): r["tf"] for r in rows} == want
+        rows = ft.term_table(docs, "id", "text", (low, high)).collect()
+        assert len(rows) == len(want) and {(r["id"], r["term"]): r["tf"] for r in rows} == want
+        counted = ft._corpus_counts(docs, ft.tx.analyze("text"), (low, high)).collect()
+        uses, owners = Counter(), Counter(term for _, term in want)
+        for (_, term), n in want.items():
+            uses[term] += n
+        assert {r["term"]: (r["total_tf"], r["doc_freq"]) for r in counted} == {t: (uses[t], owners[t]) for t in uses}
+
+
+def test_only_terms_that_reach_the_cut_are_sorted(spark):
+    counted = spark.range(1, 1001).selectExpr("cast(id as string) as term", "id div 10 as total_tf", "1L as doc_freq")
+    # 1, 11 and 21 terms are used more than 97 times, and all ten of 97 tie with the 25th
+    assert ft._above_cut(counted, 25).agg(F.min("total_tf"), F.count(F.lit(1))).first() == (97, 31)
+    assert ft._above_cut(counted, 5000).count() == 1000
+    assert ft._above_cut(counted.limit(0), 5).count() == 0
+
+
+def test_terms_of_a_document_stay_in_its_task(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = ft.tfidf(docs, "doc_id", "text", 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
