@@ -97,3 +97,28 @@ def test_odd_rows(spark, odd):
     kept = keep_one_of_each(df)
     assert kept.columns == df.columns and kept.count() == 7
     assert near_copies(df.limit(0)).count() == 0
+
+
+def test_large_buckets_are_judged_by_a_few_before_members_go_on(spark, monkeypatch):
+    """A dense bucket of any size sends about ``JUDGED`` samples, and none of its members on."""
+    rng = random.Random(9)
+    group = [rng.getrandbits(31) for _ in range(64)]
+    near = [(i, [*group[:63], rng.getrandbits(31)]) for i in range(3000)]
+    apart = [(i, [*group[:8], *(rng.getrandbits(31) for _ in range(56))]) for i in range(3000, 6000)]
+    sets = spark.createDataFrame(near + apart, "sid long, sample array<int>")
+    parents = sets.selectExpr("sid div 3000 as path", "sid", "3000L as size")
+    rows, store = {}, jaccard.materialize
+
+    def watched(df, name):
+        out = store(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    assert [r["path"] for r in jaccard._dense(sets, parents).collect()] == [0]
+    assert 0 < rows["judged"] < 2 * 2 * jaccard.JUDGED
+    rows.clear()
+    classes = sets.filter("sid < 3000").withColumn("n", jaccard.F.lit(100))
+    paths = jaccard._split(classes, 2)
+    assert paths.select("sid").distinct().count() == 3000
+    assert rows["live-sets"] < 300

@@ -27,9 +27,11 @@ BUCKET = 64
 BLOCK = 256
 MAX_DEPTH = 8
 # A bucket whose members share so much of their samples on average isn't split any more;
-# so many hashes tell it. Dense buckets are put together by so many draws of two members.
+# so many hashes tell it, of about so many members. Dense buckets are put together by so many draws
+# of two members.
 DENSE = 0.5
 MARKS = 3
+JUDGED = 256
 DRAWS = 8
 
 
@@ -129,18 +131,16 @@ def _split(classes: DataFrame, runs: int) -> DataFrame:
         parents = held.filter(F.col("size") > BUCKET)
         if parents.isEmpty():
             break
+        crowded = materialize(_dense(sets, parents), "dense-buckets")
+        dense.append(parents.join(crowded, "path", "left_semi").select("path", "sid"))
         # a sample travels once for each member, not once for each of its buckets, and
-        # later steps read those that are still in some large bucket
-        whose = parents.groupBy("sid").agg(F.collect_list("path").alias("parents"))
+        # later steps read those that are still in some large bucket that is split
+        whose = parents.join(crowded, "path", "left_anti").groupBy("sid").agg(F.collect_list("path").alias("parents"))
         sets = materialize(
             maybe_in(sets.select("sid", "sample"), whose, "sid").join(_grows(whose), "sid"), "live-sets"
         )
-        going = sets.select("sid", "sample", F.explode("parents").alias("path"))
-        crowded = materialize(_dense(going), "dense-buckets")
-        dense.append(parents.join(crowded, "path", "left_semi").select("path", "sid"))
-        members = (
-            going.join(crowded, "path", "left_anti")
-            .select("sid", F.explode(F.array_distinct(_chosen(F.col("path"), F.col("sample")))).alias("path"))
+        members = sets.select("sid", "sample", F.explode("parents").alias("path")).select(
+            "sid", F.explode(F.array_distinct(_chosen(F.col("path"), F.col("sample")))).alias("path")
         )
     out = _union([part.select("path", "sid", "size") for part in done])
     return out.unionByName(_merged(_union(dense))) if dense else out
@@ -153,16 +153,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _dense(going: DataFrame) -> DataFrame:
+def _dense(sets: DataFrame, parents: DataFrame) -> DataFrame:
     """Paths of buckets in which two members share ``DENSE`` of their tokens on average.
 
     Two sets have the same token of least hash as often as they share one, so
-    squared counts by that token tell it, of a few hashes.
+    squared counts by that token tell it, of a few hashes. A bucket is judged by about ``JUDGED`` members
+    drawn by hash, so that a large one costs no more; that decides how its pairs are found, not which.
     """
+    judged = parents.filter(F.pmod(F.xxhash64("path", "sid", F.lit("judge")), F.col("size")) < JUDGED)
     least = lambda j: F.array_min(
         F.transform("sample", lambda t: F.xxhash64(F.lit(j), F.col("path"), t))
     )
-    marks = _union([going.select("path", least(j).alias("mark")) for j in range(MARKS)])
+    drawn = maybe_in(sets.select("sid", "sample"), judged, "sid").join(_grows(judged), "sid")
+    drawn = materialize(drawn.select("path", *[least(j).alias(f"mark{j}") for j in range(MARKS)]), "judged")
+    marks = _union([drawn.select("path", F.col(f"mark{j}").alias("mark")) for j in range(MARKS)])
     counts = marks.groupBy("path", "mark").agg(F.count(F.lit(1)).alias("n"))
     shares = counts.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows"))
     return shares.filter(F.col("pairs") * MARKS >= DENSE * F.col("rows") * F.col("rows")).select("path")
@@ -262,13 +266,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Two sets of similarity 0.8 share 8 ninths of their tokens on average of both, so of
     64 of least hash more than 50 are expected to be shared; half, 5 deviations
-    less, is asked for. Whole small sets of that similarity share more than half too.
+    less, is asked for. Whole small sets of that similarity share more than half too, and one more, should two
+    tokens of one be alike in the bits that are sent.
     """
     out: dict[str, list] = {"path": [], "i": [], "j": [], "part": [], "side": [], "sid": [], "row_key": [], "copies": [], "paths": []}
     for (path, i, j), rows in _groups(batches, ["path", "i", "j"]):
         if len(rows) < 2:
             continue
-        samples = [np.array(r["sample"], np.int32) for r in rows]
+        samples = [np.array(r["sample"], np.int16) for r in rows]
         size = np.array([len(s) for s in samples])
         paths = [np.array(r["paths"], np.int64) for r in rows]
         pairs = 2 * _shared([np.unique(s) for s in samples]) >= np.maximum(size[:, None], size[None, :]) - 1
@@ -372,12 +377,13 @@ def near_copies(
         "shingle-classes",
     )
     buckets = materialize(_split(classes, runs_for(recall, similarity)), "paths")
-    # every member with all its buckets
+    # every member with all its buckets; 15 bits of a token do to rule out what shares too few
+    short = F.transform("sample", lambda t: t.bitwiseAND(0x7FFF).cast("smallint")).alias("sample")
     cards = (
         buckets.groupBy("sid")
         .agg(F.sort_array(F.collect_set("path")).alias("paths"))
         .join(
-            _grows(maybe_in(classes.select("sid", "copies", "sample", "row_key"), buckets, "sid")),
+            _grows(maybe_in(classes.select("sid", "copies", short, "row_key"), buckets, "sid")),
             "sid",
         )
     )
@@ -388,9 +394,11 @@ def near_copies(
     placed = placed.withColumn("blocks", blocks).withColumn(
         "side", F.pmod(F.xxhash64("path", "sid"), F.col("blocks")).cast("int")
     )
+    # of the other buckets only those before this one are asked for
+    before = F.filter("paths", lambda p: p < F.col("path")).alias("paths")
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "path", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"),
-        "side", "sid", "row_key", "copies", "sample", "paths",
+        "side", "sid", "row_key", "copies", "sample", before,
     )
     grouped = placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
     kinds = (
