@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from tonelake.llm.eliasfano import EliasFano
 from tonelake.llm.tokenfile import TokenFile, file_bytes, token_file_round_trip
-from tonelake.llm.tokens import encoder, public_path
+from tonelake.llm.tokens import WordEncoder, encoder, public_path
 
 PIECES = ["I'm", "Don't.", "é", "é.", "é", "ΑΣ.", "İ", "a.b,", "12,5.", "...", "'S.", "\x1c", " ", "\n\n", "<|endoftext|>", "ABC,", "ß", "\U0001F600", "'", "ǅ"]
 
@@ -86,3 +86,14 @@ def test_packing_in_pieces(monkeypatch):
 
 def test_empty_table(spark, odd):
     assert token_file_round_trip(spark, odd.limit(0), public_path()).count() == 0
+
+
+def test_signs_after_a_word_are_learnt_once(monkeypatch):
+    enc, asked = WordEncoder(public_path()), []
+    library = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda pieces: asked.extend(pieces) or library(pieces))
+    texts = ["wörd### other%%% Third### ÀŁŉɏ&&& a.,:;?! b/()*$#", "wörd%%% other.", "''s a'b## <|endoftext|>!!"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode(texts[:2])]
+    assert sorted(asked) == sorted(["###", "%%%", "&&&", ".,:;?!", "/()*$#", "."])
+    got += [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode(texts[2:])]
+    assert got == [enc.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]

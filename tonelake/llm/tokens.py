@@ -10,8 +10,10 @@ import numpy as np
 END_ID = 1
 CACHE_WORDS = 800_000
 _GAP = re.compile(r"[ \t\r\n]+")
-# a word of Latin letters, each a code point of its own, and at most one stop
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)")
+# a word of Latin letters, each a code point of its own, and the signs after it
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!#$%&()*,./:;?]*)")
+# Bytes from 128 on that byte-level models write as another character than that of their number
+_BYTE_LEVEL = {b: 162 + b for b in range(128, 161)} | {173: 323}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -20,10 +22,11 @@ class WordEncoder:
 
     This kind of tokenizer splits at white space and drops it, so a text's ids
     are the ids of its pieces between white space, one after the other; nor does
-    a token join a letter with the stop after it. Each distinct piece is encoded
+    a token join a letter with the signs after it. Each distinct piece is encoded
     by the library once and remembered, up to ``CACHE_WORDS`` in two generations: when
     the younger is full the older goes, with the words that weren't met since. Plain words need
-    no rules of normalisation but lower case, so they go to the model at once.
+    no rules of normalisation but lower case, so they go to the model at once, as the characters
+    that stand for their bytes; signs after a word are a piece of their own.
     Strings of special tokens in a text are read as the library reads them.
     """
 
@@ -35,23 +38,17 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.WhitespaceSplit(),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, key in self.tokenizer.get_vocab().items():
             self.last[key] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        probe = ["ab", "cd", "."]
-        if self._ids(["ab cd."])[0] != b"".join(self._ids(probe)) or self._plain(
+        probe = ["ab", "éàņ", ".##)"]
+        if self._ids(["ab éàņ.##)"])[0] != b"".join(self._ids(probe)) or self._plain(
             probe[:2]
         ) != self._ids(probe[:2]):
             raise ValueError("this tokenizer keeps white space; its texts can't be cut into words")
-        self.stops = {stop: self._ids([stop])[0] for stop in (".", ",")} | {"": b""}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -59,7 +56,10 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Lower-case plain words in one line; each ends at a word-end token."""
-        line = self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        line = " ".join(words)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        line = self.bare.encode_batch_fast([line], add_special_tokens=False)[0]
         ids = np.array(line.ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
@@ -77,12 +77,13 @@ class WordEncoder:
             else:
                 rest.append(piece)
         words = list({word for _, word, _ in plain if word not in known})
+        rest += {signs for _, _, signs in plain if signs not in known}
         for group, how in ((words, self._plain), (rest, self._ids)):
             for i in range(0, len(group), 512):
                 part = group[i : i + 512]
                 known.update(zip(part, how(part), strict=True))
-        for piece, word, stop in plain:
-            known[piece] = known[word] + self.stops[stop]
+        for piece, word, signs in plain:
+            known[piece] = known[word] + known[signs]
 
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
