@@ -122,3 +122,32 @@ def test_large_buckets_are_judged_by_a_few_before_members_go_on(spark, monkeypat
     paths = jaccard._split(classes, 2)
     assert paths.select("sid").distinct().count() == 3000
     assert rows["live-sets"] < 300
+
+
+def test_groups_of_middling_likeness_do_not_multiply(spark, monkeypatch):
+    """Sets that share less than half, but enough for each step to put them into more buckets."""
+    rng = random.Random(5)
+    core = [rng.getrandbits(31) for _ in range(54)]
+    held = ([t for t in core if rng.random() < 0.85] for _ in range(1500))
+    sets = [(i, [*some, *(rng.getrandbits(31) for _ in range(64 - len(some)))]) for i, some in enumerate(held)]
+    classes = spark.createDataFrame(sets, "sid long, sample array<int>").withColumn("n", jaccard.F.lit(100))
+    rows, store = {}, jaccard.materialize
+
+    def watched(df, name):
+        out = store(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    paths = jaccard._split(classes, 4)
+    assert rows["members"] < 30 * 1500
+    whole = paths.groupBy("path").count().agg({"count": "max"}).first()[0]
+    assert whole > 1400
+
+
+def test_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 20)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = corpus(7)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute(rows)

@@ -24,15 +24,15 @@ CHOSEN = 2.5
 # Buckets up to this size are compared at once; larger ones are split, or compared in
 # blocks of the second size.
 BUCKET = 64
-BLOCK = 256
+BLOCK = 1024
 MAX_DEPTH = 8
 # A bucket whose members share so much of their samples on average isn't split any more;
 # so many hashes tell it, of about so many members. Dense buckets are put together by so many draws
 # of two members.
-DENSE = 0.5
-MARKS = 3
+DENSE = 0.3
+MARKS = 6
 JUDGED = 256
-DRAWS = 8
+DRAWS = 16
 
 
 def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
