@@ -145,6 +145,28 @@ def test_groups_of_middling_likeness_do_not_multiply(spark, monkeypatch):
     assert whole > 1400
 
 
+def test_groups_of_weak_likeness_do_not_multiply(spark, monkeypatch):
+    """Sets that share two fifths, so that each step keeps as many rows as it took."""
+    rng = random.Random(6)
+    core = [rng.getrandbits(31) for _ in range(54)]
+    held = ([t for t in core if rng.random() < 0.7] for _ in range(1500))
+    sets = [(i, [*some, *(rng.getrandbits(31) for _ in range(64 - len(some)))]) for i, some in enumerate(held)]
+    classes = spark.createDataFrame(sets, "sid long, sample array<int>").withColumn("n", jaccard.F.lit(100))
+    rows, store = {}, jaccard.materialize
+
+    def watched(df, name):
+        out = store(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    paths = jaccard._split(classes, 4)
+    assert rows["members"] < 15 * 1500
+    assert rows["buckets"] < 6 * 1500
+    whole = paths.groupBy("path").count().agg({"count": "max"}).first()[0]
+    assert whole > 1400
+
+
 def test_blocks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET", 20)
     monkeypatch.setattr(jaccard, "BLOCK", 16)

@@ -28,8 +28,11 @@ BLOCK = 1024
 MAX_DEPTH = 8
 # A bucket whose members share so much of their samples on average isn't split any more;
 # so many hashes tell it, of about so many members. Dense buckets are put together by so many draws
-# of two members.
+# of two members. Of buckets up to the size ``WHOLE`` less is asked: to compare those in blocks makes
+# fewer rows than to split them, as members that share a third or more of their samples go on in as many buckets.
 DENSE = 0.3
+LIKE = 0.12
+WHOLE = 8 * BLOCK
 MARKS = 6
 JUDGED = 256
 DRAWS = 16
@@ -154,7 +157,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _dense(sets: DataFrame, parents: DataFrame) -> DataFrame:
-    """Paths of buckets in which two members share ``DENSE`` of their tokens on average.
+    """Paths of buckets in which two members share ``DENSE`` of their tokens on average, ``LIKE`` if they fit ``WHOLE``.
 
     Two sets have the same token of least hash as often as they share one, so
     squared counts by that token tell it, of a few hashes. A bucket is judged by about ``JUDGED`` members
@@ -165,11 +168,14 @@ def _dense(sets: DataFrame, parents: DataFrame) -> DataFrame:
         F.transform("sample", lambda t: F.xxhash64(F.lit(j), F.col("path"), t))
     )
     drawn = maybe_in(sets.select("sid", "sample"), judged, "sid").join(_grows(judged), "sid")
-    drawn = materialize(drawn.select("path", *[least(j).alias(f"mark{j}") for j in range(MARKS)]), "judged")
-    marks = _union([drawn.select("path", F.col(f"mark{j}").alias("mark")) for j in range(MARKS)])
-    counts = marks.groupBy("path", "mark").agg(F.count(F.lit(1)).alias("n"))
-    shares = counts.groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows"))
-    return shares.filter(F.col("pairs") * MARKS >= DENSE * F.col("rows") * F.col("rows")).select("path")
+    drawn = materialize(drawn.select("path", "size", *[least(j).alias(f"mark{j}") for j in range(MARKS)]), "judged")
+    marks = _union([drawn.select("path", "size", F.col(f"mark{j}").alias("mark")) for j in range(MARKS)])
+    counts = marks.groupBy("path", "size", "mark").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.groupBy("path", "size").agg(
+        F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")
+    )
+    asked = F.when(F.col("size") <= WHOLE, F.lit(LIKE)).otherwise(F.lit(DENSE))
+    return shares.filter(F.col("pairs") * MARKS >= asked * F.col("rows") * F.col("rows")).select("path")
 
 
 def _merged(dense: DataFrame) -> DataFrame:
