@@ -7,6 +7,7 @@ import pytest
 from tonelake.llm import jaccard
 from tonelake.llm.common import word_hashes
 from tonelake.llm.jaccard import _shared, keep_one_of_each, near_copies, runs_for
+from tonelake.operators import skew
 
 from .conftest import prose
 
@@ -173,3 +174,26 @@ def test_blocks_against_brute_force(spark, monkeypatch):
     rows = corpus(7)
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute(rows)
+
+
+def test_only_classes_with_links_are_looked_up(spark, monkeypatch):
+    """Most texts are alone; the table of firsts, repeated for each salt past a bound, has none of them."""
+    rows, size, store = corpus(8), {}, jaccard.materialize
+    want = brute(rows)
+
+    def watched(df, name):
+        out = store(df, name)
+        size[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    out = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted({c for c, _ in want.values()})
+    sets = {}
+    for key, text in rows:
+        sets.setdefault(want[key][0], set()).add(frozenset(shingles(text)))
+    assert size["class-firsts"] == sum(len(s) > 1 for s in sets.values()) < len(sets) / 2

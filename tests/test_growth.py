@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tonelake import session
 from tonelake.functions import phrases as ph
 from tonelake.functions import text as tx
+from tonelake.llm.common import hot_join
 from tonelake.operators import cleaning as cl
 from tonelake.operators import rows as rw
+from tonelake.operators import skew
 from tonelake.operators.skew import narrow_join
 
 
@@ -41,6 +43,18 @@ def test_wide_rows_are_not_sorted_for_a_join(spark):
     assert out.filter("n = 1").count() == 34 and out.count() == 100
 
 
+def test_a_lookup_repeated_for_each_salt_is_not_broadcast(spark, folder, monkeypatch):
+    spark.range(50).select((F.col("id") * 2).alias("k"), "id").write.parquet(f"{folder}/lookup")
+    lookup = spark.read.parquet(f"{folder}/lookup")
+    rows = spark.range(300).select(F.pmod("id", F.lit(4)).alias("k"), F.col("id").alias("row"))
+    assert "BroadcastHashJoin" in plan(hot_join(rows, lookup, ["k"], ["row"]))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    for how, count in (("inner", 150), ("left", 300)):
+        out = hot_join(rows, lookup, ["k"], ["row"], how)
+        assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
+        assert out.count() == count and out.filter("id = k div 2").count() == 150
+
+
 def test_nulls_are_dropped_where_a_column_comes_from(spark, folder):
     nan = float("nan")
     rows = [(1, 1.0, "a"), (2, nan, "b"), (3, None, "c"), (4, 4.0, None)]

@@ -82,13 +82,14 @@ def hot_join(
     """Join rows to a stored lookup table, unique by ``keys``, that may have hot keys.
 
     Broadcast if its size, which is looked up, is small. Otherwise the lookup is
-    repeated once per salt, and a frequent key is shared out over ``SALTS`` tasks.
+    repeated once per salt, and a frequent key is shared out over ``SALTS`` tasks. Spark takes
+    the repeated table for as small as the stored one, so it is told not to broadcast it.
     """
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), keys, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = lookup.withColumn("__salt", salts)
+    salted = lookup.withColumn("__salt", salts).hint("merge")
     return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 

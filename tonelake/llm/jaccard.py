@@ -433,18 +433,20 @@ def near_copies(
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     named = (
         classes.select("sid", "copies", "least")
-        .join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-        .join(counted, "sid", "left")
-        .withColumn("root", F.coalesce("root", "sid"))
+        .join(_grows(roots.withColumnRenamed("node", "sid")), "sid", "left")
+        .join(_grows(counted), "sid", "left")
     )
     named = materialize(named, "named-classes")
-    # a class of very many members is shared out
-    firsts = materialize(named.groupBy("root").agg(F.min("least").alias("first")), "class-firsts")
-    named = hot_join(named, firsts, ["root"], ["sid"]).select(
-        "sid", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
-    )
+    # only a set with links is looked up, any other is the first of its class; a class of very many members is shared out
+    linked = named.filter("root is not null")
+    firsts = materialize(linked.groupBy("root").agg(F.min("least").alias("first")), "class-firsts")
+    unlinked = named.filter("root is null").withColumn("first", F.col("least"))
+    named = _union([
+        part.select("sid", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        for part in (hot_join(linked, firsts, ["root"], ["sid"]), unlinked)
+    ])
     alone = F.col("n") == 0
-    return rows.drop("sample").join(named, "sid").select(
+    return rows.drop("sample").join(_grows(named), "sid").select(
         "doc_id",
         "row_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
